@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def two_sided_p(t: float, df: float) -> float:
@@ -53,7 +54,7 @@ def _fraction(a: float, b: float, x: float) -> float:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [two_sided_p(float(a), float(b)) if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(t, df)],

@@ -506,7 +506,7 @@ def _(spark, sf):
 
 @query(
     "join_positional",
-    sql(["preds"], """SELECT e.row_id, e.model, round(w.p / t.total, 6) AS w, round(abs(e.y - e.p), 6) AS e FROM preds e JOIN preds w USING (row_id, model)
+    sql(["preds"], """SELECT e.row_id, e.model, round(w.p / t.total, 6) AS w, round(abs(e.y - e.p), 9) AS e FROM preds e JOIN preds w USING (row_id, model)
     JOIN (SELECT row_id, sum(p) AS total FROM preds GROUP BY 1) t ON t.row_id = e.row_id"""),
 )
 def _(spark, sf):
@@ -516,7 +516,7 @@ def _(spark, sf):
     total = p.groupBy("row_id").agg(F.sum("p").alias("total"))
     weights = p.join(total, "row_id").select("row_id", "model", (F.col("p") / F.col("total")).alias("w"))
     errors = p.select("row_id", "model", F.abs(F.col("y") - F.col("p")).alias("e"))
-    return weights.join(errors, ["row_id", "model"]).select("row_id", "model", F.round("w", 6).alias("w"), F.round("e", 6).alias("e"))
+    return weights.join(errors, ["row_id", "model"]).select("row_id", "model", F.round("w", 6).alias("w"), F.round("e", 9).alias("e"))
 
 
 @query(
@@ -549,17 +549,17 @@ def _(spark, sf):
 # ---- set operations --------------------------------------------------------
 
 
-@query("union_runs", sql(["rate_preds"], "SELECT rate, row_id, model, round(p, 6) AS p FROM rate_preds"))
+@query("union_runs", sql(["rate_preds"], "SELECT rate, row_id, model, p FROM rate_preds"))
 def _(spark, sf):
-    p = rate_preds(spark, sf).select("rate", "row_id", "model", F.round("p", 6).alias("p"))
+    p = rate_preds(spark, sf).select("rate", "row_id", "model", "p")
     return readers.union_all([p.filter(F.col("rate") == r) for r in RATES])
 
 
-@query("union_folds", sql(["preds"], "SELECT role, row_id, model, round(p, 6) AS p FROM preds"))
+@query("union_folds", sql(["preds"], "SELECT role, row_id, model, p FROM preds"))
 def _(spark, sf):
     from gapweave.plans.working import preds
 
-    p = preds(spark, sf).select("role", "row_id", "model", F.round("p", 6).alias("p"))
+    p = preds(spark, sf).select("role", "row_id", "model", "p")
     return p.filter("role = 'val'").unionByName(p.filter("role = 'test'"))
 
 
@@ -584,12 +584,12 @@ def _(spark, sf):
 
 @query(
     "pivot_first",
-    sql(["preds"], "SELECT row_id, " + ", ".join(f"round(max(p) FILTER (model = '{m}'), 6) AS {m}" for m in ("ds_mean", "stacked_zero", "vanilla_half")) + " FROM preds GROUP BY row_id"),
+    sql(["preds"], "SELECT row_id, " + ", ".join(f"max(p) FILTER (model = '{m}') AS {m}" for m in ("ds_mean", "stacked_zero", "vanilla_half")) + " FROM preds GROUP BY row_id"),
 )
 def _(spark, sf):
     from gapweave.plans.working import preds
 
-    p = preds(spark, sf).withColumn("p", F.round("p", 6))
+    p = preds(spark, sf)
     return reshape.pivot_first(p, ["row_id"], "model", "p", ["ds_mean", "stacked_zero", "vanilla_half"])
 
 

@@ -38,3 +38,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def fits(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than needed."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not installed."""
+    import os
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="gapweave-zip-"), "gapweave"), "zip", root, "gapweave")
+    spark.sparkContext.addPyFile(archive)
