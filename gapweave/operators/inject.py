@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gapweave.functions.draw import draw, gauss, pick
 from gapweave.functions.scalar import linear, sigmoid
 from gapweave.operators.ordered import kth_values
+from gapweave.session import cut
 
 NEWTON_STEPS = 10
 
@@ -76,9 +77,13 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
     """b with mean(sigmoid(score + b)) = p, for all targets at once.
 
     Newton steps inside a bracket; each step is one aggregate for all targets.
-    A target may pool several score columns, whose means are averaged.
+    A target may pool several score columns, whose means are averaged. Only the
+    score columns are kept for the passes, in a table written once.
     """
     names = list(scores)
+    flat = {f"z{i}_{j}": z for i, t in enumerate(names) for j, z in enumerate(scores[t])}
+    df = cut(df.select(*[z.alias(name) for name, z in flat.items()]))
+    scores = {t: [F.col(f"z{i}_{j}") for j in range(len(scores[t]))] for i, t in enumerate(names)}
     centre = df.agg(*[_pooled([F.avg(s) for s in scores[t]]).alias(t) for t in names]).first()
     start = math.log(p / (1.0 - p))
     b = {t: start - centre[t] for t in names}
