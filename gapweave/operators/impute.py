@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators.knn import knn_join
@@ -91,7 +92,8 @@ class KnnFill:
 
     def transform(self, df: DataFrame, id_col: str) -> DataFrame:
         """Fill gaps column by column; rows without usable donors take the column mean."""
-        out = df
+        df = cut(df)  # read once per column below
+        fills = []
         for target in self.features:
             gaps = df.filter(F.col(target).isNull())
             donors = self.donors.filter(F.col(target).isNotNull())
@@ -107,17 +109,11 @@ class KnnFill:
                 nan_aware=True,
                 **extra,
             )
-            if self.weighted:
-                # a donor at distance zero outweighs all others
-                exact = F.col("dist") == 0
-                zero = F.max(exact)
-                near = F.avg(F.when(exact, F.col("_donated")))
-                w = F.when(~exact, 1.0 / F.when(~exact, F.col("dist")))
-                value = F.when(zero, near).otherwise(F.try_divide(F.sum(w * F.col("_donated")), F.sum(w)))
-            else:
-                value = F.avg("_donated")
-            filled = pairs.groupBy(F.col(id_col)).agg(value.alias(f"_f_{target}"))
-            out = out.join(filled, id_col, "left")
+            fills.append(pairs.select(id_col, F.lit(target).alias("_target"), "_donated", "dist"))
+        # the donors of all columns meet in one shuffle and come back in one join
+        every = reduce(DataFrame.unionByName, fills)
+        filled = every.groupBy(id_col).agg(*[self._value(x).alias(f"_f_{x}") for x in self.features])
+        out = df.join(filled, id_col, "left")
         return self.means.transform(
             out.select(
                 *[
@@ -127,6 +123,16 @@ class KnnFill:
             )
         )
 
+    def _value(self, target: str) -> Column:
+        mine = F.col("_target") == target
+        if not self.weighted:
+            return F.avg(F.when(mine, F.col("_donated")))
+        # a donor at distance zero outweighs all others
+        exact = mine & (F.col("dist") == 0)
+        w = F.when(mine & (F.col("dist") > 0), 1.0 / F.when(F.col("dist") > 0, F.col("dist")))
+        far = F.try_divide(F.sum(w * F.col("_donated")), F.sum(w))
+        return F.coalesce(F.avg(F.when(exact, F.col("_donated"))), far)
+
 
 class KnnImputer:
     """Mean of the k nearest donors that have the column, nan-aware distances."""
@@ -138,7 +144,7 @@ class KnnImputer:
 
     def fit(self, df: DataFrame) -> KnnFill:
         means = MeanImputer(self.features).fit(df)
-        donors = df.select(self.id_col, *self.features)
+        donors = cut(df.select(self.id_col, *self.features))
         return KnnFill(donors, self.features, self.id_col, self.k, self.weighted, means, self.max_cells)
 
 

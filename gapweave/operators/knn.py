@@ -20,6 +20,7 @@ neighbours of anything, so the others are dropped first (exact).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,55 +52,75 @@ def knn_join(
 ) -> DataFrame:
     """(query id, *carry, rank, val_id, *payload, dist): the k nearest reference rows of each query.
 
-    ``carry`` columns travel with the query and ``payload`` columns with the
-    reference row, which saves joining them back afterwards. With
-    ``nan_aware`` the distance uses the coordinates present on both sides and
-    is scaled to full width; rows without a shared coordinate are no
-    neighbours. All of carry and payload must be double (or long ids).
+    ``carry`` columns travel with the query and ``payload`` columns (numbers)
+    with the reference row, which saves joining them back afterwards; the
+    reference id is a long. With ``nan_aware`` the distance uses the
+    coordinates present on both sides and is scaled to full width; rows
+    without a shared coordinate are no neighbours.
     """
     carry, payload = list(carry or []), list(payload or [])
-    q = queries.select(F.col(query_id).alias("_q"), _vector(features).alias("_x"), *carry)
-    v = reference.select(
-        F.col(ref_id).alias("_v"),
-        _vector(features).alias("_x"),
-        F.array(*[F.col(p).cast("double") for p in payload]).cast("array<double>").alias("_pay"),
-    )
-    # a few rows decide the form; the count stops at the bound
-    limit = max(max_cells // max(len(features), 1), k)
-    if v.limit(limit + 1).count() <= limit:
-        pairs = _broadcast_form(q, v, k, len(features), len(payload), carry, nan_aware)
+    shape = _Shape(len(features), len(payload), carry, k, nan_aware)
+    q = queries.select(F.col(query_id).alias("_q"), *_numbers(features, "_x"), *carry)
+    v = reference.select(F.col(ref_id).cast("long").alias("_v"), *_numbers(features, "_x"), *_numbers(payload, "_p"))
+    # at most one row beyond the bound is fetched; a reference side within it is then complete
+    limit = max(max_cells // max(len(features) + len(payload), 1), k) if max_cells else 0
+    near = v.limit(limit + 1).toPandas() if limit else None
+    if near is not None and len(near) <= limit:
+        pairs = _broadcast_form(q, near, shape)
     else:
         if not nan_aware:
-            v = _drop_surplus_copies(v, k)
-        pairs = _chunked_form(q, v, k, len(features), len(payload), carry, nan_aware, pivots)
+            v = _drop_surplus_copies(v, shape)
+        pairs = _chunked_form(q, v, shape, pivots)
     return pairs.select(
         F.col("_q").alias(query_id),
         *carry,
         "rank",
         F.col("_v").alias("val_id"),
-        *[F.col("_pay")[i].alias(p) for i, p in enumerate(payload)],
+        *[F.col(f"_p{i}").alias(p) for i, p in enumerate(payload)],
         "dist",
     )
 
 
-def _vector(features: list[str]):
-    return F.array(*[F.col(f).cast("double") for f in features])
+@dataclass(frozen=True)
+class _Shape:
+    width: int
+    n_pay: int
+    carry: list[str]
+    k: int
+    nan_aware: bool
+
+    @property
+    def xs(self) -> list[str]:
+        return [f"_x{i}" for i in range(self.width)]
+
+    @property
+    def ps(self) -> list[str]:
+        return [f"_p{i}" for i in range(self.n_pay)]
+
+    def out(self, q: DataFrame) -> str:
+        types = {f.name: f.dataType.simpleString() for f in q.schema}
+        extra = "".join(f", {name} {types[name]}" for name in self.carry)
+        pay = "".join(f", {p} double" for p in self.ps)
+        return f"_q {types['_q']}{extra}, rank int, _v bigint, dist double{pay}"
 
+    @property
+    def names(self) -> list[str]:
+        return ["_q", *self.carry, "rank", "_v", "dist", *self.ps]
 
-def _matrix(col: pd.Series, width: int) -> np.ndarray:
-    if len(col) == 0:
-        return np.empty((0, width))
-    return np.vstack([np.asarray(x, dtype=float) for x in col]).reshape(len(col), width)
 
+def _numbers(names: list[str], prefix: str):
+    return [F.col(n).cast("double").alias(f"{prefix}{i}") for i, n in enumerate(names)]
 
-def _distances(a: np.ndarray, b: np.ndarray, nan_aware: bool) -> np.ndarray:
-    """Plain differences feature by feature, in the order SQL would add them."""
+
+def _squares(a: np.ndarray, b: np.ndarray, nan_aware: bool) -> np.ndarray:
+    """Squared distances from plain differences, feature by feature, in the order SQL would add them."""
     total = np.zeros((len(a), len(b)))
     if not nan_aware:
         for j in range(a.shape[1]):
             d = a[:, j, None] - b[None, :, j]
-            total += d * d
-        return np.round(np.sqrt(total), DIGITS)
+            d *= d
+            total += d
+        return total
     present = np.zeros((len(a), len(b)))
     for j in range(a.shape[1]):
         d = a[:, j, None] - b[None, :, j]
@@ -107,78 +128,62 @@ def _distances(a: np.ndarray, b: np.ndarray, nan_aware: bool) -> np.ndarray:
         total += np.where(ok, d * d, 0.0)
         present += ok
     with np.errstate(divide="ignore", invalid="ignore"):
-        out = np.sqrt(total * a.shape[1] / present)
-    return np.where(present > 0, np.round(out, DIGITS), np.nan)
+        out = total * a.shape[1] / present
+    return np.where(present > 0, out, np.inf)
 
 
-def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column positions of the k best per row by (distance, id); ``ids`` ascending.
+def _best(square: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, rounded distance) of the k best per row; positions are in id order.
 
-    Everything at or below the k-th distance is kept as a candidate and ties
-    are cut by id afterwards, so equal distances cannot be lost.
+    Rounding keeps order, so the k-th rounded distance comes from the k-th
+    square. All entries that may round to it are looked at, which keeps ties;
+    they are then cut by (rounded distance, position).
     """
-    n = dist.shape[1]
-    d = np.where(np.isnan(dist), np.inf, dist)
-    if n <= k:
-        return np.argsort(d, axis=1, kind="stable")
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-    below = d < kth[:, None]
-    tied = d == kth[:, None]
-    room = k - below.sum(axis=1)
-    keep = below | (tied & (np.cumsum(tied, axis=1) <= room[:, None]))
-    cols = np.nonzero(keep)[1].reshape(len(d), k)
-    order = np.argsort(np.take_along_axis(d, cols, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(cols, order, axis=1)
-
-
-def _search(x: np.ndarray, vx: np.ndarray, vid: np.ndarray, k: int, nan_aware: bool):
-    """Yield (start, positions, distances) for slices of the queries."""
+    if square.shape[1] > k:
+        kth = np.partition(square, k - 1, axis=1)[:, k - 1]
+        limit = np.where(np.isinf(kth), kth, (np.sqrt(kth) + 2 * 10.0**-DIGITS) ** 2)
+        rows, pos = np.nonzero((square <= limit[:, None]) & np.isfinite(square))
+    else:
+        rows, pos = np.nonzero(np.isfinite(square))
+    dist = np.round(np.sqrt(square[rows, pos]), DIGITS)
+    order = np.lexsort((pos, dist, rows))
+    rows, pos, dist = rows[order], pos[order], dist[order]
+    starts = np.searchsorted(rows, np.arange(len(square)))
+    rank = np.arange(len(rows)) - starts[rows]
+    keep = rank < k
+    return rows[keep], pos[keep], dist[keep]
+
+
+def _search(pdf: pd.DataFrame, ref: tuple, shape: _Shape) -> Iterator[pd.DataFrame]:
+    """The k best of ``ref`` (sorted by id) for every row of ``pdf``."""
+    vx, vid, vpay = ref
+    x = pdf[shape.xs].to_numpy(dtype=float)
     step = max(1, PAIR_BLOCK // max(len(vid), 1))
     for s in range(0, len(x), step):
-        dist = _distances(x[s : s + step], vx, nan_aware)
-        pos = _best(dist, vid, k)
-        yield s, pos, np.take_along_axis(dist, pos, axis=1)
-
-
-def _emit(pdf: pd.DataFrame, start: int, pos, dist, vid, vpay, carry: list[str]) -> pd.DataFrame:
-    rows, width = pos.shape
-    usable = ~np.isnan(dist).ravel()
-    base = pdf.iloc[start : start + rows]
-    out = {"_q": np.repeat(base["_q"].to_numpy(), width)}
-    for name in carry:
-        out[name] = np.repeat(base[name].to_numpy(), width)
-    flat = pos.ravel()
-    out["rank"] = np.tile(np.arange(1, width + 1), rows)
-    out["_v"] = vid[flat]
-    out["dist"] = dist.ravel()
-    frame = pd.DataFrame(out)
-    frame["_pay"] = list(vpay[flat])
-    return frame[usable]
-
-
-def _pair_schema(q: DataFrame, carry: list[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in q.schema}
-    extra = "".join(f", {name} {types[name]}" for name in carry)
-    return f"_q {types['_q']}{extra}, rank int, _v bigint, dist double, _pay array<double>"
-
-
-def _broadcast_form(q, v, k, width, n_pay, carry, nan_aware) -> DataFrame:
-    ref = v.select("_v", "_x", "_pay").toPandas().sort_values("_v", kind="stable")
-    spark = q.sparkSession
-    shared = spark.sparkContext.broadcast(
-        (_matrix(ref["_x"], width), ref["_v"].to_numpy(), _matrix(ref["_pay"], n_pay))
-    )
+        rows, pos, dist = _best(_squares(x[s : s + step], vx, shape.nan_aware), shape.k)
+        base = pdf.iloc[s + rows]
+        starts = np.searchsorted(rows, np.arange(rows[-1] + 1)) if len(rows) else np.zeros(0, int)
+        out = {"_q": base["_q"].to_numpy()}
+        out |= {name: base[name].to_numpy() for name in shape.carry}
+        out |= {"rank": (np.arange(len(rows)) - starts[rows] + 1).astype("int32"), "_v": vid[pos], "dist": dist}
+        out |= {p: vpay[pos, i] for i, p in enumerate(shape.ps)}
+        yield pd.DataFrame(out)
+
+
+def _reference(pdf: pd.DataFrame, shape: _Shape) -> tuple:
+    pdf = pdf.sort_values("_v", kind="stable")
+    return pdf[shape.xs].to_numpy(dtype=float), pdf["_v"].to_numpy(), pdf[shape.ps].to_numpy(dtype=float)
+
+
+def _broadcast_form(q: DataFrame, near: pd.DataFrame, shape: _Shape) -> DataFrame:
+    shared = q.sparkSession.sparkContext.broadcast(_reference(near, shape))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vx, vid, vpay = shared.value
         for pdf in batches:
-            if len(pdf) == 0 or len(vid) == 0:
-                continue
-            x = _matrix(pdf["_x"], width)
-            for start, pos, dist in _search(x, vx, vid, k, nan_aware):
-                yield _emit(pdf, start, pos, dist, vid, vpay, carry)
+            if len(pdf) and len(shared.value[1]):
+                yield from _search(pdf, shared.value, shape)
 
-    return _spread(q).mapInPandas(scan, _pair_schema(q, carry))
+    return _spread(q).mapInPandas(scan, shape.out(q)).select(*shape.names)
 
 
 def _spread(q: DataFrame) -> DataFrame:
@@ -191,18 +196,18 @@ def _spread(q: DataFrame) -> DataFrame:
     return q.repartition(max(spark.sparkContext.defaultParallelism, shuffle_width(spark)))
 
 
-def _drop_surplus_copies(v: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("_x").orderBy("_v")
-    return v.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
+def _drop_surplus_copies(v: DataFrame, shape: _Shape) -> DataFrame:
+    """Keep the k lowest ids of equal vectors (the window keeps k per task before it shuffles)."""
+    w = W.partitionBy(*shape.xs).orderBy("_v")
+    return v.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= shape.k).drop("_n")
 
 
-def _chunked_form(q, v, k, width, n_pay, carry, nan_aware, n_pivots) -> DataFrame:
-    if nan_aware:
+def _chunked_form(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int) -> DataFrame:
+    if shape.nan_aware:
         # no triangle inequality with gaps: one cell, every chunk is visited
-        home = v.withColumns({"_cell": F.lit(0), "_r": F.lit(0.0)})
-        visits = q.withColumn("_cell", F.lit(0))
+        home, visits = cut(v.withColumn("_cell", F.lit(0))), cut(q.withColumn("_cell", F.lit(0)))
     else:
-        home, visits = _assign_cells(q, v, k, width, n_pivots)
+        home, visits = _assign_cells(q, v, shape, n_pivots)
     sizes = home.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nv"))
     loads = visits.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
     plan = sizes.join(loads, "_cell").select(
@@ -216,72 +221,69 @@ def _chunked_form(q, v, k, width, n_pay, carry, nan_aware, n_pivots) -> DataFram
         visits.join(plan, "_cell")
         .withColumn("_qc", F.pmod(F.xxhash64("_q"), F.col("_cq")))
         .withColumn("_vc", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_cv") - 1).cast("long"))))
-        .select("_cell", "_qc", "_vc", "_q", "_x", *carry)
+        .select("_cell", "_qc", "_vc", "_q", *shape.xs, *shape.carry)
     )
     right = (
         home.join(plan, "_cell")
         .withColumn("_vc", F.pmod(F.xxhash64("_v"), F.col("_cv")))
         .withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_cq") - 1).cast("long"))))
-        .select("_cell", "_qc", "_vc", "_v", "_x", "_pay")
+        .select("_cell", "_qc", "_vc", "_v", *shape.xs, *shape.ps)
     )
-    schema = _pair_schema(q, carry)
-    names = [part.split(" ")[0] for part in schema.split(", ")]
+    names = shape.names
 
     def block(lq: pd.DataFrame, rv: pd.DataFrame) -> pd.DataFrame:
         if len(lq) == 0 or len(rv) == 0:
             return pd.DataFrame({n: [] for n in names})
-        rv = rv.sort_values("_v", kind="stable")
-        vx, vid, vpay = _matrix(rv["_x"], width), rv["_v"].to_numpy(), _matrix(rv["_pay"], n_pay)
-        x = _matrix(lq["_x"], width)
-        parts = [
-            _emit(lq, start, pos, dist, vid, vpay, carry)
-            for start, pos, dist in _search(x, vx, vid, k, nan_aware)
-        ]
-        return pd.concat(parts)[names]
+        return pd.concat(list(_search(lq, _reference(rv, shape), shape)))[names]
 
     keys = ["_cell", "_qc", "_vc"]
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, schema)
+    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, shape.out(q))
     w = W.partitionBy("_q").orderBy("dist", "_v")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= shape.k)
 
 
-def _assign_cells(q: DataFrame, v: DataFrame, k: int, width: int, n_pivots: int):
+def _assign_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
     """Home cell of every reference row, and the cells each query must visit."""
-    spark = v.sparkSession
-    picked = v.select("_x").orderBy(draw_fast("_v", "pivot", 0), "_v").limit(n_pivots).distinct().collect()
-    centres = np.array([r["_x"] for r in picked], dtype=float).reshape(-1, width)
-    shared = spark.sparkContext.broadcast(centres)  # n_pivots rows at most
+    spark, k, xs = v.sparkSession, shape.k, shape.xs
+    picked = v.orderBy(draw_fast("_v", "pivot", 0), "_v").limit(n_pivots).select(*xs).distinct().toPandas()
+    shared = spark.sparkContext.broadcast(picked.to_numpy(dtype=float))  # n_pivots rows at most
+
+    def to_pivots(cols: tuple[pd.Series, ...]) -> np.ndarray:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+        return np.sqrt(_squares(x, shared.value, False))
 
     @F.pandas_udf("struct<_cell:int,_r:double>")
-    def nearest(x: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(x, width), shared.value, False)
+    def nearest(*cols: pd.Series) -> pd.DataFrame:
+        d = to_pivots(cols)
         cell = d.argmin(axis=1)
         return pd.DataFrame({"_cell": cell.astype("int32"), "_r": d[np.arange(len(d)), cell]})
 
-    home = cut(v.withColumn("_near", nearest("_x")).select("_v", "_x", "_pay", "_near._cell", "_near._r"))
+    home = cut(v.withColumn("_near", nearest(*xs)).select(*v.columns, "_near._cell", "_near._r"))
     w = W.partitionBy("_cell").orderBy("_r", "_v")
     closest = home.select("_cell", "_r", "_v").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
     near = closest.select("_cell", "_r").collect()  # k rows per pivot
     reach = {r["_cell"]: r["m"] for r in home.groupBy("_cell").agg(F.max("_r").alias("m")).collect()}
-    radius = np.array([reach.get(i, -np.inf) for i in range(len(centres))])
+    radius = np.array([reach.get(i, -np.inf) for i in range(len(picked))])
     close_cell = np.array([r["_cell"] for r in near], dtype=int)
     close_r = np.array([r["_r"] for r in near], dtype=float)
     bounds = spark.sparkContext.broadcast((radius, close_cell, close_r))
-    slack = 10.0 ** (1 - DIGITS)  # distances are rounded; never rule out a cell by rounding
+    slack = 10.0 ** (2 - DIGITS)  # distances are rounded later; never rule out a cell by rounding
 
     @F.pandas_udf("array<int>")
-    def visit(x: pd.Series) -> pd.Series:
+    def visit(*cols: pd.Series) -> pd.Series:
         radius_, cc, cr = bounds.value
-        m = _matrix(x, width)
+        d = to_pivots(cols)
         out = []
-        for s in range(0, len(m), 1024):
-            d = _distances(m[s : s + 1024], shared.value, False)
-            upper = d[:, cc] + cr[None, :]
-            kk = min(k, upper.shape[1]) - 1
-            limit = np.partition(upper, kk, axis=1)[:, kk] if upper.shape[1] >= k else np.full(len(d), np.inf)
-            need = d - radius_[None, :] <= limit[:, None] + slack
+        for s in range(0, len(d), 1024):
+            part = d[s : s + 1024]
+            upper = part[:, cc] + cr[None, :]
+            if upper.shape[1] >= k:
+                limit = np.partition(upper, k - 1, axis=1)[:, k - 1]
+            else:
+                limit = np.full(len(part), np.inf)
+            need = part - radius_[None, :] <= limit[:, None] + slack
             out += [np.nonzero(row)[0].astype("int32") for row in need]
         return pd.Series(out)
 
-    visits = cut(q.withColumn("_cells", visit("_x")))
+    visits = cut(q.withColumn("_cells", visit(*xs)))
     return home, visits.withColumn("_cell", F.explode("_cells")).drop("_cells")

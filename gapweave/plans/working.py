@@ -13,7 +13,7 @@ from gapweave.operators.clean import fit_minmax
 from gapweave.operators.impute import Constants, MeanImputer
 from gapweave.operators.inject import hide_mcar
 from gapweave.plans.sqltext import FEATURES, RATES, SCORERS, SEED, TRIALS
-from gapweave.session import ensure_checkpoint_dir
+from gapweave.session import cut, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,8 +69,11 @@ def fills(means: Constants) -> dict[str, Constants]:
 
 
 def pool_frames(spark: SparkSession, sf: str) -> list[tuple[int, str, DataFrame]]:
-    """Per pipeline: filled features and prediction of every row."""
-    cfm = incomplete(spark, sf)
+    """Per pipeline: filled features and prediction of every row.
+
+    Each pipeline reads the table for both roles, so it is written once.
+    """
+    cfm = cut(incomplete(spark, sf))
     by = fills(MeanImputer(FEATURES).fit(cfm.filter("role = 'train'")))
     return [
         (i, name, by[kind].transform(cfm).withColumn("p", score(w, b)))
