@@ -245,56 +245,63 @@ class IterativeRidgeImputer:
         return IterativeRidge(feats, start, steps, done)
 
     def _rows(self, df: DataFrame, start: Constants) -> DataFrame:
-        """Vectors with start values, and which cells were gaps; written once for the many passes."""
+        """Start values (x..) and which cells were gaps (g..); written once for the many passes."""
         feats = self.features
-        flagged = df.select(*[F.col(x).cast("double").alias(x) for x in feats], *[F.col(x).isNull().alias(f"_g_{x}") for x in feats])
+        d = range(len(feats))
+        flagged = df.select(
+            *[F.col(x).cast("double").alias(x) for x in feats], *[F.col(x).isNull().alias(f"_g_{x}") for x in feats]
+        )
         filled = start.transform(flagged)
         return cut(
-            filled.select(F.array(*feats).alias("x"), F.array(*[F.col(f"_g_{x}") for x in feats]).alias("g"))
+            filled.select(*[F.col(feats[i]).alias(f"x{i}") for i in d], *[F.col(f"_g_{feats[i]}").alias(f"g{i}") for i in d])
         )
 
     def _fit_column(self, base: DataFrame, steps: list[LinearStep], j: int) -> LinearStep:
         d = len(self.features)
         todo = list(steps)
+        upper = np.triu_indices(d + 1)
 
         def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((d + 1, d + 1))
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                m, g = np.vstack(pdf["x"].to_numpy()).astype(float), np.vstack(pdf["g"].to_numpy()).astype(bool)
+                m, g = _split(pdf, d)
                 _run_steps(m, g, todo)
                 z = np.hstack([np.ones((len(m), 1)), m])[~g[:, j]]
                 total += z.T @ z
-            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+            yield pd.DataFrame({"i": np.arange(len(upper[0])), "v": total[upper]})
 
         sums = base.mapInPandas(products, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        flat = np.zeros((d + 1) * (d + 1))
-        for r in sums.collect():  # (d + 1) squared numbers
-            flat[r["i"]] = r["v"]
-        gram = flat.reshape(d + 1, d + 1)
+        gram = np.zeros((d + 1, d + 1))
+        for r in sums.collect():  # about half of (d + 1) squared numbers
+            a, b = upper[0][r["i"]], upper[1][r["i"]]
+            gram[a, b] = gram[b, a] = r["v"]
         others = [i for i in range(d) if i != j]
         coef, intercept = _solve(gram, others, j, None if self.bayes else self.strength)
         return LinearStep(j, coef, intercept)
 
     def _largest_move(self, base: DataFrame, steps: list[LinearStep], before: int) -> float:
-        old, new = steps[:before], list(steps)
+        d = len(self.features)
+        old, new = steps[:before], steps[before:]
 
         def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = 0.0
             for pdf in batches:
-                if len(pdf) == 0:
-                    continue
-                a, g = np.vstack(pdf["x"].to_numpy()).astype(float), np.vstack(pdf["g"].to_numpy()).astype(bool)
-                b = a.copy()
-                _run_steps(a, g, old)
-                _run_steps(b, g, new)
-                top = max(top, float(np.abs(a - b).max()))
+                m, g = _split(pdf, d)
+                _run_steps(m, g, old)
+                was = m.copy()
+                _run_steps(m, g, new)
+                top = max(top, float(np.abs(m - was).max(initial=0.0)))
             yield pd.DataFrame({"v": [top]})
 
         return base.mapInPandas(moves, "v double").agg(F.max("v")).first()[0]
 
 
+def _split(pdf: pd.DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values and gap flags of a batch, in column order."""
+    values = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype=float)
+    return values.copy(), pdf[[f"g{i}" for i in range(d)]].to_numpy(dtype=bool)
+
+
 def _solve(gram: np.ndarray, others: list[int], j: int, strength: float | None) -> tuple[np.ndarray, float]:
     """Ridge weights of column j on the others, from sums of products (row 0 holds plain sums)."""
     d = gram.shape[0] - 1

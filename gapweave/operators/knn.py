@@ -19,6 +19,7 @@ neighbours of anything, so the others are dropped first (exact).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from gapweave.functions.draw import draw_fast
 from gapweave.session import cut, shuffle_width
 
 BROADCAST_CELLS = 4_000_000  # rows x features of the reference side (32 MB of doubles)
+MAX_PIVOTS = 4096
 CHUNK_ROWS = 20_000
 PAIR_BLOCK = 2_000_000  # distances held at once in a task
 DIGITS = 9
@@ -48,7 +50,7 @@ def knn_join(
     payload: list[str] | None = None,
     nan_aware: bool = False,
     max_cells: int = BROADCAST_CELLS,
-    pivots: int = 256,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(query id, *carry, rank, val_id, *payload, dist): the k nearest reference rows of each query.
 
@@ -62,15 +64,13 @@ def knn_join(
     shape = _Shape(len(features), len(payload), carry, k, nan_aware)
     q = queries.select(F.col(query_id).alias("_q"), *_numbers(features, "_x"), *carry)
     v = reference.select(F.col(ref_id).cast("long").alias("_v"), *_numbers(features, "_x"), *_numbers(payload, "_p"))
-    # at most one row beyond the bound is fetched; a reference side within it is then complete
-    limit = max(max_cells // max(len(features) + len(payload), 1), k) if max_cells else 0
-    near = v.limit(limit + 1).toPandas() if limit else None
-    if near is not None and len(near) <= limit:
-        pairs = _broadcast_form(q, near, shape)
+    n = v.count()
+    if n * max(len(features) + len(payload), 1) <= max_cells:
+        pairs = _broadcast_form(q, v.toPandas(), shape)
     else:
         if not nan_aware:
             v = _drop_surplus_copies(v, shape)
-        pairs = _chunked_form(q, v, shape, pivots)
+        pairs = _chunked_form(q, v, shape, pivots or min(MAX_PIVOTS, max(16, math.isqrt(n))))
     return pairs.select(
         F.col("_q").alias(query_id),
         *carry,
@@ -248,15 +248,21 @@ def _assign_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
     picked = v.orderBy(draw_fast("_v", "pivot", 0), "_v").limit(n_pivots).select(*xs).distinct().toPandas()
     shared = spark.sparkContext.broadcast(picked.to_numpy(dtype=float))  # n_pivots rows at most
 
-    def to_pivots(cols: tuple[pd.Series, ...]) -> np.ndarray:
+    def slices(cols: tuple[pd.Series, ...], step: int) -> Iterator[np.ndarray]:
+        """Distances to all pivots, a slice of rows at a time."""
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        return np.sqrt(_squares(x, shared.value, False))
+        for s in range(0, len(x), step):
+            yield np.sqrt(_squares(x[s : s + step], shared.value, False))
+
+    rows_at_once = max(1, PAIR_BLOCK // max(len(picked) * k, 1))
 
     @F.pandas_udf("struct<_cell:int,_r:double>")
     def nearest(*cols: pd.Series) -> pd.DataFrame:
-        d = to_pivots(cols)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"_cell": cell.astype("int32"), "_r": d[np.arange(len(d)), cell]})
+        parts = []
+        for d in slices(cols, rows_at_once * k):
+            cell = d.argmin(axis=1)
+            parts.append(pd.DataFrame({"_cell": cell.astype("int32"), "_r": d[np.arange(len(d)), cell]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"_cell": [], "_r": []})
 
     home = cut(v.withColumn("_near", nearest(*xs)).select(*v.columns, "_near._cell", "_near._r"))
     w = W.partitionBy("_cell").orderBy("_r", "_v")
@@ -272,10 +278,8 @@ def _assign_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
     @F.pandas_udf("array<int>")
     def visit(*cols: pd.Series) -> pd.Series:
         radius_, cc, cr = bounds.value
-        d = to_pivots(cols)
         out = []
-        for s in range(0, len(d), 1024):
-            part = d[s : s + 1024]
+        for part in slices(cols, rows_at_once):
             upper = part[:, cc] + cr[None, :]
             if upper.shape[1] >= k:
                 limit = np.partition(upper, k - 1, axis=1)[:, k - 1]

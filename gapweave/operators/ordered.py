@@ -8,6 +8,8 @@ a position inside a small bucket plus the number of rows in earlier buckets.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,68 +144,115 @@ def kth_values(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, list[flo
 
     Each pass narrows every requested rank to a bracket whose width is set by
     the error bound of ``percentile_approx``; a bracket shrinks by about
-    ``_ACCURACY`` per pass. When what is left is small it is counted by value.
+    ``_ACCURACY`` per pass. What is left then is counted by value.
     """
-    jobs = [
-        {"col": col, "k": k, "lo": None, "hi": None, "value": None}
-        for col, ks in ranks.items()
-        for k in ks
-    ]
+    jobs = [_Rank(col, k) for col, ks in ranks.items() for k in ks]
     for _ in range(12):
-        open_jobs = [j for j in jobs if j["value"] is None]
-        if not open_jobs:
+        todo = [j for j in jobs if j.value is None]
+        if not todo:
             break
-        aggs = []
-        for i, j in enumerate(open_jobs):
-            x = F.col(j["col"])
-            inside = x.isNotNull() if j["lo"] is None else x.between(j["lo"], j["hi"])
-            below = F.lit(False) if j["lo"] is None else x < j["lo"]
-            aggs += [
-                F.count_if(inside).alias(f"n{i}"),
-                F.count_if(below).alias(f"b{i}"),
-            ]
-        counts = df.agg(*aggs).first()
-        narrow = []
-        for i, j in enumerate(open_jobs):
-            n, k = counts[f"n{i}"], j["k"] - counts[f"b{i}"]
-            if n == 0:
-                raise ValueError(f"no values in column {j['col']}")
-            if j["lo"] is not None and j["lo"] == j["hi"]:
-                j["value"] = j["lo"]
-            elif n <= _FINAL_ROWS:
-                j["value"] = _kth_of_few(df, j, k)
+        row = df.agg(
+            *[F.count_if(j.inside()).alias(f"n{i}") for i, j in enumerate(todo)],
+            *[F.count_if(j.below()).alias(f"b{i}") for i, j in enumerate(todo)],
+        ).first()
+        few, many = [], []
+        for i, j in enumerate(todo):
+            j.n, j.before = row[f"n{i}"], row[f"b{i}"]
+            if not 0 < j.k - j.before <= j.n:
+                raise ValueError(f"rank {j.k} lies outside column {j.column}")
+            if j.lo is not None and j.lo == j.hi:
+                j.value = j.lo
             else:
-                slack = 2.0 / _ACCURACY
-                at = k / n
-                x = F.col(j["col"])
-                inside = x if j["lo"] is None else F.when(x.between(j["lo"], j["hi"]), x)
-                narrow.append(
-                    (j, F.percentile_approx(inside, [max(at - slack, 0.0), min(at + slack, 1.0)], _ACCURACY))
-                )
-        if narrow:
-            row = df.agg(*[e.alias(f"q{i}") for i, (_, e) in enumerate(narrow)]).first()
-            for i, (j, _) in enumerate(narrow):
-                lo, hi = row[f"q{i}"]
-                if (lo, hi) == (j["lo"], j["hi"]):
-                    j["value"] = _kth_of_few(df, j, j["k"] - _below(df, j))
-                j["lo"], j["hi"] = lo, hi
+                (few if j.n <= _FINAL_ROWS or j.stuck else many).append(j)
+        if few:
+            _count_by_value(df, few)
+        if many:
+            slack = 2.0 / _ACCURACY
+            row = df.agg(
+                *[
+                    F.percentile_approx(
+                        F.when(j.inside(), F.col(j.column)),
+                        [max((j.k - j.before) / j.n - slack, 0.0), min((j.k - j.before) / j.n + slack, 1.0)],
+                        _ACCURACY,
+                    ).alias(f"q{i}")
+                    for i, j in enumerate(many)
+                ]
+            ).first()
+            for i, j in enumerate(many):
+                j.narrow(*row[f"q{i}"])
     out: dict[str, list[float]] = {col: [] for col in ranks}
     for j in jobs:
-        out[j["col"]].append(j["value"])
+        out[j.column].append(j.value)
     return out
 
 
-def _below(df: DataFrame, job: dict) -> int:
-    return df.filter(F.col(job["col"]) < job["lo"]).count()
+@dataclass
+class _Rank:
+    """One requested rank and the bracket of values that holds it."""
+
+    column: str
+    k: int
+    lo: float | None = None
+    hi: float | None = None
+    n: int = 0
+    before: int = 0
+    stuck: bool = False
+    value: float | None = None
+
+    def inside(self) -> Column:
+        x = F.col(self.column)
+        return x.isNotNull() if self.lo is None else x.between(self.lo, self.hi)
 
+    def below(self) -> Column:
+        return F.lit(False) if self.lo is None else F.col(self.column) < self.lo
 
-def _kth_of_few(df: DataFrame, job: dict, k: int) -> float:
-    x = F.col(job["col"])
-    inside = df.filter(x.isNotNull() if job["lo"] is None else x.between(job["lo"], job["hi"]))
-    seen = 0
-    rows = inside.groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").toLocalIterator()
-    for row in rows:
-        seen += row["n"]
-        if seen >= k:
-            return row["v"]
-    raise ValueError("rank beyond the number of values")
+    def narrow(self, lo: float, hi: float) -> None:
+        self.stuck = (lo, hi) == (self.lo, self.hi)
+        self.lo, self.hi = lo, hi
+
+
+def _count_by_value(df: DataFrame, jobs: list[_Rank]) -> None:
+    """Finish several ranks with one count by value; each has few rows left (or few distinct values)."""
+    entries = [
+        F.struct(F.lit(i).alias("i"), F.when(j.inside(), F.col(j.column).cast("double")).alias("v"))
+        for i, j in enumerate(jobs)
+    ]
+    counts = (
+        df.select(F.inline(F.array(*entries))).filter("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    seen = {i: j.before for i, j in enumerate(jobs)}
+    for r in counts.orderBy("i", "v").toLocalIterator():
+        j = jobs[r["i"]]
+        if j.value is None:
+            seen[r["i"]] += r["n"]
+            if seen[r["i"]] >= j.k:
+                j.value = r["v"]
+
+
+def lowest(df: DataFrame, id_col: str, draws: dict[str, Column], sizes: dict[str, int]) -> dict[str, Column]:
+    """For each named draw, a predicate that holds for exactly the ``sizes[name]`` rows lowest by (draw, id).
+
+    A draw that is NULL leaves its row out. Choosing rows by an exact cut-off
+    keeps the choice a projection: no row is shuffled, however wide it is.
+    Rows that share the cut-off draw (about one in 2**32) are told apart by id.
+    """
+    out = {name: F.lit(False) for name in draws}
+    wanted = {name: m for name, m in sizes.items() if m > 0}
+    if not wanted:
+        return out
+    keyed = df.select(id_col, *[draws[name].alias(name) for name in wanted])
+    cutoff = {name: v[0] for name, v in kth_values(keyed, {name: [m] for name, m in wanted.items()}).items()}
+    row = keyed.agg(
+        *[F.count_if(F.col(name) < cutoff[name]).alias(f"b_{name}") for name in wanted],
+        *[F.count_if(F.col(name) == cutoff[name]).alias(f"t_{name}") for name in wanted],
+        *[F.max(F.when(F.col(name) == cutoff[name], F.col(id_col))).alias(f"i_{name}") for name in wanted],
+    ).first()
+    for name, m in wanted.items():
+        room, tied = m - row[f"b_{name}"], row[f"t_{name}"]
+        last = row[f"i_{name}"]
+        if room < tied:
+            at = keyed.filter(F.col(name) == cutoff[name]).select(id_col).orderBy(id_col).limit(room)
+            last = at.agg(F.max(id_col)).first()[0]
+        u = draws[name]
+        out[name] = F.coalesce((u < cutoff[name]) | ((u == cutoff[name]) & (F.col(id_col) <= F.lit(last))), F.lit(False))
+    return out

@@ -5,21 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gapweave.functions.draw import draw
-from gapweave.operators.ordered import rank_by_draw
+from gapweave.operators.ordered import lowest, rank_by_draw
 
 SplitFn = Callable[[DataFrame], DataFrame]
 
 
 def undersample(df: DataFrame, y: str, id_col: str, seed: int = 0) -> DataFrame:
-    """Cut every class to the size of the smallest."""
-    ranked = rank_by_draw(df.withColumn("_u", draw(id_col, "under", seed)), "_u", id_col, [y], "_rn")
-    smallest = df.groupBy(y).count().agg(F.min("count")).first()[0]
-    return ranked.filter(F.col("_rn") <= smallest).select(*df.columns)
+    """Cut every class to the size of the smallest; a filter, no row moves."""
+    sizes = _class_sizes(df, y)
+    smallest = min(sizes.values())
+    u = draw(id_col, "under", seed)
+    names = {f"c{i}": label for i, label in enumerate(sizes)}
+    draws = {n: F.when(F.col(y).eqNullSafe(F.lit(label)), u) for n, label in names.items()}
+    chosen = lowest(df, id_col, draws, dict.fromkeys(names, smallest))
+    return df.filter(reduce(Column.__or__, chosen.values()))
+
+
+def _class_sizes(df: DataFrame, y: str) -> dict:
+    """Rows per class: one row per class comes to the driver."""
+    return {r[y]: r["count"] for r in df.groupBy(y).count().orderBy(y).collect()}
 
 
 def oversample(df: DataFrame, y: str, id_col: str, seed: int = 0) -> DataFrame:
@@ -28,7 +37,7 @@ def oversample(df: DataFrame, y: str, id_col: str, seed: int = 0) -> DataFrame:
     Adds ``copy``: 0 for original rows, 1.. for the repeats of a class.
     """
     ranked = rank_by_draw(df.withColumn("_u", draw(id_col, "over", seed)), "_u", id_col, [y], "_rn")
-    sizes = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}  # one row per class
+    sizes = _class_sizes(df, y)
     top = max(sizes.values())
     spark = df.sparkSession
     wanted = []
@@ -55,13 +64,22 @@ def stratified_folds(df: DataFrame, id_col: str, y: str, k: int, seed: int = 42)
 
 def fold_roles(folds: DataFrame, id_col: str, k: int, train_fraction: float, seed: int = 42) -> DataFrame:
     """(fold, id, role): the shuffled rest of each fold is cut into train and validation."""
-    spread = folds.select(id_col, F.col("fold").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    rest = spread.filter(F.col("fold") != F.col("_own"))
-    key = F.concat_ws(":", F.col("fold").cast("string"), F.col(id_col).cast("string"))
-    ranked = rank_by_draw(rest.withColumn("_u", draw(key, "cut", seed)), "_u", id_col, ["fold"], "_rn")
-    role = F.when(F.col("_rn") <= F.floor(F.col("group_size") * train_fraction), "train").otherwise("val")
-    test = folds.select("fold", id_col, F.lit("test").alias("role"))
-    return ranked.select("fold", id_col, role.alias("role")).unionByName(test)
+    sizes = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}  # k rows
+    total = sum(sizes.values())
+    draws, wanted = {}, {}
+    for f in range(k):
+        u = draw(F.concat_ws(":", F.lit(str(f)), F.col(id_col).cast("string")), "cut", seed)
+        draws[f"f{f}"] = F.when(F.col("fold") != f, u)
+        wanted[f"f{f}"] = int((total - sizes.get(f, 0)) * train_fraction)
+    train = lowest(folds, id_col, draws, wanted)
+    entries = [
+        F.struct(
+            F.lit(f).alias("fold"),
+            F.when(F.col("fold") == f, "test").when(train[f"f{f}"], "train").otherwise("val").alias("role"),
+        )
+        for f in range(k)
+    ]
+    return folds.select(id_col, F.inline(F.array(*entries))).select("fold", id_col, "role")
 
 
 def custom_split(df: DataFrame, split: SplitFn) -> DataFrame:
@@ -104,48 +122,24 @@ def split_random(df: DataFrame, id_col: str, test_fraction: float, seed: int = 4
 
 def split_ids_half(df: DataFrame, subject: str, seed: int = 42) -> DataFrame:
     """(subject, role): half of the distinct subjects train, half validation."""
-    ids = df.select(subject).distinct().withColumn("_u", draw(subject, "half", seed))
-    ranked = rank_by_draw(ids, "_u", subject, None, "_rn")
-    role = F.when(F.col("_rn") <= F.floor(F.col("group_size") / 2), "train").otherwise("val")
-    return ranked.select(subject, role.alias("role"))
+    ids = df.select(subject).distinct()
+    first = lowest(ids, subject, {"u": draw(subject, "half", seed)}, {"u": ids.count() // 2})["u"]
+    return ids.select(subject, F.when(first, "train").otherwise("val").alias("role"))
 
 
 def hide_panel_rows(
     df: DataFrame, features: list[str], id_col: str, n: int | None = None, fraction: float | None = None, seed: int = 0
 ) -> DataFrame:
     """The same exactly n random rows lose all listed features."""
-    ranked = rank_by_draw(df.withColumn("_u", draw(id_col, "panel", seed)), "_u", id_col, None, "_rn")
-    limit = F.lit(n) if n is not None else F.floor(F.col("group_size") * fraction)
-    hide = F.col("_rn") <= limit
-    return ranked.select(
-        *[F.when(~hide, F.col(x)).alias(x) if x in features else F.col(x) for x in df.columns]
-    )
+    count = n if n is not None else int(df.count() * fraction)
+    hide = lowest(df, id_col, {"u": draw(id_col, "panel", seed)}, {"u": count})["u"]
+    return df.select(*[F.when(~hide, F.col(x)).alias(x) if x in features else F.col(f"`{x}`") for x in df.columns])
 
 
 def hide_fixed_count(df: DataFrame, features: list[str], id_col: str, rate: float, seed: int = 0) -> DataFrame:
-    """Exactly int(rate * n) nulls in each listed column, rows drawn per column.
-
-    The cut-off draw of each column is an exact order statistic, so the table
-    itself is only projected.
-    """
-    from gapweave.operators.ordered import kth_values
-
-    n = df.count()
-    quota = int(rate * n)
-    if quota == 0:
-        return df
-    keyed = df.select(id_col, *[draw(id_col, f"count:{x}", seed).alias(x) for x in features])
-    cutoff = {x: v[0] for x, v in kth_values(keyed, {x: [quota] for x in features}).items()}
-    below = keyed.agg(
-        *[F.count_if(F.col(x) < cutoff[x]).alias(f"b_{x}") for x in features],
-    ).first()
-    # rows that share the cut-off draw are taken in id order; equal draws are rare
-    hidden = {}
-    for x in features:
-        u = draw(id_col, f"count:{x}", seed)
-        room = quota - below[f"b_{x}"]
-        tied = [r[0] for r in keyed.filter(F.col(x) == cutoff[x]).orderBy(id_col).limit(room).select(id_col).collect()]
-        hidden[x] = (u < cutoff[x]) | F.col(id_col).isin(tied)
+    """Exactly int(rate * n) nulls in each listed column, rows drawn per column."""
+    quota = int(rate * df.count())
+    hidden = lowest(df, id_col, {x: draw(id_col, f"count:{x}", seed) for x in features}, dict.fromkeys(features, quota))
     return df.select(*[F.when(~hidden[x], F.col(x)).alias(x) if x in features else F.col(x) for x in df.columns])
 
 
