@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from gapweave.functions.draw import draw, gauss, pick
 from gapweave.functions.scalar import linear, sigmoid
 from gapweave.operators.ordered import kth_values
-from gapweave.session import cut
+from gapweave.session import cut as written
 
-NEWTON_STEPS = 10
+NEWTON_STEPS = 60
 
 
 @dataclass
@@ -82,7 +82,7 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
     """
     names = list(scores)
     flat = {f"z{i}_{j}": z for i, t in enumerate(names) for j, z in enumerate(scores[t])}
-    df = cut(df.select(*[z.alias(name) for name, z in flat.items()]))
+    df = written(df.select(*[z.alias(name) for name, z in flat.items()]))
     scores = {t: [F.col(f"z{i}_{j}") for j in range(len(scores[t]))] for i, t in enumerate(names)}
     centre = df.agg(*[_pooled([F.avg(s) for s in scores[t]]).alias(t) for t in names]).first()
     start = math.log(p / (1.0 - p))
@@ -95,7 +95,7 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
             aggs.append(_pooled([F.avg(v) for v in at]).alias(f"f_{t}"))
             aggs.append(_pooled([F.avg(v * (1.0 - v)) for v in at]).alias(f"g_{t}"))
         row = df.agg(*aggs).first()
-        moved = 0.0
+        moved, newton = 0.0, True
         for t in names:
             gap, slope = row[f"f_{t}"] - p, row[f"g_{t}"]
             if gap > 0:
@@ -104,11 +104,11 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
                 lo[t] = max(lo[t], b[t])
             step = b[t] - gap / slope if slope > 0 else math.nan
             if not lo[t] <= step <= hi[t]:
-                step = (lo[t] + hi[t]) / 2
+                step, newton = (lo[t] + hi[t]) / 2, False
             moved = max(moved, abs(step - b[t]))
             b[t] = step
-        if moved < 1e-12:
-            break
+        if newton and moved < 1e-6:
+            break  # quadratic convergence: what is left is far below the rounding
     return {t: round(v, 9) for t, v in b.items()}
 
 
@@ -177,10 +177,11 @@ def hide_mnar_quantile(
     chosen = pick(features, max(int(p_params * len(features)), 1), "censored", seed)
     n = df.count()
     low_rank, high_rank = max(1, int(q * n)), max(1, int((1 - q) * n))
-    values = kth_values(df, {x: [low_rank, high_rank] for x in chosen})
+    wanted = {"upper": [high_rank], "lower": [low_rank], "both": [low_rank, high_rank]}[cut]
+    values = kth_values(written(df.select(*chosen)), {x: wanted for x in chosen})
     hidden = {}
     for x in chosen:
-        low, high = values[x]
+        low, high = values[x][0], values[x][-1]
         upper, lower = F.col(x) >= F.lit(high), F.col(x) <= F.lit(low)
         beyond = {"upper": upper, "lower": lower, "both": lower | upper}[cut]
         hidden[x] = (draw(id_col, f"cell:{x}", seed) < p) & beyond

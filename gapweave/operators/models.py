@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.draw import draw
-from gapweave.functions.scalar import threshold_label
+from gapweave.functions.scalar import sigmoid, threshold_label
 from gapweave.operators import impute
 from gapweave.operators.blend import PoolMember
 from gapweave.operators.threshold import best_threshold, threshold_sweep
@@ -189,19 +189,49 @@ def stack_regressor(members: list[str], depth: int = 3, trees: int = 60, seed: i
 
 @dataclass
 class Platt:
-    """Logistic curve on a raw score, fitted on rows the scorer has not seen."""
+    """Logistic curve on a raw score, fitted on rows the scorer has not seen (Platt 1999).
 
-    model: object = None
+    Targets are smoothed by the class counts. Two numbers are sought, so each
+    Newton step needs six sums: one aggregate, whatever the size of the table.
+    """
 
-    def fit(self, held_out: DataFrame, p: str = "p", y: str = "y") -> Platt:
-        vec = VectorAssembler(inputCols=[p], outputCol="_score")
-        lr = LogisticRegression(featuresCol="_score", labelCol=y, regParam=0.0, standardization=False)
-        self.model = Pipeline(stages=[vec, lr]).fit(held_out.select(p, F.col(y).cast("double").alias(y)))
+    slope: float = 0.0
+    intercept: float = 0.0
+
+    def fit(self, held_out: DataFrame, p: str = "p", y: str = "y", steps: int = 50) -> Platt:
+        df = cut(held_out.select(F.col(p).cast("double").alias("f"), (F.col(y) == 1).alias("pos")))
+        n = df.agg(F.count_if("pos").alias("pos"), F.count_if(~F.col("pos")).alias("neg")).first()
+        high, low = (n["pos"] + 1.0) / (n["pos"] + 2.0), 1.0 / (n["neg"] + 2.0)
+        goal = F.when(F.col("pos"), high).otherwise(low)
+        w, b = 0.0, math.log((n["pos"] + 1.0) / (n["neg"] + 1.0))
+        best, step = math.inf, (0.0, 0.0)
+        for _ in range(steps):
+            z = F.col("f") * F.lit(w) + F.lit(b)
+            q = sigmoid(z)
+            loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - goal * z
+            h, r, f = q * (1.0 - q), q - goal, F.col("f")
+            s = df.agg(
+                F.sum(loss).alias("loss"), F.sum(r * f).alias("gw"), F.sum(r).alias("gb"),
+                F.sum(h * f * f).alias("hww"), F.sum(h * f).alias("hwb"), F.sum(h).alias("hbb"),
+            ).first()
+            if s["loss"] > best + 1e-9 * abs(best):
+                step = (step[0] / 2, step[1] / 2)  # overshot: go half the way back
+                w, b = w + step[0], b + step[1]
+                continue
+            best = s["loss"]
+            det = s["hww"] * s["hbb"] - s["hwb"] ** 2
+            if det <= 0:
+                break
+            dw = (s["gw"] * s["hbb"] - s["gb"] * s["hwb"]) / det
+            db = (s["gb"] * s["hww"] - s["gw"] * s["hwb"]) / det
+            w, b, step = w - dw, b - db, (dw, db)
+            if max(abs(dw), abs(db)) < 1e-9:
+                break
+        self.slope, self.intercept = w, b
         return self
 
     def predict(self, df: DataFrame, p: str = "p", out: str = "calibrated") -> DataFrame:
-        scored = self.model.transform(df)
-        return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
+        return df.withColumn(out, sigmoid(F.col(p) * F.lit(self.slope) + F.lit(self.intercept)))
 
 
 def platt_cross_fit(df: DataFrame, member: Callable[[], ImputedModel], id_col: str, y: str, k: int = 5, seed: int = 42) -> Platt:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gapweave.session import cut, shuffle_width
 
-_FINAL_ROWS = 50_000
+_FINAL_ROWS = 2_000
 _ACCURACY = 10_000
 
 
@@ -240,7 +240,8 @@ def lowest(df: DataFrame, id_col: str, draws: dict[str, Column], sizes: dict[str
     wanted = {name: m for name, m in sizes.items() if m > 0}
     if not wanted:
         return out
-    keyed = df.select(id_col, *[draws[name].alias(name) for name in wanted])
+    # ids and draws only, written once for the passes below
+    keyed = cut(df.select(id_col, *[draws[name].alias(name) for name in wanted]))
     cutoff = {name: v[0] for name, v in kth_values(keyed, {name: [m] for name, m in wanted.items()}).items()}
     row = keyed.agg(
         *[F.count_if(F.col(name) < cutoff[name]).alias(f"b_{name}") for name in wanted],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions.draw import draw
 from gapweave.operators.ordered import lowest, rank_by_draw
+from gapweave.session import cut
 
 SplitFn = Callable[[DataFrame], DataFrame]
 
@@ -64,6 +65,7 @@ def stratified_folds(df: DataFrame, id_col: str, y: str, k: int, seed: int = 42)
 
 def fold_roles(folds: DataFrame, id_col: str, k: int, train_fraction: float, seed: int = 42) -> DataFrame:
     """(fold, id, role): the shuffled rest of each fold is cut into train and validation."""
+    folds = cut(folds.select(id_col, "fold"))
     sizes = {r["fold"]: r["count"] for r in folds.groupBy("fold").count().collect()}  # k rows
     total = sum(sizes.values())
     draws, wanted = {}, {}

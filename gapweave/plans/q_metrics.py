@@ -12,7 +12,7 @@ from gapweave.operators.impute import Constants, MeanImputer
 from gapweave.operators.inject import Injected, hide_mcar
 from gapweave.operators.ordered import kth_values
 from gapweave.plans.registry import query
-from gapweave.plans.sqltext import FEATURES, SCORERS, SEED, f1_of, sql, u
+from gapweave.plans.sqltext import FEATURES, RATES, SCORERS, SEED, TRIALS, f1_of, sql, student_p, u
 from gapweave.plans.working import incomplete, preds, results, scaled, table
 
 MODELS = [s[0] for s in SCORERS]
@@ -579,19 +579,40 @@ def _(spark, sf):
     return rounded(significance.ttest_independent(results(spark, sf), ["model", "metric"], "rate", 10), ["t"], 4)
 
 
-@query("significance_flag")
+_RAW_IND = _IND.replace("round(", "(").replace(", 4) AS t", ") AS t")
+
+
+@query(
+    "significance_flag",
+    sql(["results"], f"""SELECT model, metric, rate, round(t, 6) AS t, df, round({student_p('t', 2 * TRIALS - 2)}, 6) AS p_value,
+    CASE WHEN {student_p('t', 2 * TRIALS - 2)} < 0.05 THEN '*' ELSE 'NS' END AS flag FROM i""", [_G, ("i", _RAW_IND)]),
+)
 def _(spark, sf):
     t = significance.with_p(significance.ttest_independent(results(spark, sf), ["model", "metric"], "rate", 10))
     return rounded(t.withColumn("flag", significance.significance_flag(F.col("p_value"))), ["t", "p_value"], 6)
 
 
-@query("means_and_pvalues")
+_PAIRED = """SELECT a.model, a.metric, p.rate_a, p.rate_b, avg(a.value - b.value) / nullif(stddev_samp(a.value - b.value) / sqrt(count(*)), 0) AS t
+    FROM (VALUES (10, 30), (30, 50)) p(rate_a, rate_b) JOIN results a ON a.rate = p.rate_a JOIN results b ON b.rate = p.rate_b AND a.trial = b.trial
+    AND a.model = b.model AND a.metric = b.metric GROUP BY ALL"""
+
+
+@query(
+    "means_and_pvalues",
+    sql(["results"], f"""SELECT model, metric, 'mean_' || rate AS item, round(avg(value), 6) AS v FROM results GROUP BY ALL
+    UNION ALL SELECT model, metric, 'p_' || rate_a || '_' || rate_b, round({student_p('t', TRIALS - 1)}, 6) FROM pt""", [("pt", _PAIRED)]),
+)
 def _(spark, sf):
-    r = significance.means_and_pvalues(results(spark, sf), ["model", "metric"], "rate", "trial", [10, 30, 50])
+    r = significance.means_and_pvalues(results(spark, sf), ["model", "metric"], "rate", "trial", RATES)
     return rounded(r, ["v"], 6)
 
 
-@query("sink_pvalues")
+@query(
+    "sink_pvalues",
+    sql(["results"], f"""SELECT model_a, model_b, n, round(m, 6) AS mean_diff, round(t, 4) AS t, n - 1 AS df, round({student_p('t', len(RATES) * TRIALS - 1)}, 6) AS p_value FROM
+    (SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, avg(a.value - b.value) AS m, avg(a.value - b.value) / nullif(stddev_samp(a.value - b.value) / sqrt(count(*)), 0) AS t
+    FROM results a JOIN results b USING (rate, trial, metric) WHERE a.model < b.model AND metric = 'f1_score' GROUP BY ALL)"""),
+)
 def _(spark, sf):
     from gapweave.plans.working import scratch
     from gapweave.sources.writers import write_csv
@@ -599,7 +620,8 @@ def _(spark, sf):
     path = scratch(spark, "pvalues")
     t = significance.with_p(significance.ttest_all_pairs(results(spark, sf).filter("metric = 'f1_score'"), ["rate", "trial"]))
     write_csv(t, path)
-    return spark.read.schema(t.schema).option("header", True).csv(path)
+    back = spark.read.schema(t.schema).option("header", True).csv(path)
+    return rounded(rounded(back, ["mean_diff", "p_value"]), ["t"], 4)
 
 
 @query(

@@ -103,7 +103,20 @@ def _(spark, sf):
     return rounded(stack.predict(p.filter("role = 'test'")), ["blend"])
 
 
-@query("platt_calibration")
+def _platt_sql(steps: int = 10) -> list[tuple[str, str]]:
+    """Chained Newton steps for slope and intercept, smoothed targets."""
+    out = [
+        ("pn", "SELECT count(*) FILTER (y = 1) AS np, count(*) FILTER (y <> 1) AS nn FROM preds WHERE role = 'val'"),
+        ("pv", "SELECT p AS f, CASE WHEN y = 1 THEN (np + 1.0::DOUBLE) / (np + 2.0::DOUBLE) ELSE 1.0::DOUBLE / (nn + 2.0::DOUBLE) END AS t FROM preds, pn WHERE role = 'val'"),
+        ("k0", "SELECT 0.0::DOUBLE AS w, ln((np + 1.0::DOUBLE) / (nn + 1.0::DOUBLE)) AS b FROM pn"),
+    ]
+    for i in range(steps):
+        out.append((f"g{i}", f"SELECT w, b, sum((q - t) * f) AS gw, sum(q - t) AS gb, sum(q * (1 - q) * f * f) AS hww, sum(q * (1 - q) * f) AS hwb, sum(q * (1 - q)) AS hbb FROM (SELECT *, {sig('w * f + b')} AS q FROM pv, k{i}) GROUP BY w, b"))
+        out.append((f"k{i + 1}", f"SELECT w - (gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb) AS w, b - (gb * hww - gw * hwb) / (hww * hbb - hwb * hwb) AS b FROM g{i}"))
+    return out
+
+
+@query("platt_calibration", sql(["preds"], f"SELECT row_id, model, y, p, round({sig('w * p + b')}, 6) AS calibrated FROM preds, k10 WHERE role = 'test'", _platt_sql()))
 def _(spark, sf):
     p = preds(spark, sf)
     fitted = models.Platt().fit(p.filter("role = 'val'"))

@@ -646,3 +646,10 @@ def _(spark, sf):
     from gapweave.operators.metrics import task_type
 
     return task_type(customer_features(spark, sf), "y")
+
+
+@query("spec_generic", sql(["cf"], "SELECT row_id, CASE WHEN n = 0 THEN 0 ELSE 1 END AS n, s FROM cf"))
+def _(spark, sf):
+    from gapweave.sources.specs import generic
+
+    return generic(customer_features(spark, sf), "customers", "n", ["a", "y"], "row_id").df

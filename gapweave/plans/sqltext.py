@@ -23,6 +23,21 @@ def f1_of(tp: str, fp: str, fn: str) -> str:
     return f"coalesce(2.0 * {tp} / nullif(2.0 * {tp} + {fp} + {fn}, 0), 0)"
 
 
+def student_p(t: str, df: int) -> str:
+    """Two-sided p of Student's t for a fixed number of degrees, by its finite trigonometric series."""
+    th = f"atan(abs({t}) / sqrt({df}.0))"
+    series, coef = [], 1.0
+    if df % 2 == 0:
+        for j in range(df // 2):
+            series.append(f"{coef!r}::DOUBLE * pow(cos({th}), {2 * j})")
+            coef *= (2 * j + 1) / (2 * j + 2)
+        return f"(1 - sin({th}) * ({' + '.join(series)}))"
+    for j in range((df - 1) // 2):
+        series.append(f"{coef!r}::DOUBLE * pow(cos({th}), {2 * j + 1})")
+        coef *= (2 * j + 2) / (2 * j + 3)
+    return f"(1 - 2 / pi() * ({th} + sin({th}) * ({' + '.join(series) or '0'})))"
+
+
 FEATURES = ["a", "n", "s"]
 
 # pool of fixed scorers: name, fill rule, weights of a, n, s, intercept

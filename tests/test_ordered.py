@@ -62,7 +62,7 @@ def test_cumulative(spark):
                 run += next(n for gg, vv, n in rows if gg == g and vv == v)
 
 
-@pytest.mark.parametrize("final", [50_000, 10])
+@pytest.mark.parametrize("final", [50_000, 2_000, 10])
 def test_kth_values(spark, monkeypatch, final):
     monkeypatch.setattr(ordered, "_FINAL_ROWS", final)
     rng = random.Random(2)
