@@ -467,7 +467,7 @@ def _(spark, sf):
 @query(
     "knn_join_embeddings",
     sql([], """SELECT q.vec_id, v.vec_id AS val_id, v.label::DOUBLE AS label, round(sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS dist
-    FROM em q JOIN em v ON q.vec_id % 5 = 0 AND v.vec_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY
+    FROM em q JOIN em v ON true QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY
     round(sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9), v.vec_id) <= 5""",
         [("em", "SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings")]),
 )
@@ -476,7 +476,7 @@ def _(spark, sf):
     d = 64  # width of the embeddings
     wide = e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(d)])
     pairs = knn.knn_join(
-        wide.filter("vec_id % 5 = 0"), wide.filter("vec_id % 5 <> 0"), [f"e{i}" for i in range(d)], 5,
+        wide, wide, [f"e{i}" for i in range(d)], 5,
         query_id="vec_id", ref_id="vec_id", payload=["label"],
     )
     return rounded(pairs.select("vec_id", "val_id", "label", "dist"), ["dist"])

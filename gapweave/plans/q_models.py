@@ -219,7 +219,7 @@ def _(spark, sf):
 @query("experiment_run")
 def _(spark, sf):
     spec = generic(customer_features(spark, sf), "customers", "y", id_col="row_id")
-    out = run_one(spec, {"p_miss": 0.1, "mechanism": "MCAR"}, _small_pool, Settings(top_n=[1, 0]), only_folds=[0])
+    out = run_one(spec, {"p_miss": 0.1, "mechanism": "MCAR"}, _small_pool, Settings(top_n=[1, 0], folds=2))
     return rounded(out.metrics, ["value"])
 
 

@@ -461,14 +461,13 @@ def _(spark, sf):
 
 @query(
     "join_full_outer",
-    f"""SELECT coalesce(x.k, y.k, z.k) AS k, x.a, y.n, z.m FROM
-    (SELECT c_custkey AS k, c_acctbal AS a FROM customer WHERE {u('c_custkey', 'side1')} < 0.7) x
+    """SELECT coalesce(x.k, y.k, z.k) AS k, x.a, y.n, z.m FROM
+    (SELECT c_custkey AS k, c_acctbal AS a FROM customer) x
     FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) y ON x.k = y.k
     FULL JOIN (SELECT user_id AS k, count(*) AS m FROM events GROUP BY 1) z ON coalesce(x.k, y.k) = z.k""",
 )
 def _(spark, sf):
-    x = table(spark, sf, "customer").filter(draw("c_custkey", "side1", SEED) < 0.7)
-    x = x.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("a"))
+    x = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("a"))
     y = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     z = table(spark, sf, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("m"))
     return x.join(y, "k", "full").join(z, "k", "full")
@@ -479,14 +478,13 @@ _KEYS = ["l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discou
 
 @query(
     "join_inner_multikey",
-    f"""SELECT a.l_orderkey, b.l_partkey FROM lineitem a JOIN lineitem b USING ({', '.join(_KEYS)}, l_shipdate)
-    WHERE {u('a.l_orderkey', 'left')} < 0.5 AND {u('b.l_orderkey', 'right')} < 0.7""",
+    f"SELECT a.l_orderkey, b.l_partkey FROM lineitem a JOIN lineitem b USING ({', '.join(_KEYS)}, l_shipdate)",
 )
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     keys = [*_KEYS, "l_shipdate"]
-    a = li.filter(draw("l_orderkey", "left", SEED) < 0.5).select("l_orderkey", *keys)
-    b = li.filter(draw("l_orderkey", "right", SEED) < 0.7).select("l_partkey", *keys)
+    a = li.select("l_orderkey", *keys)
+    b = li.select("l_partkey", *keys)
     return a.join(b, keys).select("l_orderkey", "l_partkey")
 
 
