@@ -32,6 +32,7 @@ class Settings:
     train_fraction: float = TRAIN_FRACTION
     seed: int = 42
     parallel: int = 2
+    stack_trees: int = 60
     fit_scaling_on: str = "all"  # 'train' avoids that test rows set the limits
     knn: dict = field(default_factory=dict)
 
@@ -101,7 +102,7 @@ def _run_fold(spec, table, feats, folds, fold, make_pool, st, regression) -> dic
     near = cut(blend.neighbours(views, feats, st.k, regression, **st.knn))
     comp = blend.competences(near, regression)
     dew = cut(blend.dew(comp, st.top_n, None if regression else st.threshold))
-    stack = (models.stack_regressor if regression else models.stack_classifier)(names).fit(val)
+    stack = (models.stack_regressor if regression else models.stack_classifier)(names, trees=st.stack_trees).fit(val)
     y = views[0].test.select("row_id", "y")
     blended = [
         blend.blend_uniform(test, ["row_id"]).select("row_id", F.lit("uniform").alias("model"), F.col("blend").alias("p")),

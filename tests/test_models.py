@@ -131,7 +131,7 @@ def test_experiment(spark, full, tmp_path):
     spec = TableSpec(full, "toy", "y")
     grid = [{"p_miss": 0.1, "mechanism": "MCAR"}]
     out = str(tmp_path / "out")
-    run_grid(spec, grid, _pool, out, Settings(folds=3, parallel=1), only_folds=[0])
+    run_grid(spec, grid, _pool, out, Settings(folds=3, parallel=1, stack_trees=3), only_folds=[0])
     names = {r["model"] for r in spark.read.parquet(f"{out}/run=0/metrics").select("model").distinct().collect()}
     assert names == {"forest+mean", "forest+knn", "uniform", "stacking", "dew_top_1", "dew_top_3", "dew_top_all"}
     w = spark.read.parquet(f"{out}/run=0/weights").groupBy("row_id", "top_n").agg(F.sum("w").alias("s"))
@@ -151,7 +151,7 @@ def test_regression_experiment(full):
         return models.cross(make, {"mean": lambda: impute.MeanImputer(features)}, features, target, id_col)
 
     spec = TableSpec(full.drop("y").withColumn("t", F.round("c", 1)).drop("c"), "toy", "t")
-    out = run_one(spec, {"p_miss": 0.1}, pool, Settings(folds=3, parallel=1, top_n=[1, 0]), regression=True, only_folds=[1])
+    out = run_one(spec, {"p_miss": 0.1}, pool, Settings(folds=3, parallel=1, top_n=[1, 0], stack_trees=3), regression=True, only_folds=[1])
     got = {r["model"]: r["value"] for r in out.metrics.collect()}
     assert set(got) == {"forest+mean", "uniform", "stacking", "dew_top_1", "dew_top_all"}
     assert got["uniform"] == pytest.approx(got["forest+mean"]) == pytest.approx(got["dew_top_1"])
