@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import egojoin, jaccard, licenses, packing, pu, quality, topk, toxicity, transducer
+from gapweave.llm import egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
 from gapweave.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut)
 
 
+@query
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 200 bytes that occur elsewhere."""
+    done = suffix.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    n, kept = F.octet_length("raw").cast("long"), F.octet_length("kept").cast("long")
+    return done.select(
+        "doc_id", n.alias("n_bytes"), (n - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def not_held_out(parts: int, rest: int) -> Callable[[str], Column]:
     return lambda column: id_crc(column) % parts != rest
 
