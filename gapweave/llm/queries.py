@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
+from gapweave.llm import brown, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
 from gapweave.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +115,18 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and class-bigram log10 probabilities of every document; every seventh is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    model = brown.fit(docs.filter(not_held_out(7, 2)("doc_id")))
+    each = math.log10(model.tokens + model.distinct + 1)
+    return brown.score(docs, model).select(
+        "doc_id", (id_crc("doc_id") % 7 == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(each)).alias("base_score"), "score",
+    )
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingles have a Jaccard similarity of 0.9 or more."""
