@@ -197,7 +197,8 @@ def join(docs: DataFrame, n: int = 3, least: Fraction = Fraction(9, 10), id_col:
     rows = spill(described(docs, n, least, id_col, text_col))
     signed = rows.filter("k is not null").select(F.explode("signatures").alias("s"), "k")
     shared = signed.groupBy("s").agg(F.min("k").alias("hub"), F.max("k").alias("last")).filter("hub <> last").select("s", "hub")
-    touching = spill(signed.join(shared, "s").filter("k <> hub").select("k", "hub").distinct())
+    # a merge join at every size: a hot segment is split by Spark, and cost grows in proportion
+    touching = spill(signed.join(shared.hint("merge"), "s").filter("k <> hub").select("k", "hub").distinct())
     clusters = components(touching, "k", "hub").select(F.col("node").alias("k"), F.col("root").alias("cluster"))
     clusters = spill(clusters)
     texts = spill(_texts(docs, clusters.select("k"), n, text_col))
