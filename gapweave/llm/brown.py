@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,13 @@ class _Units(dict):
 
 def unit_bigrams(texts: DataFrame, units: dict[bytes, int]) -> np.ndarray:
     """Counts of neighbouring units, the end of a text included on both sides. Tasks send counted pairs by
-    blocks of rows; blocks are added up on executors, and a matrix of bounded size reaches the driver."""
-    size, rows = WORDS + ENDINGS + 1, 64
+    blocks of rows; blocks are added up on executors, in two rounds with salted keys, and a matrix of bounded size reaches the driver."""
+    size, rows, salts = WORDS + ENDINGS + 1, 64, 64
+
+    def packed(block: int, salt: int, part: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(part)
+        columns = [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "salt", "at", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, held, waiting = _Units(units), np.zeros(size * size, np.int64), [], 0
@@ -98,23 +104,26 @@ def unit_bigrams(texts: DataFrame, units: dict[bytes, int]) -> np.ndarray:
         if held:
             total += np.bincount(np.concatenate(held), minlength=size * size)
         for block in range(-(-size // rows)):
-            part = total[block * rows * size : (block + 1) * rows * size]
-            at = np.flatnonzero(part)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["block", "at", "n"])
+            yield packed(block, TaskContext.get().partitionId() % salts, total[block * rows * size : (block + 1) * rows * size])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+        now, total = None, np.zeros(rows * size, np.int64)
+        for batch in slices(batches, 64):
             for r in batch.to_pylist():
-                into = sums.setdefault(r["block"], np.zeros(rows * size, np.int64))
-                into[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int64)
-        for block, part in sums.items():
-            at = np.flatnonzero(part)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], ["block", "at", "n"])
-
-    kinds = "block int, at binary, n binary"
+                if now is not None and now != (r["block"], r["salt"]):
+                    yield packed(*now, total)
+                    total[:] = 0
+                now = (r["block"], r["salt"])
+                total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int64)
+        if now is not None:
+            yield packed(*now, total)
+
+    def added(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, kinds)
+
+    kinds = "block int, salt int, at binary, n binary"
     out = np.zeros((-(-size // rows)) * rows * size, np.int64)
-    for r in texts.mapInArrow(count, kinds).repartition("block").mapInArrow(add, kinds).collect():
+    for r in added(added(texts.mapInArrow(count, kinds), "block", "salt").withColumn("salt", F.lit(0)), "block", "salt").collect():
         out[r["block"] * rows * size + np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int64)
     return out[: size * size].reshape(size, size)
 
