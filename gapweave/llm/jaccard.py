@@ -111,6 +111,8 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 def _links(keys: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     """Edges that join what is linked in a block: each set to the smallest key it reaches there."""
     ia, ib = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+    if not len(ia) or not len(ib):
+        return []
     both = overlaps([sets[k] for k in ia], [sets[k] for k in ib])
     size = np.array([len(x) for x in sets])
     hit = q * both >= p * (size[ia][:, None] + size[ib][None, :] - both)
