@@ -355,7 +355,7 @@ def test_license_scan(docs, none):
         assert (r["n_base"], r["first_word"], r["last_word"]) == (len(every), min(every, default=None), max(every, default=None))
         assert r["base_labels"] == ",".join(sorted(b for b, p in places.items() if p)) and set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""}
         assert 0 <= r["score"] <= 1
-    assert got[11, 6]["labels"] == "cc-by,cc-by-nc"
+    assert got[11, 7]["labels"] == "cc-by,cc-by-nc"
     assert licenses.scan(none).collect() == []
 
 
