@@ -53,10 +53,11 @@ class Injected:
         return self.source.select(self.id_col, F.inline(F.array(*parts)))
 
     def flag(self, feature: str) -> Column:
-        return self.hidden.get(feature, F.lit(False))
+        """Never null: a cell whose rule needs a value that is missing is not hidden."""
+        return F.coalesce(self.hidden[feature], F.lit(False)) if feature in self.hidden else F.lit(False)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({x: F.when(~m, F.col(x)) for x, m in self.hidden.items()})
+        return df.withColumns({x: F.when(~self.flag(x), F.col(x)) for x in self.hidden})
 
     def with_flags(self) -> DataFrame:
         """Source values, ``m_<f>`` flags and ``x_<f>`` incomplete values side by side."""
@@ -70,7 +71,7 @@ def unit_variance_weights(
     """Normal weights, scaled so that each weighted sum has sample SD 1 (one aggregate)."""
     raw = {t: {i: gauss(f"w:{i}:{t}", seed) for i in inputs} for t in targets}
     sd = df.agg(*[F.stddev_samp(linear(raw[t])).alias(t) for t in targets]).first()
-    return {t: {i: w / sd[t] for i, w in raw[t].items()} for t in targets}
+    return {t: {i: w / sd[t] if sd[t] else 0.0 for i, w in raw[t].items()} for t in targets}  # constant inputs weigh nothing
 
 
 def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) -> dict[str, float]:
@@ -86,7 +87,8 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
     scores = {t: [F.col(f"z{i}_{j}") for j in range(len(scores[t]))] for i, t in enumerate(names)}
     centre = df.agg(*[_pooled([F.avg(s) for s in scores[t]]).alias(t) for t in names]).first()
     start = math.log(p / (1.0 - p))
-    b = {t: start - centre[t] for t in names}
+    b = {t: start - (centre[t] or 0.0) for t in names}
+    names = [t for t in names if centre[t] is not None]  # without any score there is nothing to fit
     lo, hi = {t: -100.0 for t in names}, {t: 100.0 for t in names}
     for _ in range(NEWTON_STEPS):
         aggs = []
@@ -109,6 +111,9 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
             b[t] = step
         if newton and moved < 1e-6:
             break  # quadratic convergence: what is left is far below the rounding
+    else:
+        if any(hi[t] - lo[t] > 1e-9 for t in names):
+            raise ArithmeticError(f"intercepts did not settle in {NEWTON_STEPS} steps")
     return {t: round(v, 9) for t, v in b.items()}
 
 
@@ -152,7 +157,7 @@ def hide_mnar_self(
     """A cell's own value decides. By default the intercept is fitted on all columns pooled."""
     raw = {x: gauss(f"w:{x}", seed) for x in features}
     sd = df.agg(*[F.stddev_samp(F.col(x) * F.lit(raw[x])).alias(x) for x in features]).first()
-    w = {x: raw[x] / sd[x] for x in features}
+    w = {x: raw[x] / sd[x] if sd[x] else 0.0 for x in features}  # a constant column weighs nothing
     pool = {x: [F.col(z) * F.lit(w[x]) for z in ([x] if per_column else features)] for x in features}
     b = fit_intercepts(df, pool, p)
     return {
@@ -175,12 +180,16 @@ def hide_mnar_quantile(
     if cut not in ("upper", "lower", "both"):
         raise ValueError("cut is one of upper, lower, both")
     chosen = pick(features, max(int(p_params * len(features)), 1), "censored", seed)
-    n = df.count()
-    low_rank, high_rank = max(1, int(q * n)), max(1, int((1 - q) * n))
-    wanted = {"upper": [high_rank], "lower": [low_rank], "both": [low_rank, high_rank]}[cut]
-    values = kth_values(written(df.select(*chosen)), {x: wanted for x in chosen})
-    hidden = {}
-    for x in chosen:
+    known = df.agg(*[F.count(x).alias(x) for x in chosen]).first()
+
+    def ranks(n: int) -> list[int]:  # among the values that are there
+        low, high = max(1, int(q * n)), max(1, int((1 - q) * n))
+        return {"upper": [high], "lower": [low], "both": [low, high]}[cut]
+
+    filled = [x for x in chosen if known[x]]
+    values = kth_values(written(df.select(*filled)), {x: ranks(known[x]) for x in filled}) if filled else {}
+    hidden = {x: F.lit(False) for x in chosen if not known[x]}
+    for x in filled:
         low, high = values[x][0], values[x][-1]
         upper, lower = F.col(x) >= F.lit(high), F.col(x) <= F.lit(low)
         beyond = {"upper": upper, "lower": lower, "both": lower | upper}[cut]
