@@ -1,6 +1,5 @@
 """Training-data operators against brute force on small tables with odd rows."""
 
-import hashlib
 import importlib.util
 import random
 import zlib
@@ -371,8 +370,10 @@ def test_pipeline_stages(spark, tmp_path):
 
     docs, labels = labelled(spark, 300)
     docs = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
-    same = " ".join(f"w{k}" for k in range(120))
-    extra = [(9000, same), (9001, same), (9002, same + " end"), (None, "plain words of a row without id")]
+    random.seed(9)
+    kinds = ["river", "stone", "cloud", "house", "walks", "green"]
+    same, other = (" ".join(random.choice(kinds) for _ in range(60)) for _ in range(2))
+    extra = [(9000, same), (9001, same), (9002, same + " river"), (None, other)]
     docs = docs.union(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in extra], docs.schema))
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     now, kept = docs, []
@@ -387,4 +388,3 @@ def test_pipeline_stages(spark, tmp_path):
     if importlib.util.find_spec("public_tokenizers"):
         last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
         assert {r["doc_id"] for r in last} >= {9000, None}
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
