@@ -1,10 +1,11 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of all n-grams (by hash) is cut into fragments, and a document's set into the segments that fall
-there. Two sets that are similar enough differ in fewer n-grams than there are fragments, so some segment is the
-same in both: equal segments find the candidates, and common n-grams alone never do. Candidates that hang together
-are compared exactly: n-grams are counted fragment by fragment, for all pairs of a block at once, and the partial
-overlaps are summed per pair.
+there. Each fragment is counted on its own: which of a set's n-grams also occur in another set. The partial counts
+are summed per set, and a set that shares too few n-grams with all others together is out. The rest are candidates
+of each other by their rarest shared n-grams: of two similar sets, the rarest common n-gram is among the first few
+of both, so common n-grams alone never make candidates. Candidates that hang together are compared exactly: n-grams
+are counted fragment by fragment, for all pairs of a block at once, and the partial overlaps are summed per pair.
 """
 
 from __future__ import annotations
@@ -20,60 +21,18 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import keep_types, slices, spill
 from gapweave.llm.components import components
-from gapweave.llm.hashing import mix, shingles
+from gapweave.llm.hashing import shingles
 
 #: Documents of one side of a compared block, and n-grams counted at once there.
 BLOCK = 256
 FRAGMENT = 4096
-#: Fragments beyond the least number, so that a few empty ones do no harm.
-SPARE = 3
-#: Sets of about this ratio of sizes share one way of cutting.
-RATIO = 1.5
+#: N-grams (4 bytes each) of one fragment, and how few are still worth a fragment of their own.
+HELD = 4_000_000
+LEAST_HELD = 100_000
 #: Up to so many set keys (8 bytes each) are broadcast to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
-class Cuts:
-    """How sets are cut, by class of size, for a least similarity p/q."""
-
-    def __init__(self, least: Fraction, largest: int = 1 << 31):
-        self.least = least
-        start = 1
-        while self.differing(start) < 1:
-            start += 1
-        self.first = start  # smaller sets are similar only if equal
-        self.bounds = [start]
-        while self.bounds[-1] < largest:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * RATIO)))
-
-    def differing(self, size: int) -> int:
-        """Most n-grams that are in one only of two similar sets of at most ``size`` n-grams."""
-        t = self.least
-        return int((1 - t) * Fraction(2 * size) / (1 + t))
-
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """Hashes of the segments of a sorted set, for its class and, near the bound, for the next."""
-        n = len(x)
-        if n < self.first:
-            # it may still meet a set of the first class
-            classes = [0] if n >= self.least * self.bounds[0] else []
-        else:
-            own = int(np.searchsorted(self.bounds, n, "right")) - 1
-            classes = [own] + ([own + 1] if n >= self.least * self.bounds[own + 1] else [])
-        out = []
-        for c in classes:
-            most = self.differing(self.bounds[c + 1] - 1)
-            count = most + 1 + SPARE
-            place = ((x >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
-            begin = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            tag = mix(place[begin] * np.uint64(64) + np.uint64(c))
-            out.append(mix(np.add.reduceat(mix(x ^ np.uint64(0x5851F42D4C957F2D)), begin) ^ tag))
-            if len(begin) <= most:  # so few segments could all differ: empty ones count too
-                empty = np.setdiff1d(np.arange(count, dtype=np.uint64), place)
-                out.append(mix(mix(empty * np.uint64(64) + np.uint64(c)) + np.uint64(1)))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-
-
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()  # bytes: A-Z only
 
@@ -157,21 +116,131 @@ def _compare(blocks: DataFrame, texts: DataFrame, n: int, least: Fraction) -> Da
     return full.repartition(*keys).sortWithinPartitions(*keys, "side", "k").mapInArrow(run, "u long, v long")
 
 
-def described(docs: DataFrame, n: int, least: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """The id, n_shingles, k (key of the set) and the signatures of its segments, per row."""
+def described(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """The id, n_shingles and k (key of the set) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = Cuts(least)
         for batch in slices(batches):
             sets = [shingles(_raw(t), n) for t in batch.column(1).to_pylist()]
+            size, key = pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, key], ["id", "n_shingles", "k"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, keep_types(source, "id") + ", n_shingles long, k long")
+
+
+def segments(docs: DataFrame, n: int, fragments: int, text_col: str) -> DataFrame:
+    """(fragment, ks, sizes, grams): the segments of some sets in one fragment, as packed arrays.
+
+    An n-gram is 32 bits of its hash there; two that agree count as one, which can only add candidates. Of equal
+    sets in one task, one is sent.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in slices(batches):
+            sets: dict[int, np.ndarray] = {}
+            for text in batch.column(0).to_pylist():
+                x = shingles(_raw(text), n)
+                k = set_key(x)
+                if k is not None and k not in seen:
+                    seen.add(k)
+                    sets[k] = x
+            if not sets:
+                continue
+            keys, flat = np.array(list(sets), np.int64), np.concatenate(list(sets.values()))
+            owner = np.repeat(np.arange(len(keys)), [len(x) for x in sets.values()])
+            place = ((flat >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+            order = np.argsort(place, kind="stable")
+            flat, owner, place = flat[order], owner[order], place[order]
+            cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1], [True])))
+            out = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                at, size = np.unique(owner[i:j], return_counts=True)
+                out.append((int(place[i]), keys[at].tobytes(), size.astype(np.uint32).tobytes(), flat[i:j].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.int64()),
-                 pa.array([cuts.signatures(x) for x in sets], pa.list_(pa.int64()))],
-                ["id", "n_shingles", "k", "signatures"],
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                ["fragment", "ks", "sizes", "grams"],
             )
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, keep_types(source, "id") + ", n_shingles long, k long, signatures array<long>")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fragment int, ks binary, sizes binary, grams binary")
+
+
+def shared_grams(keys: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+    """(k, number, n-grams, in how many sets, at most 255) of what each set of a fragment shares with any other."""
+    keys, first = np.unique(keys, return_index=True)  # a set may come from several tasks
+    sizes = sizes.astype(np.int64)
+    taken, size = (np.cumsum(sizes) - sizes)[first], sizes[first]
+    owner = np.repeat(np.arange(len(keys), dtype=np.uint64), size)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(taken, size)
+    pairs = np.sort(grams[at].astype(np.uint64) << np.uint64(32) | owner)
+    gram = pairs >> np.uint64(32)
+    start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+    other = np.concatenate(([True], pairs[1:] != pairs[:-1]))
+    count = np.repeat(np.add.reduceat(other.astype(np.int64), start), np.diff(np.append(start, len(pairs))))
+    pairs, count = pairs[count > 1], np.minimum(count[count > 1], 255).astype(np.uint8)
+    owner = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    owner, gram, count = owner[order], (pairs[order] >> np.uint64(32)).astype(np.uint32), count[order]
+    cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
+    return [(int(keys[owner[i]]), int(j - i), gram[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _shared(parts: DataFrame) -> DataFrame:
+    """(k, fragment, shared, grams, counts): per set and fragment, the n-grams that another set has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes, bytes]] = []
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = shared_grams(*[np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), (np.int64, np.uint32, np.uint32), strict=True)])
+            for low in range(0, len(found), 10_000):
+                k, number, gram, count = zip(*found[low : low + 10_000], strict=True)
+                columns = [pa.array(k, pa.int64()), pa.array([now] * len(k), pa.int32()), pa.array(number, pa.int64()), pa.array(gram, pa.binary()), pa.array(count, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "fragment", "shared", "grams", "counts"])
+
+        for batch in slices(batches):
+            for r in batch.to_pylist():
+                if r["fragment"] != now and held:
+                    yield from close()
+                    held = []
+                now = r["fragment"]
+                held.append((r["ks"], r["sizes"], r["grams"]))
+        if held:
+            yield from close()
+
+    dealt = parts.repartition("fragment").sortWithinPartitions("fragment")
+    return dealt.mapInArrow(run, "k long, fragment int, shared long, grams binary, counts binary")
+
+
+def rarest(size: int, parts: list[tuple[int, bytes, bytes]], least: Fraction) -> np.ndarray:
+    """The first n-grams of a set's shared ones, rare ones first: so many that a similar set has one of them too."""
+    count = np.concatenate([np.frombuffer(p[2], np.uint8) for p in parts])
+    gram = np.concatenate([np.frombuffer(p[1], np.uint32).astype(np.uint64) | np.uint64(p[0] << 32) for p in parts])
+    needed = -(-least.numerator * size // least.denominator)  # a similar set has so many of them
+    order = np.lexsort((gram, count))[: max(0, len(gram) - needed + 1)]
+    return np.unique(gram[order]).view(np.int64)
+
+
+def signatures(docs: DataFrame, rows: DataFrame, n: int, least: Fraction, text_col: str) -> DataFrame:
+    """(s, k): the rarest shared n-grams of the sets that share enough to be similar to any other."""
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fragments = max(1, -(-total // HELD), min(width, total // LEAST_HELD))
+    found = spill(_shared(segments(docs, n, fragments, text_col)))
+    sizes = rows.filter("k is not null").groupBy("k").agg(F.first("n_shingles").alias("n"))
+    enough = F.col("shared") * least.denominator >= F.col("n") * least.numerator
+    rest = found.groupBy("k").agg(F.sum("shared").alias("shared")).join(sizes, "k").filter(enough).select("k", "n")
+    sets = found.join(rest, "k").groupBy("k", "n").agg(F.collect_list(F.struct("fragment", "grams", "counts")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for r in batch.to_pylist():
+                s = rarest(r["n"], [(x["fragment"], x["grams"], x["counts"]) for x in r["parts"]], least)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), r["k"], np.int64))], ["s", "k"])
+
+    return sets.mapInArrow(run, "s long, k long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFrame:
@@ -196,10 +265,10 @@ def join(docs: DataFrame, n: int = 3, least: Fraction = Fraction(9, 10), id_col:
     null id is carried along, and is never the smallest. Other columns are not read; no rows give none.
     Sets are compared by 64-bit hashes of their n-grams.
     """
-    rows = spill(described(docs, n, least, id_col, text_col))
-    signed = rows.filter("k is not null").select(F.explode("signatures").alias("s"), "k")
+    rows = spill(described(docs, n, id_col, text_col))
+    signed = spill(signatures(docs, rows, n, least, text_col))
     shared = signed.groupBy("s").agg(F.min("k").alias("hub"), F.max("k").alias("last")).filter("hub <> last").select("s", "hub")
-    # a merge join at every size: a hot segment is split by Spark, and cost grows in proportion
+    # a merge join at every size: a hot n-gram is split by Spark, and cost grows in proportion
     touching = spill(signed.join(shared.hint("merge"), "s").filter("k <> hub").select("k", "hub").distinct())
     clusters = components(touching, "k", "hub").select(F.col("node").alias("k"), F.col("root").alias("cluster"))
     clusters = spill(clusters)

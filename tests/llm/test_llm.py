@@ -316,6 +316,7 @@ def test_class_bigrams_sum_to_one_and_exchange_helps(docs):
 @pytest.mark.parametrize("n,least,block", [(3, Fraction(9, 10), 256), (3, Fraction(1, 2), 3), (5, Fraction(4, 5), 2), (1, Fraction(3, 5), 4)])
 def test_jaccard_join(spark, n, least, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LEAST_HELD", 500)  # several fragments
     random.seed(int(least * 100))
     rows = [(r[0], r[1]) for r in ROWS if r[0] is not None]
     for i in range(40):
@@ -342,6 +343,14 @@ def test_jaccard_join(spark, n, least, block, monkeypatch):
     assert jaccard.join(df.limit(0), n, least).collect() == []
 
 
+def test_shared_grams_of_a_fragment():
+    # key 7 comes twice, as from two tasks: its n-grams are no others' for that
+    keys, sizes, grams = np.array([7, 3, 7, 9]), np.array([3, 2, 3, 2], np.uint32), np.array([1, 2, 5, 2, 4, 1, 2, 5, 2, 5], np.uint32)
+    got = [(k, m, np.frombuffer(g, np.uint32).tolist(), list(c)) for k, m, g, c in jaccard.shared_grams(keys, sizes, grams)]
+    assert got == [(3, 1, [2], [3]), (7, 2, [2, 5], [3, 2]), (9, 2, [2, 5], [3, 2])]
+    assert jaccard.shared_grams(keys[:1], sizes[:1], grams[:3]) == []
+
+
 def test_license_scan(docs, none):
     import re
 
