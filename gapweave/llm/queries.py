@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import brown, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
+from gapweave.llm import brown, bytebpe, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
 from gapweave.llm.common import id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), not_held_out(3, 1))
     return _classified(docs, model, toxicity.scorer, 3, 1, 0.7)
+
+
+@query
+def op12_byte_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids and decoded bytes of every document, as digests."""
+    import public_tokenizers
+
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bytebpe.encode(table(spark, sf_dir, "documents"), *file, offsets=False)
+    return bytebpe.decode(ids, *file).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
