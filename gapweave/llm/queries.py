@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import brown, bytebpe, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
-from gapweave.llm.common import id_crc, table
+from gapweave.llm import brown, bytebpe, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer, variants
+from gapweave.llm.common import id_crc, spill, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -162,6 +162,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(docs, model, toxicity.scorer, 3, 1, 0.7)
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some of which lose a letter, with the more frequent spelling each leads to."""
+    words = variants.vocabulary(table(spark, sf_dir, "documents"), 5, 3, variants.letter_lost(97))
+    return variants.group(spill(words), 2)
+
+
+SQL["op11_spelling_variants"] = """
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i))
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), d AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+u AS (
+  SELECT run, n, list_concat([4294967295], flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))) AS b FROM d
+), h AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) AS h FROM u, t),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3
+), g AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM w, unnest(range(1, length(word) + 1)) x(i)),
+p AS (
+  SELECT a.word, b.word AS other FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM g JOIN w ON g.less = w.word
+  UNION SELECT w.word, g.word FROM g JOIN w ON g.less = w.word
+), q AS (SELECT p.word, p.other, w.n AS other_n, row_number() OVER (PARTITION BY p.word ORDER BY w.n DESC, p.other) AS k, count(*) OVER (PARTITION BY p.word) AS n_near FROM p JOIN w ON w.word = p.other),
+f AS (SELECT w.word, w.n, coalesce(q.n_near, 0)::BIGINT AS n_near, CASE WHEN q.other_n >= 2 * w.n THEN q.other END AS form, CASE WHEN q.other_n >= 2 * w.n THEN q.other_n END AS form_n FROM w LEFT JOIN q ON q.word = w.word AND q.k = 1),
+c AS (
+  SELECT word, word AS place, 0 AS step FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.place WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(place, step) AS root FROM c GROUP BY word) e ON e.word = f.word
+"""
+
+
 @query
 def op12_byte_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids and decoded bytes of every document, as digests."""
