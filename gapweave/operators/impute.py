@@ -1,8 +1,8 @@
 """Imputers: fitted on one table, applied to any other.
 
 The simple ones keep a few constants and apply as a projection. The iterative
-ridge imputer needs only sums of products, which Spark adds up; the small
-system is solved on the driver.
+ridge imputer needs only sums of products by pattern of gaps, which Spark adds
+up in one scan; the small systems are solved on the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators.knn import knn_join
+from gapweave.operators.patterns import LinearStep, PatternTable, known
 from gapweave.session import cut
 
 
@@ -151,13 +152,6 @@ class KnnImputer:
 # ---- iterative ridge -------------------------------------------------------
 
 
-@dataclass
-class LinearStep:
-    target: int
-    coef: np.ndarray  # one weight per feature, 0 at the target
-    intercept: float
-
-
 @dataclass
 class IterativeRidge:
     """Start values and the ordered regressions that were fitted."""
@@ -171,6 +165,8 @@ class IterativeRidge:
         """Apply all fitted regressions in order, one pass over the rows."""
         feats, steps = self.features, self.steps
         names = df.columns
+        if steps:
+            df = df.withColumns({x: known(x) for x in feats})
         flagged = self.start.transform(df.withColumns({f"_g_{x}": F.col(x).isNull() for x in feats}))
         if not steps:
             return flagged.select(*names)
@@ -203,13 +199,14 @@ def _run_steps(m: np.ndarray, gaps: np.ndarray, steps: list[LinearStep]) -> None
 
 
 class IterativeRidgeImputer:
-    """Round-robin regression on sums of products.
-
-    Per column and round: one pass that replays the regressions fitted so far
-    on the mean-filled rows, adds up the products of the rows where the column
-    was observed, and returns d*d sums. Nothing else is kept, so there is no
-    growing lineage and no table per round. ``bayes`` chooses the evidence
-    based strength (MacKay 1992); otherwise ``strength`` is a fixed ridge.
+    """Round-robin regression on sums of products by pattern of gaps (:mod:`gapweave.operators.patterns`).
+
+    One scan for means and counts, one for the sums; all columns and rounds then work on the patterns. Rounds end when
+    no filled value moves by ``tolerance`` of the largest absolute value. That is settled by bounds from the patterns,
+    and by a look at the rows only where the bounds lie on both sides of it. ``bayes`` chooses the evidence
+    based strength (MacKay 1992); otherwise ``strength`` is a fixed ridge. ``targets`` are the columns to fit, all by
+    default, taken from the fewest gaps to the most (``order`` "ascending") or as given ("roman"). A column without any
+    value stays as it is and takes no part; NaN is a gap.
     """
 
     def __init__(
@@ -219,87 +216,65 @@ class IterativeRidgeImputer:
         tolerance: float = 1e-3,
         bayes: bool = True,
         strength: float = 1.0,
+        targets: list[str] | None = None,
+        order: str = "ascending",
     ):
         self.features, self.rounds, self.tolerance = features, rounds, tolerance
-        self.bayes, self.strength = bayes, strength
+        self.bayes, self.strength, self.targets, self.order = bayes, strength, targets, order
 
     def fit(self, df: DataFrame) -> IterativeRidge:
-        feats = self.features
         row = df.agg(
-            *[F.avg(x).alias(f"m_{x}") for x in feats],
-            *[F.count_if(F.col(x).isNull()).alias(f"n_{x}") for x in feats],
-            *[F.max(F.abs(F.col(x))).alias(f"a_{x}") for x in feats],
+            *[F.avg(known(x)).alias(f"m_{x}") for x in self.features],
+            *[F.count_if(known(x).isNull()).alias(f"n_{x}") for x in self.features],
+            *[F.max(F.abs(known(x))).alias(f"a_{x}") for x in self.features],
         ).first()
+        feats = [x for x in self.features if row[f"m_{x}"] is not None]
         start = Constants({x: row[f"m_{x}"] for x in feats})
-        order = sorted((i for i, x in enumerate(feats) if row[f"n_{x}"]), key=lambda i: (row[f"n_{feats[i]}"], i))
-        limit = self.tolerance * max(row[f"a_{x}"] or 0.0 for x in feats)
+        wanted = set(self.targets or feats)
+        order = [i for i, x in enumerate(feats) if row[f"n_{x}"] and x in wanted]
+        if self.order == "ascending":
+            order.sort(key=lambda i: (row[f"n_{feats[i]}"], i))
+        if not order:
+            return IterativeRidge(feats, start, [], 0)
+        limit = self.tolerance * max(row[f"a_{x}"] for x in feats)
+        centre = np.array([start.values[x] for x in feats])
+        sums = PatternTable(df, feats, start.values)
         steps: list[LinearStep] = []
-        base = self._rows(df, start)
         done = 0
         for done in range(1, self.rounds + 1):
             before = len(steps)
             for j in order:
-                steps.append(self._fit_column(base, steps, j))
-            if done > 1 and self._largest_move(base, steps, before) < limit:
+                others = [i for i in range(len(feats)) if i != j]
+                coef, intercept = _solve(sums.sums(j), others, j, None if self.bayes else self.strength)
+                sums.apply(LinearStep(j, coef, intercept))
+                steps.append(LinearStep(j, coef, float(intercept + centre[j] - coef @ centre)))
+            if done > 1 and self._settled(df, feats, start, sums, steps, before, limit):
                 break
         return IterativeRidge(feats, start, steps, done)
 
-    def _rows(self, df: DataFrame, start: Constants) -> DataFrame:
-        """Start values (x..) and which cells were gaps (g..); written once for the many passes."""
-        feats = self.features
-        d = range(len(feats))
-        flagged = df.select(
-            *[F.col(x).cast("double").alias(x) for x in feats], *[F.col(x).isNull().alias(f"_g_{x}") for x in feats]
-        )
-        filled = start.transform(flagged)
-        return cut(
-            filled.select(*[F.col(feats[i]).alias(f"x{i}") for i in d], *[F.col(f"_g_{feats[i]}").alias(f"g{i}") for i in d])
-        )
-
-    def _fit_column(self, base: DataFrame, steps: list[LinearStep], j: int) -> LinearStep:
-        d = len(self.features)
-        todo = list(steps)
-        upper = np.triu_indices(d + 1)
-
-        def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((d + 1, d + 1))
-            for pdf in batches:
-                m, g = _split(pdf, d)
-                _run_steps(m, g, todo)
-                z = np.hstack([np.ones((len(m), 1)), m])[~g[:, j]]
-                total += z.T @ z
-            yield pd.DataFrame({"i": np.arange(len(upper[0])), "v": total[upper]})
-
-        sums = base.mapInPandas(products, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
-        gram = np.zeros((d + 1, d + 1))
-        for r in sums.collect():  # about half of (d + 1) squared numbers
-            a, b = upper[0][r["i"]], upper[1][r["i"]]
-            gram[a, b] = gram[b, a] = r["v"]
-        others = [i for i in range(d) if i != j]
-        coef, intercept = _solve(gram, others, j, None if self.bayes else self.strength)
-        return LinearStep(j, coef, intercept)
-
-    def _largest_move(self, base: DataFrame, steps: list[LinearStep], before: int) -> float:
-        d = len(self.features)
+    def _settled(
+        self, df: DataFrame, feats: list[str], start: Constants, sums: PatternTable, steps: list[LinearStep], before: int, limit: float
+    ) -> bool:
+        low, high = sums.move(before)
+        if high < limit or low >= limit:
+            return high < limit
         old, new = steps[:before], steps[before:]
+        centre = np.array([start.values[x] for x in feats])
 
         def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = 0.0
             for pdf in batches:
-                m, g = _split(pdf, d)
+                m = pdf.to_numpy(dtype=float).copy()
+                g = np.isnan(m)
+                m = np.where(g, centre, m)
                 _run_steps(m, g, old)
                 was = m.copy()
                 _run_steps(m, g, new)
                 top = max(top, float(np.abs(m - was).max(initial=0.0)))
             yield pd.DataFrame({"v": [top]})
 
-        return base.mapInPandas(moves, "v double").agg(F.max("v")).first()[0]
-
-
-def _split(pdf: pd.DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values and gap flags of a batch, in column order."""
-    values = pdf[[f"x{i}" for i in range(d)]].to_numpy(dtype=float)
-    return values.copy(), pdf[[f"g{i}" for i in range(d)]].to_numpy(dtype=bool)
+        rows = df.select(*[known(x).alias(f"x{i}") for i, x in enumerate(feats)])
+        return rows.mapInPandas(moves, "v double").agg(F.max("v")).first()[0] < limit
 
 
 def _solve(gram: np.ndarray, others: list[int], j: int, strength: float | None) -> tuple[np.ndarray, float]:

@@ -388,14 +388,35 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cfm = incomplete(spark, sf)
-    imp = impute.IterativeRidgeImputer(FEATURES, rounds=1, bayes=False, strength=1.0)
-    row = cfm.agg(*[F.avg(x).alias(x) for x in FEATURES]).first()
-    start = impute.Constants({x: row[x] for x in FEATURES})
-    step = imp._fit_column(imp._rows(cfm, start), [], FEATURES.index("s"))
-    model = impute.IterativeRidge(FEATURES, start, [step], 1)
+    model = impute.IterativeRidgeImputer(FEATURES, rounds=1, bayes=False, strength=1.0, targets=["s"]).fit(cfm)
     return rounded(model.transform(cfm).select("row_id", "s"), ["s"])
 
 
+def _ridge_sql(rounds: int) -> str:
+    """Round-robin ridge of strength 1, column after column: each step reads the rows as the step before left them."""
+    out = [
+        ("me", "SELECT " + ", ".join(f"avg({x}) AS {x}" for x in FEATURES) + " FROM cfm WHERE role = 'train'"),
+        ("r0", "SELECT row_id, role, " + ", ".join(f"coalesce(cfm.{x}, me.{x}) AS {x}, cfm.{x} IS NULL AS g_{x}" for x in FEATURES) + " FROM cfm, me"),
+    ]
+    for k in range(rounds * len(FEATURES)):
+        t = FEATURES[k % len(FEATURES)]
+        p, q = [x for x in FEATURES if x != t]
+        seen = f"FROM r{k}, m{k} WHERE role = 'train' AND NOT g_{t} GROUP BY pm, qm, tm"
+        out += [
+            (f"m{k}", f"SELECT avg({p}) AS pm, avg({q}) AS qm, avg({t}) AS tm FROM r{k} WHERE role = 'train' AND NOT g_{t}"),
+            (f"s{k}", f"SELECT pm, qm, tm, sum(({p} - pm) * ({p} - pm)) + 1.0 AS pp, sum(({q} - qm) * ({q} - qm)) + 1.0 AS qq, sum(({p} - pm) * ({q} - qm)) AS pq, sum(({p} - pm) * ({t} - tm)) AS pt, sum(({q} - qm) * ({t} - tm)) AS qt {seen}"),
+            (f"r{k + 1}", f"SELECT row_id, role, {', '.join(f'g_{x}' for x in FEATURES)}, {p}, {q}, CASE WHEN g_{t} THEN tm + (pt * qq - qt * pq) / (pp * qq - pq * pq) * ({p} - pm) + (qt * pp - pt * pq) / (pp * qq - pq * pq) * ({q} - qm) ELSE {t} END AS {t} FROM r{k}, s{k}"),
+        ]
+    return sql(["cfm"], f"SELECT row_id, {', '.join(f'round({x}, 6) AS {x}' for x in FEATURES)} FROM r{rounds * len(FEATURES)}", out)
+
+
+@query("impute_iter_ridge_rounds", _ridge_sql(10))
+def _(spark, sf):
+    cfm = incomplete(spark, sf)
+    ridge = impute.IterativeRidgeImputer(FEATURES, rounds=10, tolerance=0.0, bayes=False, strength=1.0, order="roman")
+    return rounded(ridge.fit(cfm.filter("role = 'train'")).transform(cfm).select("row_id", *FEATURES), FEATURES)
+
+
 @query("impute_iter_ridge")
 def _(spark, sf):
     cfm = incomplete(spark, sf)
