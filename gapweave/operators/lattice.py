@@ -6,12 +6,14 @@ arithmetic on the mask, so no pair of nodes is ever compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.functions.scalar import c, observed_mask
+from gapweave.operators import gaptrees
 from gapweave.operators.clean import Panel
 
 MAX_PANELS = 20
@@ -134,6 +136,8 @@ class Lattice:
     models: dict[int, object] = field(default_factory=dict)
     counts: dict[int, int] = field(default_factory=dict)
     thresholds: dict[int, float] = field(default_factory=dict)
+    nodes: list[int] = field(default_factory=list)
+    masked: gaptrees.GapTrees | None = None
 
     def features(self, node: int) -> list[str]:
         out = list(self.base)
@@ -173,6 +177,39 @@ class Lattice:
             self.models[node] = Pipeline(stages=stages).fit(rows.select(self.target, *feats))
         return self
 
+    def fit_masked(self, df: DataFrame, settings: gaptrees.Settings | None = None) -> Lattice:
+        """One sequence of trees per node, each on all rows: what is not of the node is a gap to it.
+
+        All nodes grow together (:mod:`gapweave.operators.gaptrees`), so the rows are not read once per node.
+        """
+        self.nodes = self.nodes_seen(df)
+        every = list(dict.fromkeys([*self.base, *(f for p in self.panels for f in p.features)]))
+        self.masked = gaptrees.fit(df, every, self.target, [self.features(n) for n in self.nodes], settings)
+        self.counts = {n: self.masked.rows for n in self.nodes}
+        return self
+
+    def _masked(self, df: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+        """Rows with their mask and an array of (node_mask, p) of the nodes that ``keep`` (node, mask) takes."""
+        each = F.arrays_zip(F.array(*[F.lit(n).cast("long") for n in self.nodes]).alias("node_mask"), self.masked.predict().alias("p"))
+        rows = df.select(self.id_col, panel_mask(self.panels).alias("mask"), each.alias("each"))
+        return rows.withColumn("each", F.filter("each", lambda x: keep(x["node_mask"], F.col("mask"))))
+
+    def predict_masked(self, df: DataFrame) -> DataFrame:
+        """(id, node_mask, p): a row's own node and its ancestors; every row has at least the node without panels."""
+        return self._masked(df, lambda node, mask: node.bitwiseAND(mask) == node).select(self.id_col, F.inline("each"))
+
+    def average_masked(self, df: DataFrame) -> DataFrame:
+        """Mean over own node and ancestors, within the row: no shuffle."""
+        rows = self._masked(df, lambda node, mask: node.bitwiseAND(mask) == node)
+        total = F.aggregate("each", F.lit(0.0), lambda t, x: t + x["p"])
+        return rows.select(self.id_col, (total / F.size("each")).alias("p"), F.size("each").cast("long").alias("n_nodes"))
+
+    def route_masked(self, df: DataFrame) -> DataFrame:
+        """(id, node_mask, p): the largest fitted node within the row's pattern."""
+        rows = self._masked(df, lambda node, mask: node.bitwiseAND(mask) == node)
+        own = F.array_max(F.transform("each", lambda x: F.struct(F.bit_count(x["node_mask"]).alias("n"), x["node_mask"].alias("node_mask"), x["p"].alias("p"))))
+        return rows.select(self.id_col, own["node_mask"].alias("node_mask"), own["p"].alias("p"))
+
     def predict_nodes(self, df: DataFrame) -> DataFrame:
         """(id, node_mask, p): every fitted node on the rows complete for it."""
         from functools import reduce

@@ -7,7 +7,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 
-from gapweave.operators import impute, models
+from gapweave.operators import gaptrees, impute, models
 from gapweave.operators.clean import Panel
 from gapweave.operators.inject import hide_mcar
 from gapweave.operators.lattice import Lattice
@@ -153,10 +153,50 @@ def _(spark, sf):
     return rounded(lat.fit_thresholds(keep["val"]), ["threshold", "gmean_all_metrics"])
 
 
+_EACH = [Panel(x, [x]) for x in FEATURES]
+
+
+def _masked_lattice(spark, sf, settings):
+    """A node for each set of the three features, every one fitted on all rows."""
+    p = _parts(spark, sf)
+    return Lattice(_EACH, [], "y").fit_masked(p["train"], settings), p
+
+
 @query("lattice_fit_masked")
 def _(spark, sf):
-    lat, keep = _lattice(spark, sf, _forest)
-    return rounded(lat.average(keep["test"]).select("row_id", "p", "n_nodes"), ["p"])
+    lat, p = _masked_lattice(spark, sf, gaptrees.Settings(rounds=50, depth=4))
+    return rounded(lat.average_masked(p["test"]), ["p"])
+
+
+def _masked_sql(bins: int) -> str:
+    """Best first split of every node by brute force: each column, edge and side for the gaps."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS f, {x} AS x, p - y AS g, p * (1 - p) AS h FROM tr, sh" for i, x in enumerate(FEATURES))
+    extra = [
+        ("tr", "SELECT y, a, n, s FROM cfm WHERE role = 'train'"),
+        ("sh", "SELECT avg(y) AS p, count(*) AS rows FROM tr"),
+        ("ce", cells),
+        ("wh", "SELECT f, count(*) AS n, sum(g) AS g, sum(h) AS h, min(x) AS lo, max(x) AS hi FROM ce GROUP BY f"),
+        ("ca", f"""SELECT ce.f, s, side, wh.n, wh.g, wh.h, lo + (hi - lo) * ((s + 1) / {bins}.0::DOUBLE) AS edge, count(*) AS nl, sum(ce.g) AS gl, sum(ce.h) AS hl
+            FROM ce JOIN wh ON wh.f = ce.f, range({bins}) t(s), range(2) u(side)
+            WHERE CASE WHEN x IS NULL THEN side = 0 ELSE s = {bins - 1} OR x <= lo + (hi - lo) * ((s + 1) / {bins}.0::DOUBLE) END GROUP BY ALL"""),
+        ("ga", "SELECT f, s, side, edge, nl, round(gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1), 9) AS gain FROM ca WHERE nl > 0 AND nl < n"),
+        ("be", "SELECT k, ga.* FROM range(8) t(k) JOIN ga ON (k >> f) & 1 = 1 WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f, s, side) = 1"),
+    ]
+    body = f"""SELECT CAST(t.k AS BIGINT) AS node_mask, rows AS n_samples, CAST(coalesce(f, -1) AS BIGINT) AS feature, CASE WHEN s < {bins - 1} THEN round(edge, 9) END AS edge,
+        side = 0 AS gap_left, CAST(coalesce(nl, rows) AS BIGINT) AS n_left, round(coalesce(gain, 0), 6) AS gain FROM range(8) t(k) CROSS JOIN sh LEFT JOIN be ON be.k = t.k"""
+    return sql(["cfm"], body, extra)
+
+
+@query("lattice_masked_nodes", _masked_sql(16))
+def _(spark, sf):
+    lat, _ = _masked_lattice(spark, sf, gaptrees.Settings(rounds=1, depth=1, bins=16))
+    rows = []
+    for view, node in enumerate(lat.nodes):
+        gain, column, at, left, a, _ = lat.masked.gains[0][view, 0]
+        edge = float(lat.masked.edges[column][at]) if column >= 0 and at < 15 else None
+        rows.append((node, lat.counts[node], column, edge, bool(left) if column >= 0 else None, int(a[0]), gain))
+    schema = "node_mask long, n_samples long, feature long, edge double, gap_left boolean, n_left long, gain double"
+    return rounded(rounded(spark.createDataFrame(rows, schema), ["edge"], 9), ["gain"])
 
 
 @query("lattice_average_imputed")
