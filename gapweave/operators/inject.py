@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.functions.draw import draw, gauss, pick
-from gapweave.functions.scalar import linear, sigmoid
+from gapweave.functions.scalar import sigmoid
 from gapweave.operators.ordered import kth_values
 from gapweave.session import cut as written
 
@@ -65,12 +65,26 @@ class Injected:
         return flagged.withColumns({f"x_{x}": F.when(~F.col(f"m_{x}"), F.col(x)) for x in self.features})
 
 
+def mean_filled(df: DataFrame, inputs: list[str]) -> dict[str, Column]:
+    """Inputs whose gaps count as the column's mean (0 without any value); one aggregate."""
+    row = df.agg(*[F.avg(x).alias(x) for x in inputs]).first()
+    return {x: F.coalesce(F.col(x), F.lit(row[x] or 0.0)) for x in inputs}
+
+
+def _weighted(weights: dict[str, float], inputs: dict[str, Column]) -> Column:
+    total = F.lit(0.0)
+    for x, w in weights.items():
+        total = total + inputs[x] * F.lit(float(w))
+    return total
+
+
 def unit_variance_weights(
-    df: DataFrame, inputs: list[str], targets: list[str], seed: int
+    df: DataFrame, inputs: list[str], targets: list[str], seed: int, filled: dict[str, Column] | None = None
 ) -> dict[str, dict[str, float]]:
     """Normal weights, scaled so that each weighted sum has sample SD 1 (one aggregate)."""
+    filled = filled or mean_filled(df, inputs)
     raw = {t: {i: gauss(f"w:{i}:{t}", seed) for i in inputs} for t in targets}
-    sd = df.agg(*[F.stddev_samp(linear(raw[t])).alias(t) for t in targets]).first()
+    sd = df.agg(*[F.stddev_samp(_weighted(raw[t], filled)).alias(t) for t in targets]).first()
     return {t: {i: w / sd[t] if sd[t] else 0.0 for i, w in raw[t].items()} for t in targets}  # constant inputs weigh nothing
 
 
@@ -89,6 +103,8 @@ def fit_intercepts(df: DataFrame, scores: dict[str, list[Column]], p: float) ->
     start = math.log(p / (1.0 - p))
     b = {t: start - (centre[t] or 0.0) for t in names}
     names = [t for t in names if centre[t] is not None]  # without any score there is nothing to fit
+    if not names:
+        return {t: round(v, 9) for t, v in b.items()}
     lo, hi = {t: -100.0 for t in names}, {t: 100.0 for t in names}
     for _ in range(NEWTON_STEPS):
         aggs = []
@@ -129,9 +145,12 @@ def hide_mcar(features: list[str], id_col: str, p: float, seed: int, stream: str
 
 
 def _logistic(df, inputs, targets, id_col, p, seed) -> dict[str, Column]:
-    w = unit_variance_weights(df, inputs, targets, seed)
-    b = fit_intercepts(df, {t: [linear(w[t])] for t in targets}, p)
-    return {t: draw(id_col, f"cell:{t}", seed) < sigmoid(linear(w[t], 0.0) + F.lit(b[t])) for t in targets}
+    """A share ``p`` of each target's known cells: a gap in an input counts as its mean, a gap in the target stays one."""
+    filled = mean_filled(df, inputs)
+    w = unit_variance_weights(df, inputs, targets, seed, filled)
+    z = {t: _weighted(w[t], filled) for t in targets}
+    b = fit_intercepts(df, {t: [F.when(F.col(t).isNotNull(), z[t])] for t in targets}, p)
+    return {t: F.col(t).isNotNull() & (draw(id_col, f"cell:{t}", seed) < sigmoid(z[t] + F.lit(b[t]))) for t in targets}
 
 
 def hide_mar(df: DataFrame, features: list[str], id_col: str, p: float, p_obs: float, seed: int) -> dict[str, Column]:
@@ -156,12 +175,14 @@ def hide_mnar_self(
 ) -> dict[str, Column]:
     """A cell's own value decides. By default the intercept is fitted on all columns pooled."""
     raw = {x: gauss(f"w:{x}", seed) for x in features}
-    sd = df.agg(*[F.stddev_samp(F.col(x) * F.lit(raw[x])).alias(x) for x in features]).first()
+    sd = df.agg(*[F.stddev_samp(F.col(x) * F.lit(raw[x])).alias(x) for x in features], *[F.count(x).alias(f"n_{x}") for x in features]).first()
+    features = [x for x in features if sd[f"n_{x}"]]  # a column without values has nothing to hide
     w = {x: raw[x] / sd[x] if sd[x] else 0.0 for x in features}  # a constant column weighs nothing
     pool = {x: [F.col(z) * F.lit(w[x]) for z in ([x] if per_column else features)] for x in features}
     b = fit_intercepts(df, pool, p)
     return {
-        x: draw(id_col, f"cell:{x}", seed) < sigmoid(F.col(x) * F.lit(w[x]) + F.lit(b[x])) for x in features
+        x: F.col(x).isNotNull() & (draw(id_col, f"cell:{x}", seed) < sigmoid(F.col(x) * F.lit(w[x]) + F.lit(b[x])))
+        for x in features
     }
 
 
@@ -212,20 +233,36 @@ def inject(
     seed: int = 42,
     single_precision: bool = True,
 ) -> Injected:
-    """Dispatch on (mechanism, opt); anything unknown is MCAR."""
+    """Dispatch on (mechanism, opt); anything unknown is MCAR.
+
+    Rates hold for the cells that are known: a gap is never counted as hidden by the model-based mechanisms.
+    """
     if single_precision:
         df = df.withColumns({x: F.col(x).cast("float").cast("double") for x in features})
+    return Injected(df, list(features), rules(df, features, id_col, p, mechanism, opt, p_obs, q, seed), id_col)
+
+
+def rules(
+    df: DataFrame,
+    features: list[str],
+    id_col: str,
+    p: float,
+    mechanism: str = "MCAR",
+    opt: str | None = None,
+    p_obs: float | None = None,
+    q: float | None = None,
+    seed: int = 42,
+) -> dict[str, Column]:
+    """The fitted rule of each feature that a mechanism hides."""
     if mechanism == "MAR":
-        hidden = hide_mar(df, features, id_col, p, p_obs, seed)
-    elif mechanism == "MNAR" and opt == "logistic":
-        hidden = hide_mnar_logistic(df, features, id_col, p, p_obs, seed)
-    elif mechanism == "MNAR" and opt == "quantile":
-        hidden = hide_mnar_quantile(df, features, id_col, p, q, 1 - p_obs, seed)
-    elif mechanism == "MNAR" and opt == "selfmasked":
-        hidden = hide_mnar_self(df, features, id_col, p, seed)
-    else:
-        hidden = hide_mcar(features, id_col, p, seed)
-    return Injected(df, list(features), hidden, id_col)
+        return hide_mar(df, features, id_col, p, p_obs, seed)
+    if mechanism == "MNAR" and opt == "logistic":
+        return hide_mnar_logistic(df, features, id_col, p, p_obs, seed)
+    if mechanism == "MNAR" and opt == "quantile":
+        return hide_mnar_quantile(df, features, id_col, p, q, 1 - p_obs, seed)
+    if mechanism == "MNAR" and opt == "selfmasked":
+        return hide_mnar_self(df, features, id_col, p, seed)
+    return hide_mcar(features, id_col, p, seed)
 
 
 def presets() -> dict[str, list[dict]]:
@@ -252,3 +289,21 @@ def sweep(df: DataFrame, features: list[str], id_col: str, grid: DataFrame, seed
         id_col,
         *[F.when(draw(id_col, f"cell:{x}", seed) >= F.col("p_miss"), F.col(x)).alias(x) for x in features],
     )
+
+
+def sweep_grid(df: DataFrame, features: list[str], id_col: str, grid: list[dict], seed: int = 42) -> DataFrame:
+    """Every parameter set of a study's grid in one pass: rows (run, p_miss, mechanism, opt, p_obs, q, id, features).
+
+    ``grid`` holds dicts with p_miss and any of mechanism, opt, p_obs and q, as :func:`presets` gives them; run is the place in
+    it. Fitting takes a few aggregates per set; the rows are read once for all sets.
+    """
+    table = written(df.select(id_col, *features))
+    runs = []
+    for run, point in enumerate(grid):
+        known = {"mechanism": "MCAR", "opt": None, "p_obs": None, "q": None} | point
+        hidden = rules(table, features, id_col, known["p_miss"], known["mechanism"], known["opt"], known["p_obs"], known["q"], seed)
+        injected = Injected(table, list(features), hidden, id_col)
+        facts = [F.lit(run).alias("run"), F.lit(float(known["p_miss"])).alias("p_miss"), F.lit(known["mechanism"]).alias("mechanism")]
+        facts += [F.lit(known["opt"]).cast("string").alias("opt"), *(F.lit(known[k]).cast("double").alias(k) for k in ("p_obs", "q"))]
+        runs.append(F.struct(*facts, *[F.when(~injected.flag(x), F.col(x)).alias(x) for x in features]))
+    return table.select(id_col, F.inline(F.array(*runs)))

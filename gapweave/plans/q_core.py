@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapweave.functions.draw import draw, gauss, pick
-from gapweave.functions.scalar import observed_mask
+from gapweave.functions.scalar import linear, observed_mask
 from gapweave.operators import blend, impute, inject, knn, lattice, metrics, sampling
 from gapweave.operators.clean import Panel
 from gapweave.plans.registry import query
@@ -160,6 +160,67 @@ def _preset(name: str) -> dict:
     return chosen
 
 
+# the same mechanisms on a table that holds gaps: rates over known cells, a driver's gap counts as its mean
+
+
+def _gap_masks(hidden: dict[str, str]) -> str:
+    return ", ".join(f"coalesce({hidden.get(x, 'false')}, false) AS m_{x}" for x in FEATURES)
+
+
+def _gap_logistic(drivers: list[str], targets: list[str], p: float) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    raw = {t: " + ".join(f"f_{x} * ({gauss(f'w:{x}:{t}', SEED)!r}::DOUBLE)" for x in drivers) for t in targets}
+    fu = ("fu", "SELECT cfm.*, " + ", ".join(f"coalesce({x}, avg({x}) OVER ()) AS f_{x}" for x in drivers) + " FROM cfm")
+    sd = ("sd", "SELECT " + ", ".join(f"stddev_samp({raw[t]}) AS sd_{t}" for t in targets) + " FROM fu")
+    z = ("z", "SELECT fu.*, " + ", ".join(
+        f"CASE WHEN {t} IS NOT NULL THEN " + " + ".join(f"f_{x} * ({gauss(f'w:{x}:{t}', SEED)!r}::DOUBLE / sd_{t})" for x in drivers) + f" END AS z_{t}" for t in targets) + " FROM fu, sd")
+    return [fu, sd, z, *_newton({t: [f"z_{t}"] for t in targets}, p, "z")], {t: f"{_cell(t)} < {sig(f'z_{t} + b_{t}')}" for t in targets}
+
+
+def _gap_self(p: float) -> tuple[list[tuple[str, str]], dict[str, str]]:
+    steps, hidden = _self_sql(p)
+    return [(n, t.replace("FROM cfs", "FROM cfm")) for n, t in steps], hidden
+
+
+def _gap_rank(x: str, q: str) -> str:
+    return f"(SELECT {x} FROM (SELECT {x}, row_number() OVER (ORDER BY {x}) AS r FROM cfm WHERE {x} IS NOT NULL) WHERE r = greatest(1, CAST(floor({q} * (SELECT count({x}) FROM cfm)) AS BIGINT)))"
+
+
+_GAP_SETS = {
+    "inject_mar_gaps": ({"p": 0.3, "mechanism": "MAR", "p_obs": 0.3}, *_gap_logistic(_DRIVERS, _OTHERS, 0.3)),
+    "inject_mnar_selfmask_gaps": ({"p": 0.2, "mechanism": "MNAR", "opt": "selfmasked"}, *_gap_self(0.2)),
+    "inject_mnar_quantile_gaps": (
+        {"p": 0.5, "mechanism": "MNAR", "opt": "quantile", "p_obs": 0.3, "q": 0.25}, [],
+        {x: f"{_cell(x)} < 0.5 AND ({x} <= {_gap_rank(x, '0.25::DOUBLE')} OR {x} >= {_gap_rank(x, '0.75::DOUBLE')})" for x in _CENSORED},
+    ),
+}
+_GAP_SETS["inject_mnar_logistic_gaps"] = (
+    {"p": 0.3, "mechanism": "MNAR", "opt": "logistic", "p_obs": 0.3}, _GAP_SETS["inject_mar_gaps"][1],
+    _GAP_SETS["inject_mar_gaps"][2] | {x: _cell(x) + " < 0.3" for x in _DRIVERS},
+)
+
+
+def _gap_sql(name: str, columns: str) -> str:
+    _, steps, hidden = _GAP_SETS[name]
+    return sql(["cfm"], f"SELECT {columns} FROM (SELECT *, {_gap_masks(hidden)} FROM {'z, bb' if steps else 'cfm'})", steps)
+
+
+def _gap_query(name: str) -> None:
+    @query(name, _gap_sql(name, "row_id, " + ", ".join(f"m_{x}" for x in FEATURES)))
+    def _(spark, sf):
+        return inject.inject(incomplete(spark, sf), FEATURES, "row_id", **_GAP_SETS[name][0], seed=SEED, single_precision=False).mask
+
+
+for _name in _GAP_SETS:
+    _gap_query(_name)
+
+
+@query("inject_mnar_logistic_all_gaps", (lambda made: sql(["cfm"], f"SELECT row_id, {_gap_masks(made[1])} FROM z, bb", made[0]))(_gap_logistic(FEATURES, FEATURES, 0.3)))
+def _(spark, sf):
+    df = incomplete(spark, sf)
+    hidden = inject.hide_mnar_logistic(df, FEATURES, "row_id", 0.3, 0.3, SEED, exclude_inputs=False)
+    return inject.Injected(df, FEATURES, hidden, "row_id").mask
+
+
 _RAW3 = {t: " + ".join(f"{x} * ({gauss(f'w:{x}:{t}', SEED)!r}::DOUBLE)" for x in _DRIVERS) for t in _OTHERS}
 
 
@@ -178,7 +239,7 @@ def _(spark, sf):
 def _(spark, sf):
     df = scaled(spark, sf)
     w = inject.unit_variance_weights(df, _DRIVERS, _OTHERS, SEED)
-    b = inject.fit_intercepts(df, {t: [inject.linear(w[t])] for t in _OTHERS}, 0.3)
+    b = inject.fit_intercepts(df, {t: [linear(w[t])] for t in _OTHERS}, 0.3)
     return rounded(spark.createDataFrame(list(b.items()), "target string, b double"), ["b"])
 
 
@@ -228,6 +289,28 @@ def _(spark, sf):
     return counts.unpivot(["p_miss"], FEATURES, "feature", "nulls")
 
 
+_GRID = [p | {"p_miss": p["p"]} for p, _, _ in _GAP_SETS.values()]
+
+
+def _grid_sql() -> str:
+    parts = []
+    for run, (name, (p, _, _)) in enumerate(_GAP_SETS.items()):
+        left = ", ".join(f"CASE WHEN NOT m_{x} THEN {x} END AS {x}" for x in FEATURES)
+        quoted = [f"'{p[k]}'" if isinstance(p.get(k), str) else f"{p[k]}::DOUBLE" if k in p else "NULL" for k in ("mechanism", "opt", "p_obs", "q")]
+        facts = f"{run} AS run, {p['p']}::DOUBLE AS p_miss, {quoted[0]} AS mechanism, {quoted[1]}::VARCHAR AS opt, {quoted[2]}::DOUBLE AS p_obs, {quoted[3]}::DOUBLE AS q"
+        counts = " UNION ALL ".join(f"SELECT '{x}' AS feature, count(*) FILTER ({x} IS NULL) AS nulls FROM t" for x in FEATURES)
+        parts.append(f"SELECT {facts}, c.* FROM (WITH t AS ({_gap_sql(name, left)}) {counts}) c")
+    return " UNION ALL ".join(parts)
+
+
+@query("sweep_injection_grid", _grid_sql())
+def _(spark, sf):
+    swept = inject.sweep_grid(incomplete(spark, sf), FEATURES, "row_id", _GRID, SEED)
+    facts = ["run", "p_miss", "mechanism", "opt", "p_obs", "q"]
+    counts = swept.groupBy(*facts).agg(*[F.count_if(F.col(x).isNull()).alias(x) for x in FEATURES])
+    return counts.unpivot(facts, FEATURES, "feature", "nulls")
+
+
 # ---- sampling and splits ---------------------------------------------------
 
 

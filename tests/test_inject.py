@@ -53,6 +53,55 @@ def test_self_mask_depends_on_the_cell(df):
     assert all(w[x] > 0.1 for x in FEATS)
 
 
+MECHANISMS = [
+    ("MCAR", None, None, None), ("MAR", None, 0.3, None), ("MNAR", "logistic", 0.3, None), ("MNAR", "selfmasked", None, None), ("MNAR", "quantile", 0.5, 0.25),
+]
+
+
+@pytest.mark.parametrize("gaps", [0.0, 0.2, 0.4])
+@pytest.mark.parametrize("mechanism,opt,p_obs,q", MECHANISMS)
+def test_rates_hold_for_known_cells(df, gaps, mechanism, opt, p_obs, q):
+    holed = df.withColumns({x: F.when(draw("row_id", f"gap{x}", 3) >= gaps, F.col(x)) for x in FEATS})
+    inj = inject.inject(holed, FEATS, "row_id", 0.2, mechanism, opt, p_obs, q)
+    rows = inj.with_flags().agg(*[F.count(x).alias(f"n_{x}") for x in FEATS], *[F.count_if(F.col(f"m_{x}") & F.col(x).isNotNull()).alias(x) for x in FEATS],
+                                *[F.count_if(F.col(f"x_{x}").isNotNull()).alias(f"left_{x}") for x in FEATS]).first()
+    want = 0.2 if opt != "quantile" else 0.2 * 0.5
+    shares, n = [], []
+    for x in FEATS:
+        assert rows[f"left_{x}"] == rows[f"n_{x}"] - rows[x]  # what is not hidden stays
+        if rows[x]:
+            shares.append(rows[x] / rows[f"n_{x}"])
+            n.append(rows[f"n_{x}"])
+    assert len(shares) == {"MAR": 3, "quantile": 2}.get(opt or mechanism, 4)
+    if opt == "selfmasked":  # the intercept is fitted on all columns pooled
+        assert abs(sum(shares) / 4 - want) < 0.02
+    else:
+        assert all(abs(r - want) < 4 * (want * (1 - want) / m) ** 0.5 for r, m in zip(shares, n, strict=True))
+
+
+def test_gaps_are_not_hidden_again(df):
+    holed = df.withColumn("b", F.when(F.col("row_id") % 2 == 0, F.col("b")))
+    for mechanism, opt, p_obs, q in MECHANISMS[1:]:
+        inj = inject.inject(holed, FEATS, "row_id", 0.4, mechanism, opt, p_obs, q).with_flags()
+        assert inj.filter("b IS NULL AND m_b AND x_b IS NOT NULL").count() == 0
+
+
+def test_constant_and_empty_columns(df):
+    odd = df.withColumn("c", F.lit(2.0)).withColumn("d", F.lit(None).cast("double"))
+    for mechanism, opt, p_obs, q in MECHANISMS:
+        row = inject.inject(odd, FEATS, "row_id", 0.3, mechanism, opt, p_obs, q).incomplete.agg(F.count("a"), F.count("c"), F.count("d")).first()
+        assert row[0] > N / 2 and row[1] > N / 3 and row[2] == 0
+
+
+def test_grid_gives_what_each_set_gives(df):
+    grid = [{"p_miss": 0.2, "mechanism": m, "opt": o, "p_obs": s, "q": q} for m, o, s, q in MECHANISMS]
+    swept = inject.sweep_grid(df, FEATS, "row_id", grid).cache()
+    for run, (m, o, s, q) in enumerate(MECHANISMS):
+        alone = inject.inject(df, FEATS, "row_id", 0.2, m, o, s, q, single_precision=False).incomplete.select("row_id", *FEATS)
+        assert swept.filter(F.col("run") == run).select("row_id", *FEATS).exceptAll(alone).count() == 0
+    assert swept.count() == N * len(grid)
+
+
 def test_upper_cut_hits_only_high_values(df):
     hidden = inject.hide_mnar_quantile(df, FEATS, "row_id", 0.5, 0.25, 0.5, 1, cut="upper")
     assert len(hidden) == 2
