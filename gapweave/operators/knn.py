@@ -9,6 +9,14 @@ Two physical forms with equal results:
   out cells that lie farther away, so a query visits few cells. Cells are cut
   into chunks of bounded size, which keeps a dense cell out of one task.
 
+With gaps the distance is Euclidean on the coordinates that two rows share, and
+which those are depends on both. Cells then hold rows of one pattern of gaps
+where that has a pivot; each keeps the range of every coordinate, the coordinates
+that all its rows have, and k of its rows. The k-th distance to all kept rows is a
+query's bound, whatever their patterns; a cell is ruled out if even the least
+mean gap to its ranges, over all sets of coordinates that one of its
+rows may share with the query, is beyond it.
+
 Only the k best of a block leave it; pairs are never shuffled. Ties are
 resolved by (distance, id). Distances are rounded to 9 places before they are
 compared, so that the order does not depend on summation order.
@@ -203,11 +211,8 @@ def _drop_surplus_copies(v: DataFrame, shape: _Shape) -> DataFrame:
 
 
 def _chunked_form(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int) -> DataFrame:
-    if shape.nan_aware:
-        # no triangle inequality with gaps: one cell, every chunk is visited
-        home, visits = cut(v.withColumn("_cell", F.lit(0))), cut(q.withColumn("_cell", F.lit(0)))
-    else:
-        home, visits = _assign_cells(q, v, shape, n_pivots)
+    assign = _assign_gap_cells if shape.nan_aware else _assign_cells
+    home, visits = assign(q, v, shape, n_pivots)
     sizes = home.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nv"))
     loads = visits.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
     plan = sizes.join(loads, "_cell").select(
@@ -242,6 +247,75 @@ def _chunked_form(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int) -> D
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= shape.k)
 
 
+def _loose(limit: np.ndarray) -> np.ndarray:
+    """A bound that rounding, of sums or of the distances themselves, never falls short of."""
+    return limit * (1 + 1e-12) + 2 * 10.0**-DIGITS
+
+
+def least_mean_gap(gap: np.ndarray, always: np.ndarray, sometimes: np.ndarray) -> np.ndarray:
+    """(row, cell): the least mean of squared gaps over the coordinates shared for sure and any of those shared perhaps;
+    infinite where no coordinate can be shared. All are (row, cell, coordinate)."""
+    sure, n = np.where(always, gap, 0.0).sum(axis=2), always.sum(axis=2)
+    rest = np.sort(np.where(sometimes, gap, np.inf), axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        best = np.where(n > 0, sure / n, np.inf)
+        for m in range(rest.shape[2]):  # the smallest ones first lower the mean most
+            sure, n = sure + rest[:, :, m], n + 1
+            best = np.fmin(best, sure / n)
+    return best
+
+
+def _assign_gap_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
+    """As :func:`_assign_cells` for rows with gaps. The index has ``n_pivots`` cells and k rows of each at most."""
+    spark, k, xs = v.sparkSession, shape.k, shape.xs
+    width = len(xs)
+    picked = v.orderBy(draw_fast("_v", "pivot", 0), "_v").limit(n_pivots).select(*xs).distinct().toPandas()
+    shared = spark.sparkContext.broadcast(picked.to_numpy(dtype=float))
+    step = max(1, PAIR_BLOCK // max(len(picked) * width, 1))
+
+    @F.pandas_udf("struct<_cell:int,_r:double>")
+    def nearest(*cols: pd.Series) -> pd.DataFrame:
+        x, pivots = np.column_stack([c.to_numpy(dtype=float) for c in cols]), shared.value
+        parts = []
+        for s in range(0, len(x), step):
+            rows = x[s : s + step]
+            d = _squares(rows, pivots, True)
+            alike = (np.isnan(rows)[:, None, :] == np.isnan(pivots)[None, :, :]).all(axis=2)
+            d = np.where(alike.any(axis=1)[:, None] & ~alike, np.inf, d)  # a pivot of the own pattern, if there is one
+            cell = d.argmin(axis=1)
+            parts.append(pd.DataFrame({"_cell": cell.astype("int32"), "_r": d[np.arange(len(d)), cell]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"_cell": [], "_r": []})
+
+    home = cut(v.withColumn("_near", nearest(*xs)).select(*v.columns, "_near._cell", "_near._r"))
+    facts = [f(x).alias(f"{n}{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    cells = home.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), *facts).toPandas().sort_values("_cell")
+    w = W.partitionBy("_cell").orderBy("_r", "_v")
+    kept = home.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).select(*xs).toPandas()
+    ranges = [cells[[f"{n}{x}" for x in xs]].to_numpy(dtype=float) for n in ("lo", "hi", "n")]
+    index = (cells["_cell"].to_numpy(), *ranges, cells["n"].to_numpy(dtype=float), kept.to_numpy(dtype=float))
+    bounds = spark.sparkContext.broadcast(index)
+    at_once = max(1, PAIR_BLOCK // max((len(cells) + len(kept)) * width, 1))
+
+    @F.pandas_udf("array<int>")
+    def visit(*cols: pd.Series) -> pd.Series:
+        names, low, high, count, size, near = bounds.value
+        x, out = np.column_stack([c.to_numpy(dtype=float) for c in cols]), []
+        for s in range(0, len(x), at_once):
+            rows = x[s : s + at_once]
+            d = _squares(rows, near, True)
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(rows), np.inf)
+            has = ~np.isnan(rows)[:, None, :]
+            beyond = np.fmax(0.0, np.fmax(low[None] - rows[:, None, :], rows[:, None, :] - high[None])) ** 2
+            always, sometimes = has & (count == size[:, None])[None], has & ((count > 0) & (count < size[:, None]))[None]
+            least = least_mean_gap(beyond, always, sometimes) * width
+            need = np.isfinite(least) & (np.sqrt(least) <= _loose(np.sqrt(limit))[:, None])
+            out += [names[row].astype("int32") for row in need]
+        return pd.Series(out)
+
+    visits = cut(q.withColumn("_cells", visit(*xs)))
+    return home, visits.withColumn("_cell", F.explode("_cells")).drop("_cells")
+
+
 def _assign_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
     """Home cell of every reference row, and the cells each query must visit."""
     spark, k, xs = v.sparkSession, shape.k, shape.xs
@@ -273,7 +347,6 @@ def _assign_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
     close_cell = np.array([r["_cell"] for r in near], dtype=int)
     close_r = np.array([r["_r"] for r in near], dtype=float)
     bounds = spark.sparkContext.broadcast((radius, close_cell, close_r))
-    slack = 10.0 ** (2 - DIGITS)  # distances are rounded later; never rule out a cell by rounding
 
     @F.pandas_udf("array<int>")
     def visit(*cols: pd.Series) -> pd.Series:
@@ -285,7 +358,9 @@ def _assign_cells(q: DataFrame, v: DataFrame, shape: _Shape, n_pivots: int):
                 limit = np.partition(upper, k - 1, axis=1)[:, k - 1]
             else:
                 limit = np.full(len(part), np.inf)
-            need = part - radius_[None, :] <= limit[:, None] + slack
+            # sums of two distances: what rounding may take is in proportion to them
+            loose = _loose(limit) + 1e-12 * (np.where(np.isfinite(radius_), np.abs(radius_), 0.0).max(initial=0.0) + part.max(axis=1, initial=0.0))
+            need = part - radius_[None, :] <= loose[:, None]
             out += [np.nonzero(row)[0].astype("int32") for row in need]
         return pd.Series(out)
 

@@ -459,6 +459,13 @@ def _(spark, sf):
     return rounded(model.transform(cfm, "row_id").select("row_id", *FEATURES), FEATURES)
 
 
+@query("impute_knn_partitioned", _knn_sql(5, False))
+def _(spark, sf):
+    cfm = incomplete(spark, sf)
+    model = impute.KnnImputer(FEATURES, "row_id", 5, max_cells=0).fit(cfm.filter("role = 'train'"))
+    return rounded(model.transform(cfm, "row_id").select("row_id", *FEATURES), FEATURES)
+
+
 # one round, one column, fixed strength: ridge of s on (a, n) over mean-filled rows
 @query(
     "impute_ridge_step",

@@ -116,3 +116,51 @@ def test_knn_imputer(spark, weighted):
     assert set(got) == set(want)
     for key in want:
         assert got[key] == pytest.approx(want[key], abs=1e-7)
+
+
+def test_least_mean_gap_over_all_shared_sets():
+    from itertools import combinations
+
+    rng = np.random.default_rng(0)
+    gap = rng.random((6, 5, 4))
+    always, sometimes = rng.random((6, 5, 4)) < 0.3, rng.random((6, 5, 4)) < 0.5
+    sometimes &= ~always
+    got = knn.least_mean_gap(gap, always, sometimes)
+    for i in range(6):
+        for j in range(5):
+            sure, perhaps = np.flatnonzero(always[i, j]), np.flatnonzero(sometimes[i, j])
+            sets = [[*sure, *extra] for m in range(len(perhaps) + 1) for extra in combinations(perhaps, m)]
+            means = [gap[i, j, s].mean() for s in sets if len(s)]
+            assert got[i, j] == pytest.approx(min(means)) if means else np.isinf(got[i, j])
+
+
+@pytest.mark.parametrize("pivots", [1, 7, 60])
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e6, 1e9)])
+def test_gap_cells(spark, monkeypatch, pivots, scale, shift):
+    monkeypatch.setattr(knn, "CHUNK_ROWS", 31)
+    rng = random.Random(pivots)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            centre = rng.choice([0.0, 10.0, 20.0]) * scale + shift
+            out.append((i, *[None if rng.random() < 0.35 else centre + scale * rng.gauss(0, 1) for _ in range(3)]))
+        return out
+
+    q, v = rows(60), rows(300)
+    got = collect(knn.knn_join(table(spark, q), table(spark, v), ["a", "b", "c"], 4, nan_aware=True, max_cells=0, pivots=pivots))
+    want = brute(q, v, 4, True)
+    assert {k: [a for a, _ in x] for k, x in got.items()} == {k: [a for a, _ in x] for k, x in want.items() if x}
+
+
+def test_gap_cells_rule_out_most_copies(spark):
+    rng = random.Random(8)
+
+    def rows(n):
+        return [(i, *[None if rng.random() < 0.2 else 100.0 * (i % 12) + rng.random() for _ in range(3)]) for i in range(n)]
+
+    shape = knn._Shape(3, 0, [], 3, True)
+    q, v = (table(spark, rows(n)).select(F.col("row_id").alias(name), *knn._numbers(["a", "b", "c"], "_x")) for n, name in ((100, "_q"), (1200, "_v")))
+    home, visits = knn._assign_gap_cells(q, v, shape, 150)
+    cells = home.select("_cell").distinct().count()
+    assert visits.count() < 0.35 * 100 * cells
