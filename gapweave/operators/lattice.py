@@ -6,14 +6,16 @@ arithmetic on the mask, so no pair of nodes is ever compared.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapweave.functions.scalar import c, observed_mask
-from gapweave.operators import gaptrees
+from gapweave.operators import gaptrees, patterns
 from gapweave.operators.clean import Panel
 
 MAX_PANELS = 20
@@ -125,6 +127,48 @@ def lattice_route_only(rows: DataFrame, node_preds: DataFrame, row: str = "row_i
     return node_preds.join(own, [row, "node_mask"]).select(row, "node_mask", "p")
 
 
+def superset_sums(counts: DataFrame, n_panels: int, values: list[str], mask: str = "mask") -> DataFrame:
+    """(node_mask, *values): for every subset of an occurring mask, the sums over all masks that contain it.
+
+    One step per panel: what holds the panel also counts for the same mask without it. Each step is a partial
+    aggregate over masks, never over rows.
+    """
+    now = counts.groupBy(F.col(mask).alias("node_mask")).agg(*[F.sum(v).alias(v) for v in values])
+    for i in range(n_panels):
+        without = F.col("node_mask").bitwiseAND(F.lit(~(1 << i)))
+        both = F.when(without != F.col("node_mask"), F.array("node_mask", without)).otherwise(F.array("node_mask"))
+        now = now.select(F.explode(both).alias("node_mask"), *values).groupBy("node_mask").agg(*[F.sum(v).alias(v) for v in values])
+    return now
+
+
+def node_sums(df: DataFrame, features: list[str], centres: dict[str, float], nodes: dict[int, list[str]]) -> dict[int, np.ndarray]:
+    """Sums of products of (1, a node's features, the last of ``features``) over the rows that have them all.
+
+    Patterns are added up in Spark; one matrix per node comes back. Nodes without a row are left out.
+    """
+    d = len(features)
+    place = {n: [0, *(features.index(x) + 1 for x in f), d] for n, f in nodes.items()}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part = patterns.unpack(batch, d)
+            for node, at in place.items():
+                has = ~part.gaps[:, [k - 1 for k in at[1:]]].any(axis=1)
+                if has.any():
+                    gram = part.first[has].sum(axis=0)[np.ix_(at, at)]
+                    total[node] = total[node] + gram if node in total else gram
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([g.ravel() for g in total.values()], pa.list_(pa.float64()))], ["node", "gram"])
+
+    found = patterns.sums_by_pattern(df, features, centres).mapInArrow(add, "node long, gram array<double>")
+    cells = found.select("node", F.posexplode("gram").alias("i", "v")).groupBy("node", "i").agg(F.sum("v").alias("v"))
+    out: dict[int, np.ndarray] = {}
+    for r in cells.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("g")).collect():  # one matrix per node
+        size = len(place[r["node"]])
+        out[r["node"]] = np.array([x["v"] for x in r["g"]]).reshape(size, size)
+    return out
+
+
 @dataclass
 class Lattice:
     """Node models fitted by a driver loop over bounded nodes."""
@@ -138,6 +182,7 @@ class Lattice:
     thresholds: dict[int, float] = field(default_factory=dict)
     nodes: list[int] = field(default_factory=list)
     masked: gaptrees.GapTrees | None = None
+    linear: dict[int, tuple[dict[str, float], float]] = field(default_factory=dict)
 
     def features(self, node: int) -> list[str]:
         out = list(self.base)
@@ -188,34 +233,61 @@ class Lattice:
         self.counts = {n: self.masked.rows for n in self.nodes}
         return self
 
-    def _masked(self, df: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
-        """Rows with their mask and an array of (node_mask, p) of the nodes that ``keep`` (node, mask) takes."""
-        each = F.arrays_zip(F.array(*[F.lit(n).cast("long") for n in self.nodes]).alias("node_mask"), self.masked.predict().alias("p"))
-        rows = df.select(self.id_col, panel_mask(self.panels).alias("mask"), each.alias("each"))
-        return rows.withColumn("each", F.filter("each", lambda x: keep(x["node_mask"], F.col("mask"))))
+    def fit_linear(self, df: DataFrame, strength: float = 1.0) -> Lattice:
+        """A ridge regression of the target per node, on the rows complete for it; no features means a constant 0.5.
 
-    def predict_masked(self, df: DataFrame) -> DataFrame:
-        """(id, node_mask, p): a row's own node and its ancestors; every row has at least the node without panels."""
-        return self._masked(df, lambda node, mask: node.bitwiseAND(mask) == node).select(self.id_col, F.inline("each"))
-
-    def average_masked(self, df: DataFrame) -> DataFrame:
-        """Mean over own node and ancestors, within the row: no shuffle."""
-        rows = self._masked(df, lambda node, mask: node.bitwiseAND(mask) == node)
-        total = F.aggregate("each", F.lit(0.0), lambda t, x: t + x["p"])
-        return rows.select(self.id_col, (total / F.size("each")).alias("p"), F.size("each").cast("long").alias("n_nodes"))
+        The rows are read once: sums of products are added up by pattern of gaps, and a node's sums are those of all
+        patterns that have its features. Predictions are clipped to 0..1 and are expressions, so that one scan
+        without a shuffle gives those of all nodes.
+        """
+        every = list(dict.fromkeys([*self.base, *(f for p in self.panels for f in p.features)]))
+        self.nodes = self.nodes_seen(df)
+        known_rows = df.filter(F.col(self.target).isNotNull())
+        row = known_rows.agg(*[F.avg(patterns.known(x)).alias(x) for x in [*every, self.target]]).first()
+        centres = {x: row[x] or 0.0 for x in [*every, self.target]}
+        sums = node_sums(known_rows, [*every, self.target], centres, {n: self.features(n) for n in self.nodes})
+        self.counts, self.linear = {n: 0 for n in self.nodes}, {}
+        for node in self.nodes:
+            feats = self.features(node)
+            self.linear[node] = ({}, 0.5) if not feats else ({}, centres[self.target])
+            if node in sums:
+                gram = sums[node]
+                n, d = gram[0, 0], len(feats)
+                self.counts[node] = int(n)
+                if feats:
+                    mean = gram[0, 1:] / n
+                    about = gram[1:, 1:] - n * np.outer(mean, mean)
+                    w = np.linalg.solve(about[:d, :d] + strength * np.eye(d), about[:d, d])
+                    centre = np.array([centres[x] for x in feats])
+                    intercept = centres[self.target] + mean[d] - w @ (centre + mean[:d])
+                    self.linear[node] = (dict(zip(feats, w.tolist(), strict=True)), float(intercept))
+        return self
 
-    def route_masked(self, df: DataFrame) -> DataFrame:
-        """(id, node_mask, p): the largest fitted node within the row's pattern."""
-        rows = self._masked(df, lambda node, mask: node.bitwiseAND(mask) == node)
-        own = F.array_max(F.transform("each", lambda x: F.struct(F.bit_count(x["node_mask"]).alias("n"), x["node_mask"].alias("node_mask"), x["p"].alias("p"))))
-        return rows.select(self.id_col, own["node_mask"].alias("node_mask"), own["p"].alias("p"))
+    def _each(self, df: DataFrame) -> DataFrame:
+        """Rows with their mask and an array of (node_mask, p): own node and ancestors, by masked trees or ridge."""
+        mask = panel_mask(self.panels).alias("mask")
+        if self.masked:
+            p = self.masked.predict()
+            each = F.arrays_zip(F.array(*[F.lit(n).cast("long") for n in self.nodes]).alias("node_mask"), p.alias("p"))
+            rows = df.select(self.id_col, mask, each.alias("each"))
+            return rows.withColumn("each", F.filter("each", lambda x: x["node_mask"].bitwiseAND(F.col("mask")) == x["node_mask"]))
+        made = []
+        for node, (weights, intercept) in self.linear.items():
+            whole, p = F.lit(True), F.lit(intercept)
+            for x in self.features(node):
+                whole, p = whole & F.col(x).isNotNull(), p + F.col(x) * F.lit(weights.get(x, 0.0))
+            p = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)), 9)  # cut-offs must not depend on the order of sums
+            made.append(F.when(whole, F.struct(F.lit(node).cast("long").alias("node_mask"), p.alias("p"))))
+        return df.select(self.id_col, mask, F.filter(F.array(*made), lambda x: x.isNotNull()).alias("each"))
 
     def predict_nodes(self, df: DataFrame) -> DataFrame:
-        """(id, node_mask, p): every fitted node on the rows complete for it."""
+        """(id, node_mask, p): every fitted node on the rows complete for it; masked nodes on rows that have their panels."""
         from functools import reduce
 
         from pyspark.ml.functions import vector_to_array
 
+        if self.masked or self.linear:
+            return self._each(df).select(self.id_col, F.inline("each"))
         parts = []
         for node, model in self.models.items():
             feats = self.features(node)
@@ -232,6 +304,11 @@ class Lattice:
         return reduce(DataFrame.unionByName, parts)
 
     def average(self, df: DataFrame) -> DataFrame:
+        """(id, p, n_nodes): mean over own node and ancestors."""
+        if self.masked or self.linear:  # within the row: no shuffle
+            total = F.aggregate("each", F.lit(0.0), lambda t, x: t + x["p"])
+            n = F.size("each").cast("long")
+            return self._each(df).filter(F.size("each") > 0).select(self.id_col, (total / n).alias("p"), n.alias("n_nodes"))
         rows = df.select(self.id_col, panel_mask(self.panels).alias("mask"))
         return lattice_average(rows, self.predict_nodes(df), self.id_col)
 
@@ -240,6 +317,10 @@ class Lattice:
         return self.average(imputer.transform(df))
 
     def route_only(self, df: DataFrame) -> DataFrame:
+        """(id, node_mask, p): own node; where that was not fitted, masked trees and ridge take the largest one within it."""
+        if self.masked or self.linear:
+            own = F.array_max(F.transform("each", lambda x: F.struct(F.bit_count(x["node_mask"]).alias("n"), x["node_mask"].alias("node_mask"), x["p"].alias("p"))))
+            return self._each(df).filter(F.size("each") > 0).select(self.id_col, own["node_mask"].alias("node_mask"), own["p"].alias("p"))
         rows = df.select(self.id_col, panel_mask(self.panels).alias("mask"))
         return lattice_route_only(rows, self.predict_nodes(df), self.id_col)
 
@@ -261,15 +342,16 @@ class Lattice:
         from pyspark.ml.functions import vector_to_array
 
         def wide(df: DataFrame) -> DataFrame:
-            names = sorted(self.models)
+            names = known
             p = self.predict_nodes(df).groupBy(self.id_col).pivot("node_mask", names).agg(F.first("p"))
             return p.select(self.id_col, *[F.col(str(n)).alias(f"p_{n}") for n in names])
 
+        known = self.nodes or sorted(self.models)
         both = wide(train).join(train.select(self.id_col, self.target), self.id_col)
         goal = wide(test).join(test.select(self.id_col, panel_mask(self.panels).alias("mask")), self.id_col)
         parts = []
-        for node in sorted(self.models):
-            inputs = [f"p_{a}" for a in sorted(self.models) if a & node == a]
+        for node in known:
+            inputs = [f"p_{a}" for a in known if a & node == a]
             meta = make_meta()
             meta.setFeaturesCol("_vec").setLabelCol(self.target)
             stages = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_vec"), meta])
@@ -283,7 +365,7 @@ class Lattice:
         rows = [
             (n, bin(n).count("1"), [p.name for i, p in enumerate(self.panels) if n >> i & 1], self.features(n),
              self.thresholds.get(n), self.counts.get(n))
-            for n in sorted(self.models)
+            for n in self.nodes or sorted(self.models)
         ]
         schema = "node_mask long, level int, panels array<string>, features array<string>, threshold double, n_samples long"
         return spark.createDataFrame(rows, schema)

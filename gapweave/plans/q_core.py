@@ -675,26 +675,28 @@ def _(spark, sf):
 _PAN = [Panel(x, [x]) for x in FEATURES]
 _MASK = " + ".join(f"(CASE WHEN {x} IS NULL THEN 0 ELSE {1 << i} END)" for i, x in enumerate(FEATURES))
 _ROWS = ("lr", f"SELECT row_id, y, CAST({_MASK} AS BIGINT) AS mask, a, n, s FROM cfm WHERE role = 'test'")
+_FIT = ("lr", f"SELECT row_id, CAST({_MASK} AS BIGINT) AS mask FROM cfm WHERE role = 'train'")
+
+
+def _fit_nodes(spark, sf):
+    """Nodes of the fitted table with the rows that each can use: patterns are counted, then summed over supersets."""
+    rows = incomplete(spark, sf).filter("role = 'train'").select(lattice.panel_mask(_PAN).alias("mask"))
+    usable = lattice.superset_sums(rows.groupBy("mask").agg(F.count(F.lit(1)).alias("n_samples")), len(_PAN), ["n_samples"])
+    return lattice.lattice_build(spark, _PAN, []).join(usable, "node_mask", "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
 
 
 @query(
     "lattice_build",
-    sql(["cfm"], "SELECT node AS node_mask, CAST(bit_count(node) AS INTEGER) AS level, (SELECT count(*) FROM lr WHERE lr.mask & node = node) AS n_samples FROM range(8) t(node)", [_ROWS]),
+    sql(["cfm"], "SELECT node AS node_mask, CAST(bit_count(node) AS INTEGER) AS level, (SELECT count(*) FROM lr WHERE lr.mask & node = node) AS n_samples FROM range(8) t(node)", [_FIT]),
 )
 def _(spark, sf):
-    nodes = lattice.lattice_build(spark, _PAN, [])
-    rows = incomplete(spark, sf).filter("role = 'test'").select(lattice.panel_mask(_PAN).alias("mask"))
-    # count patterns first, then spread the few patterns over their subsets
-    patterns = rows.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-    usable = lattice.ancestors(patterns, 3, "mask").join(patterns, "mask").groupBy("ancestor").agg(F.sum("n").alias("n_samples"))
-    joined = nodes.join(usable, nodes.node_mask == usable.ancestor, "left")
-    return joined.select("node_mask", F.col("level").cast("int").alias("level"), F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
+    return _fit_nodes(spark, sf).select("node_mask", F.col("level").cast("int").alias("level"), "n_samples")
 
 
 @query("lattice_edge_join", sql(["cfm"], "SELECT a.k AS parent, b.k AS child FROM nd a JOIN nd b ON a.k & b.k = a.k AND bit_count(b.k) = bit_count(a.k) + 1",
-                                 [_ROWS, ("nd", "SELECT DISTINCT k FROM lr, range(8) t(k) WHERE lr.mask & k = k")]))
+                                 [_FIT, ("nd", "SELECT DISTINCT k FROM lr, range(8) t(k) WHERE lr.mask & k = k")]))
 def _(spark, sf):
-    rows = incomplete(spark, sf).filter("role = 'test'").select(lattice.panel_mask(_PAN).alias("mask"))
+    rows = incomplete(spark, sf).filter("role = 'train'").select(lattice.panel_mask(_PAN).alias("mask"))
     nodes = lattice.ancestors(rows, 3, "mask").select(F.col("ancestor").alias("node_mask")).distinct()
     return lattice.lattice_edges(nodes, 3)
 
@@ -745,17 +747,13 @@ def _(spark, sf):
 
 @query(
     "sink_lattice_json",
-    sql(["cfm"], "SELECT CAST(k AS BIGINT) AS node_mask, CAST(bit_count(k) AS INTEGER) AS level, (SELECT count(*) FROM lr WHERE mask & k = k) AS n_samples FROM range(8) t(k)", [_ROWS]),
+    sql(["cfm"], "SELECT CAST(k AS BIGINT) AS node_mask, CAST(bit_count(k) AS INTEGER) AS level, (SELECT count(*) FROM lr WHERE mask & k = k) AS n_samples FROM range(8) t(k)", [_FIT]),
 )
 def _(spark, sf):
     from gapweave.sources.writers import write_json
 
     path = scratch(spark, "lattice")
-    rows = incomplete(spark, sf).filter("role = 'test'").select(lattice.panel_mask(_PAN).alias("mask"))
-    patterns = rows.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-    usable = lattice.ancestors(patterns, 3, "mask").join(patterns, "mask").groupBy("ancestor").agg(F.sum("n").alias("n_samples"))
-    nodes = lattice.lattice_build(spark, _PAN, [])
-    write_json(nodes.join(usable, nodes.node_mask == usable.ancestor, "left").drop("ancestor"), path)
+    write_json(_fit_nodes(spark, sf).drop("features"), path)
     back = spark.read.schema("node_mask long, level int, panels array<string>, n_samples long").json(path)
     return back.select("node_mask", "level", F.coalesce("n_samples", F.lit(0)).alias("n_samples"))
 

@@ -123,36 +123,6 @@ def _(spark, sf):
     return rounded(fitted.predict(p.filter("role = 'test'").select("row_id", "model", "y", "p")), ["calibrated"])
 
 
-_PANELS = [Panel("count", ["n"]), Panel("total", ["s"])]
-
-
-def _lattice(spark, sf, make):
-    p = _parts(spark, sf)
-    keep = {k: v.na.drop(subset=["a"]) for k, v in p.items()}
-    return Lattice(_PANELS, ["a"], "y").fit(keep["train"], make), keep
-
-
-def _logistic():
-    return LogisticRegression(regParam=0.01)
-
-
-@query("lattice_fit_complete")
-def _(spark, sf):
-    lat, keep = _lattice(spark, sf, _logistic)
-    lat.fit_thresholds(keep["val"])
-    seen = keep["train"].select(F.explode(F.array(*[F.lit(n) for n in sorted(lat.models)])).alias("node_mask"), "n", "s")
-    usable = ((F.col("node_mask").bitwiseAND(F.lit(1)) == 0) | F.col("n").isNotNull()) & (
-        (F.col("node_mask").bitwiseAND(F.lit(2)) == 0) | F.col("s").isNotNull())
-    counted = seen.filter(usable).groupBy(F.col("node_mask").cast("long").alias("node_mask")).agg(F.count(F.lit(1)).alias("counted"))
-    return lat.node_table(spark).join(F.broadcast(counted), "node_mask").select("node_mask", "level", "threshold", "n_samples", "counted")
-
-
-@query("lattice_thresholds")
-def _(spark, sf):
-    lat, keep = _lattice(spark, sf, _logistic)
-    return rounded(lat.fit_thresholds(keep["val"]), ["threshold", "gmean_all_metrics"])
-
-
 _EACH = [Panel(x, [x]) for x in FEATURES]
 
 
@@ -165,7 +135,7 @@ def _masked_lattice(spark, sf, settings):
 @query("lattice_fit_masked")
 def _(spark, sf):
     lat, p = _masked_lattice(spark, sf, gaptrees.Settings(rounds=50, depth=4))
-    return rounded(lat.average_masked(p["test"]), ["p"])
+    return rounded(lat.average(p["test"]), ["p"])
 
 
 def _masked_sql(bins: int) -> str:
@@ -198,18 +168,99 @@ def _(spark, sf):
     schema = "node_mask long, n_samples long, feature long, edge double, gap_left boolean, n_left long, gain double"
     return rounded(rounded(spark.createDataFrame(rows, schema), ["edge"], 9), ["gain"])
 
+def _det(m: list[list[str]]) -> str:
+    """Determinant of a small matrix of SQL expressions."""
+    if not m:
+        return "1.0"
+    parts = [f"{'-' if k % 2 else ''}({m[0][k]}) * ({_det([r[:k] + r[k + 1:] for r in m[1:]])})" for k in range(len(m))]
+    return " + ".join(f"({p})" for p in parts)
+
+
+def _ridge_nodes_sql() -> list[tuple[str, str]]:
+    """lw: weights of every node's ridge regression of y (strength 1) on the training rows complete for it; lp: scores."""
+    out, weights = [("tr", "SELECT * FROM cfm WHERE role = 'train'")], []
+    for k in range(1, 8):
+        xs = [x for i, x in enumerate(FEATURES) if k >> i & 1]
+        rows = f"FROM tr WHERE {' AND '.join(f'{x} IS NOT NULL' for x in xs)}"
+        out.append((f"m{k}", f"SELECT count(*) AS c, avg(y) AS ym, {', '.join(f'avg({x}) AS m_{x}' for x in xs)} {rows}"))
+        cells = [f"sum(({x} - m_{x}) * ({z} - m_{z})) + {1.0 if x == z else 0.0} AS s_{x}{z}" for x in xs for z in xs]
+        right = [f"sum(({x} - m_{x}) * (y - ym)) AS r_{x}" for x in xs]
+        out.append((f"s{k}", f"SELECT c, ym, {', '.join(f'm_{x}' for x in xs)}, {', '.join(cells + right)} {rows.replace('FROM tr', f'FROM tr, m{k}')} GROUP BY ALL"))
+        matrix = [[f"s_{x}{z}" for z in xs] for x in xs]
+        solved = {x: f"({_det([[f'r_{xs[i]}' if j == at else matrix[i][j] for j in range(len(xs))] for i in range(len(xs))])}) / ({_det(matrix)})" for at, x in enumerate(xs)}
+        out.append((f"w{k}", f"SELECT c, ym, {', '.join(f'm_{x}' for x in xs)}, {', '.join(f'{e} AS w_{x}' for x, e in solved.items())} FROM s{k}"))
+        intercept = "ym - (" + " + ".join(f"w_{x} * m_{x}" for x in xs) + ")"
+        weights.append(f"SELECT {k} AS k, c, {intercept} AS b, {', '.join(f'w_{x}' if x in xs else f'NULL::DOUBLE AS w_{x}' for x in FEATURES)} FROM w{k}")
+    out.append(("lw", "SELECT 0 AS k, (SELECT count(*) FROM tr) AS c, 0.5::DOUBLE AS b, " + ", ".join(f"NULL::DOUBLE AS w_{x}" for x in FEATURES) + " UNION ALL " + " UNION ALL ".join(weights)))
+    total = " + ".join(f"coalesce(w_{x}, 0) * coalesce({{c}}{x}, 0)" for x in FEATURES)
+    has = " AND ".join(f"(w_{x} IS NULL OR {{c}}{x} IS NOT NULL)" for x in FEATURES)
+    score = f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, b + {total})), 9)"
+    out.append(("lp", f"SELECT row_id, role, y, k, {score.format(c='cfm.')} AS p FROM cfm, lw WHERE {has.format(c='cfm.')}"))
+    return out
+
+
+def _node_cuts_sql() -> list[tuple[str, str]]:
+    """lt: best cut-off of every node among hundredths on the validation rows, one step below the one evaluated."""
+    sides = {"tp": "y <> 0 AND p >= i / 100.0::DOUBLE", "tn": "y = 0 AND p < i / 100.0::DOUBLE", "fp": "y = 0 AND p >= i / 100.0::DOUBLE", "fn": "y <> 0 AND p < i / 100.0::DOUBLE"}
+    return [
+        *_ridge_nodes_sql(),
+        ("lc", f"SELECT k, i, {', '.join(f'count(*) FILTER ({e}) AS {n}' for n, e in sides.items())} FROM lp, range(1, 100) t(i) WHERE role = 'val' GROUP BY ALL"),
+        ("lg", "SELECT k, i, round(pow(coalesce(tp / nullif(tp + fn, 0), 0) * coalesce(tn / nullif(tn + fp, 0), 0) * coalesce(tp / nullif(tp + fp, 0), 0) * coalesce(tn / nullif(tn + fn, 0), 0), 0.25), 12) AS g FROM lc"),
+        ("lt", "SELECT k, (min(i) - 1) / 100.0::DOUBLE AS threshold, round(max(g), 6) AS gmean_all_metrics FROM (SELECT *, max(g) OVER (PARTITION BY k) AS top FROM lg) WHERE g = top GROUP BY k"),
+    ]
+
 
-@query("lattice_average_imputed")
+def _ridge_lattice(spark, sf):
+    p = _parts(spark, sf)
+    return Lattice(_EACH, [], "y").fit_linear(p["train"]), p
+
+
+@query(
+    "lattice_fit_complete",
+    sql(["cfm"], "SELECT CAST(lw.k AS BIGINT) AS node_mask, CAST(bit_count(lw.k) AS INTEGER) AS level, c AS n_samples, threshold, round(b, 6) AS intercept, "
+        + ", ".join(f"round(w_{x}, 6) AS w_{x}" for x in FEATURES) + " FROM lw JOIN lt ON lt.k = lw.k", _node_cuts_sql()),
+)
+def _(spark, sf):
+    lat, p = _ridge_lattice(spark, sf)
+    lat.fit_thresholds(p["val"])
+    fitted = [(n, b, *(w.get(x) for x in FEATURES)) for n, (w, b) in lat.linear.items()]
+    weights = spark.createDataFrame(fitted, "node_mask long, intercept double, " + ", ".join(f"w_{x} double" for x in FEATURES))
+    facts = lat.node_table(spark).select("node_mask", "level", "n_samples", "threshold")
+    return rounded(facts.join(weights, "node_mask"), ["intercept", *(f"w_{x}" for x in FEATURES)])
+
+
+@query("lattice_thresholds", sql(["cfm"], "SELECT CAST(k AS BIGINT) AS node_mask, threshold, gmean_all_metrics FROM lt", _node_cuts_sql()))
+def _(spark, sf):
+    lat, p = _ridge_lattice(spark, sf)
+    return rounded(lat.fit_thresholds(p["val"]), ["threshold", "gmean_all_metrics"])
+
+
+@query("lattice_average_ridge", sql(["cfm"], "SELECT row_id, round(avg(p), 6) AS p, count(*) AS n_nodes FROM lp WHERE role = 'test' GROUP BY row_id", _ridge_nodes_sql()))
+def _(spark, sf):
+    lat, p = _ridge_lattice(spark, sf)
+    return rounded(lat.average(p["test"]), ["p"])
+
+
+# every row is filled, so every row takes the full node and all its ancestors
+@query(
+    "lattice_average_imputed",
+    sql(["cfm"], "SELECT row_id, round(avg(round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, b + " + " + ".join(f"coalesce(w_{x}, 0) * coalesce(cfm.{x}, mu.{x})" for x in FEATURES)
+        + ")), 9)), 6) AS p, count(*) AS n_nodes FROM cfm, lw, mu WHERE role = 'test' GROUP BY row_id", [("mu", "SELECT " + ", ".join(f"avg({x}) AS {x}" for x in FEATURES) + " FROM cfm WHERE role = 'train'"), *_ridge_nodes_sql()]),
+)
 def _(spark, sf):
-    lat, keep = _lattice(spark, sf, _logistic)
-    filler = impute.MeanImputer(FEATURES).fit(keep["train"])
-    return rounded(lat.average_imputed(keep["test"], filler).select("row_id", "p", "n_nodes"), ["p"])
+    lat, p = _ridge_lattice(spark, sf)
+    filler = impute.MeanImputer(FEATURES).fit(p["train"])
+    return rounded(lat.average_imputed(p["test"], filler), ["p"])
+
+
+def _logistic():
+    return LogisticRegression(regParam=0.01)
 
 
 @query("lattice_stack")
 def _(spark, sf):
-    lat, keep = _lattice(spark, sf, _logistic)
-    return rounded(lat.stack(keep["train"], keep["test"], _logistic), ["p"])
+    lat, p = _ridge_lattice(spark, sf)
+    return rounded(lat.stack(p["train"], p["test"], _logistic), ["p"])
 
 
 @query("constant_classifier", sql(["cf"], "SELECT row_id, 0.5::DOUBLE AS p FROM cf"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gapweave.operators import gaptrees
 from gapweave.operators.clean import Panel
 from gapweave.operators.gaptrees import Settings
-from gapweave.operators.lattice import Lattice
+from gapweave.operators.lattice import Lattice, superset_sums
 
 NAMES = ["a", "b", "c"]
 
@@ -119,12 +119,38 @@ def test_squared_loss_and_edges(spark, df):
 def test_masked_lattice(df):
     lat = Lattice([Panel("B", ["b"]), Panel("C", ["c"])], ["a"], "y").fit_masked(df, Settings(rounds=5, depth=2))
     assert sorted(lat.counts) == [0, 1, 2, 3] and set(lat.counts.values()) == {600}
-    out = {r["row_id"]: r for r in lat.average_masked(df).collect()}
+    out = {r["row_id"]: r for r in lat.average(df).collect()}
     assert len(out) == df.count()  # rows without the base feature too
     each = {}
-    for r in lat.predict_masked(df).collect():
+    for r in lat.predict_nodes(df).collect():
         each.setdefault(r["row_id"], []).append(r["p"])
     for i, r in out.items():
         assert r["n_nodes"] == len(each[i]) and r["p"] == pytest.approx(np.mean(each[i]))
-    own = lat.route_masked(df)
-    assert own.count() == df.count()
+    assert lat.route_only(df).count() == df.count()
+
+
+def test_linear_lattice(df, data):
+    x, y = data
+    lat = Lattice([Panel(n, [n]) for n in NAMES], [], "y").fit_linear(df)
+    assert lat.linear[0] == ({}, 0.5)
+    for node in range(1, 8):
+        cols = [k for k in range(3) if node >> k & 1]
+        rows = ~np.isnan(x[:, cols]).any(axis=1)
+        assert lat.counts[node] == rows.sum()
+        a, t = x[rows][:, cols], y[rows]
+        w = np.linalg.solve((a - a.mean(0)).T @ (a - a.mean(0)) + np.eye(len(cols)), (a - a.mean(0)).T @ (t - t.mean()))
+        weights, intercept = lat.linear[node]
+        assert [weights[NAMES[k]] for k in cols] == pytest.approx(w.tolist()) and intercept == pytest.approx(t.mean() - a.mean(0) @ w)
+    assert lat.average(df).count() == lat.route_only(df).count() == df.count()
+    own = {r["row_id"]: r["node_mask"] for r in lat.route_only(df).collect()}
+    assert all(own[i] == sum(1 << k for k in range(3) if not np.isnan(x[i, k])) for i in range(600))
+
+
+def test_superset_sums(spark):
+    import random
+
+    random.seed(1)
+    masks = [(random.choice([1, 5, 12, 31, 16, 0]), random.randint(1, 9)) for _ in range(40)]
+    got = {r["node_mask"]: r["n"] for r in superset_sums(spark.createDataFrame(masks, "mask long, n long"), 5, ["n"]).collect()}
+    seen = {m & k for m, _ in masks for k in range(32)}
+    assert got == {k: sum(n for m, n in masks if m & k == k) for k in seen}
