@@ -90,6 +90,7 @@ def _run_fold(spec, table, feats, folds, fold, make_pool, st, regression) -> dic
     rows = table.join(mine, spec.id_col)
     incomplete = rows.select(spec.id_col, spec.target, "role", *[F.col(f"x_{x}").alias(x) for x in feats])
     part = {r: cut(incomplete.filter(F.col("role") == r).drop("role")) for r in ("train", "val", "test")}
+    scale = None
     if st.fit_scaling_on == "train":
         scale = fit_minmax(part["train"], feats)
         part = {r: scale.transform(p) for r, p in part.items()}
@@ -114,7 +115,7 @@ def _run_fold(spec, table, feats, folds, fold, make_pool, st, regression) -> dic
     tag = F.lit(fold).alias("fold")
     return {
         "metrics": _measure(preds, regression).select(tag, "model", "metric", "value"),
-        "imputation": _imputation_errors(spec, rows, part, pool, feats, st).select(tag, "model", "feature", "n_cells", "mae", "rmse"),
+        "imputation": _imputation_errors(spec, rows, part, pool, feats, scale).select(tag, "model", "feature", "n_cells", "mae", "rmse"),
         "predictions": preds.select(tag, "row_id", "model", "y", "p"),
         "weights": blend.weight_rows(dew).select(tag, "row_id", "top_n", "model", "w"),
         "neighbours": near.select(tag, "row_id", "model", "rank", "val_id", "dist"),
@@ -133,11 +134,14 @@ def _measure(preds: DataFrame, regression: bool) -> DataFrame:
     return wide.unpivot(["model"], ["roc_auc", "accuracy", "f1_score"], "metric", "value")
 
 
-def _imputation_errors(spec, rows, part, pool, feats, st) -> DataFrame:
-    """Error of each member (and of mean filling, once) on the injected cells of train and test rows."""
+def _imputation_errors(spec, rows, part, pool, feats, scale) -> DataFrame:
+    """Error of each member (and of mean filling, once) on the injected cells of train and test rows.
+
+    Where the rows were scaled by limits of the training rows, the truth is scaled by the same limits.
+    """
     seen = part["train"].unionByName(part["test"])
     truth = rows.filter(F.col("role") != "val").select(
-        spec.id_col, *[F.col(x).alias(f"t_{x}") for x in feats], *[F.col(f"m_{x}") for x in feats]
+        spec.id_col, *[(scale.column(x) if scale else F.col(x)).alias(f"t_{x}") for x in feats], *[F.col(f"m_{x}") for x in feats]
     )
     fillers = {name: m.imputed(seen) for name, m in pool.items()}
     fillers["mean"] = MeanImputer(feats).fit(part["train"]).transform(seen)

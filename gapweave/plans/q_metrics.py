@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions import scalar
 from gapweave.functions.draw import draw
-from gapweave.operators import clean, diversity, metrics, reshape, significance, threshold
+from gapweave.operators import clean, diversity, impute, metrics, reshape, significance, threshold
 from gapweave.operators.blend import error_classify
 from gapweave.operators.impute import Constants, MeanImputer
 from gapweave.operators.inject import Injected, hide_mcar
@@ -243,21 +243,26 @@ def _(spark, sf):
     return e.groupBy("model").agg(F.round(F.avg("rmse"), 6).alias("rmse"), F.round(F.avg("mae"), 6).alias("mae"))
 
 
-_CATEG = f"""SELECT CASE WHEN o_orderpriority >= '3' THEN 1 ELSE 0 END AS y,
-    CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS p FROM orders WHERE {u('o_orderkey', 'cell:prio')} < 0.3"""
+# a two-class column loses 30 % of its cells; its codes are imputed from the two other columns and scored where they were hidden
+_CATEG = [
+    ("c", f"""SELECT o_orderkey, CASE WHEN o_orderpriority >= '3' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t, CASE WHEN o_orderstatus = 'F' THEN 0.0::DOUBLE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS a,
+    o_totalprice / 1e6::DOUBLE AS b, {u('o_orderkey', 'cell:prio')} < 0.3 AS h FROM orders"""),
+    ("m", "SELECT avg(a) AS am, avg(b) AS bm, avg(t) AS tm, avg(a) FILTER (NOT h) AS ak, avg(b) FILTER (NOT h) AS bk, avg(t) FILTER (NOT h) AS tk FROM c"),
+    ("s", "SELECT ak, bk, tk, sum((a - ak) * (a - ak)) + 1.0 AS aa, sum((b - bk) * (b - bk)) + 1.0 AS bb, sum((a - ak) * (b - bk)) AS ab, sum((a - ak) * (t - tk)) AS ta, sum((b - bk) * (t - tk)) AS tb FROM c, m WHERE NOT h GROUP BY ak, bk, tk"),
+    ("c2", "SELECT 'priority' AS feature, t AS y, round(tk + (ta * bb - tb * ab) / (aa * bb - ab * ab) * (a - ak) + (tb * aa - ta * ab) / (aa * bb - ab * ab) * (b - bk), 9) AS p FROM c, s WHERE h"),
+]
 
 
-@query("impute_auc_by_feature", sql([], _AUC.format(by="feature", pos="y = 1", p="p", src="c2"), [("c", _CATEG), ("c2", "SELECT 'priority' AS feature, y, p FROM c")]))
+@query("impute_auc_by_feature", sql([], _AUC.format(by="feature", pos="y = 1", p="p", src="c2"), _CATEG))
 def _(spark, sf):
-    # a hidden two-class feature filled with the code of another categorical column
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", (F.col("o_totalprice").cast("double") / 1e6).alias("price"))
     codes = clean.label_codes(o, ["o_orderstatus"])
-    hidden = codes.encode(o, "o_orderstatus").filter(draw("o_orderkey", "cell:prio", SEED) < 0.3)
-    cells = hidden.select(
-        F.lit("priority").alias("feature"),
-        (F.col("o_orderpriority") >= "3").cast("int").alias("y"),
-        F.col("o_orderstatus").cast("double").alias("p"),
-    )
+    o = codes.encode(o, "o_orderstatus").withColumn("truth", (F.col("o_orderpriority") >= "3").cast("double"))
+    hidden = draw("o_orderkey", "cell:prio", SEED) < 0.3
+    rows = o.select("o_orderkey", "truth", F.col("o_orderstatus").cast("double").alias("status"), "price", F.when(~hidden, F.col("truth")).alias("priority"), hidden.alias("gone"))
+    ridge = impute.IterativeRidgeImputer(["status", "price", "priority"], rounds=1, bayes=False, strength=1.0)
+    filled = ridge.fit(rows).transform(rows).filter("gone")
+    cells = filled.select(F.lit("priority").alias("feature"), F.col("truth").cast("int").alias("y"), F.round("priority", 9).alias("p"))
     return rounded(metrics.roc_auc(cells, ["feature"]), ["roc_auc"])
 
 
@@ -624,15 +629,21 @@ def _(spark, sf):
     return rounded(rounded(back, ["mean_diff", "p_value"]), ["t"], 4)
 
 
+_PAIR_P = f"""SELECT model_a, model_b, round({student_p('t', len(RATES) * TRIALS - 1)}, 6) AS p FROM
+    (SELECT a.model AS model_a, b.model AS model_b, avg(a.value - b.value) / nullif(stddev_samp(a.value - b.value) / sqrt(count(*)), 0) AS t
+    FROM results a JOIN results b USING (rate, trial, metric) WHERE a.model < b.model AND metric = 'accuracy' GROUP BY ALL)"""
+
+
+# the p-value of a pair does not depend on its order, so both halves hold it
 @query(
     "symmetric_p_matrix",
-    sql(["results"], "SELECT m AS model_a, " + ", ".join(f"max(t) FILTER (o = '{m}') AS {m}" for m in sorted(MODELS)) + " FROM (SELECT model_a AS m, model_b AS o, t FROM tt UNION ALL SELECT model_b, model_a, t FROM tt) GROUP BY m",
-        [("tt", _TT.format(by="model_a, model_b", src="SELECT a.model AS model_a, b.model AS model_b, a.value - b.value AS d FROM results a JOIN results b USING (rate, trial, metric) WHERE a.model < b.model AND metric = 'accuracy'"))]),
+    sql(["results"], "SELECT m AS model_a, " + ", ".join(f"max(p) FILTER (o = '{m}') AS {m}" for m in sorted(MODELS)) + " FROM (SELECT model_a AS m, model_b AS o, p FROM tt UNION ALL SELECT model_b, model_a, p FROM tt) GROUP BY m",
+        [("tt", _PAIR_P)]),
 )
 def _(spark, sf):
     r = results(spark, sf).filter("metric = 'accuracy'")
-    t = rounded(significance.ttest_all_pairs(r, ["rate", "trial", "metric"]), ["t"], 4)
-    return reshape.symmetric_matrix(t, "model_a", "model_b", "t", sorted(MODELS))
+    pairs = rounded(significance.with_p(significance.ttest_all_pairs(r, ["rate", "trial", "metric"])), ["p_value"])
+    return reshape.symmetric_matrix(pairs, "model_a", "model_b", "p_value", sorted(MODELS))
 
 
 @query("sample_error_classify", sql(["preds"], "SELECT row_id, model, CASE WHEN y = 1 THEN 1 - p ELSE p END AS e FROM preds WHERE role = 'val'"))

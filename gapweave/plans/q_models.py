@@ -320,12 +320,12 @@ def _(spark, sf):
 @query(
     "stream_score",
     f"""SELECT event_id, CASE WHEN {u('event_id', 'cell:value')} < 0.2 THEN 1 ELSE 0 END AS was_hidden,
-    round({sig("CASE WHEN " + u('event_id', 'cell:value') + " < 0.2 THEN (SELECT avg(value) FROM events) ELSE value END / 100.0")}, 6) AS p FROM events""",
+    round({sig("CASE WHEN " + u('event_id', 'cell:value') + " < 0.2 THEN (SELECT avg(value) FROM events WHERE NOT (" + u('event_id', 'cell:value') + " < 0.2)) ELSE value END / 100.0")}, 6) AS p FROM events""",
 )
 def _(spark, sf):
     events = table(spark, sf, "events")
     hidden = hide_mcar(["value"], "event_id", 0.2, SEED)
-    filler = impute.MeanImputer(["value"]).fit(events)
+    filler = impute.MeanImputer(["value"]).fit(events.filter(~hidden["value"]))  # what was hidden is not known to it
     out, state = scratch(spark, "stream-out"), scratch(spark, "stream-state")
     steps = [
         lambda d: d.select("event_id", hidden["value"].cast("int").alias("was_hidden"), F.when(~hidden["value"], F.col("value")).alias("value")),

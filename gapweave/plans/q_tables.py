@@ -355,6 +355,14 @@ def _(spark, sf):
     return clean.surrogate_ids(o, ["o_totalprice", "o_orderkey"], 1000).select("o_orderkey", "row_id")
 
 
+@query(
+    "surrogate_id_content",
+    "SELECT o_orderstatus, o_orderpriority, row_number() OVER (ORDER BY md5('+' || o_orderstatus || '|+' || o_orderpriority)) - 1 AS row_id FROM orders",
+)
+def _(spark, sf):
+    return readers.with_row_id(table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority"))
+
+
 _EXP_NAME = "'amount(0.' || (1 + l_suppkey % 9) || ')__features([' || array_to_string(list_transform(range(l_partkey % 9 + 1), lambda x: '''f' || x || ''''), ',') || '])'"
 
 

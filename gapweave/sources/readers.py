@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapweave.session import cut
+from gapweave.session import cut, shuffle_width
 
 # fixed values: measure and statistic names of the breast cancer tables
 MEASURES = [
@@ -15,6 +16,9 @@ MEASURES = [
 ]
 STATISTICS = ["mean", "stderr", "worst"]
 
+# buckets of content-ordered ids (hex digits of the hash), and copies of one row that one task writes out
+_BUCKET_DIGITS, _PIECE = 3, 1_000_000
+
 
 def doubles(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
@@ -77,5 +81,26 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def with_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """Add an id to a source that has none. The table is written once, which fixes the ids."""
-    return cut(df.withColumn(out, F.monotonically_increasing_id()))
+    """Ids 0, 1, ... for a source that has none, in order of a hash of the row's content.
+
+    They do not depend on files, splits or the order of rows, so draws keyed by them are the same however the source is
+    read. Equal rows get ids next to each other. Equal rows are counted first; positions are those within a bucket of
+    the hash plus the sizes of earlier buckets, so no task numbers the whole table. The result is written once.
+    """
+    names = df.columns
+    marks = [F.when(F.col(f"`{c}`").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(f"`{c}`").cast("string"))) for c in names]
+    counted = df.groupBy(*[f"`{c}`" for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
+    keyed = cut(counted.withColumn("_key", F.md5(F.concat_ws("|", *marks).cast("binary"))).withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS)))
+    sizes = keyed.groupBy("_bucket").agg(F.sum("_copies").alias("_size"))  # at most 16 ** _BUCKET_DIGITS rows
+    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy("_bucket").orderBy("_key", *[F.col(f"`{c}`") for c in names]).rowsBetween(W.unboundedPreceding, -1)
+    placed = keyed.withColumn("_inside", F.coalesce(F.sum("_copies").over(inside), F.lit(0))).join(F.broadcast(starts), "_bucket")
+    first = (F.col("_start") + F.col("_inside")).alias("_first")
+    # a row with very many copies is spread over tasks in pieces
+    pieces = placed.select(*[F.col(f"`{c}`") for c in names], first, "_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / _PIECE))).alias("_piece"))
+    pieces = pieces.repartition(shuffle_width(df.sparkSession))
+    low = F.col("_piece") * _PIECE
+    high = F.least(low + _PIECE, F.col("_copies")) - 1
+    each = F.explode(F.sequence(F.col("_first") + low, F.col("_first") + high)).alias(out)
+    return cut(pieces.select(*[F.col(f"`{c}`") for c in names], each))

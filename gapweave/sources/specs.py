@@ -37,10 +37,11 @@ class TableSpec:
     target: str
     id_col: str = "row_id"
     panels: list[Panel] = field(default_factory=list)
+    group_col: str | None = None  # who a row is of: for grouped splits, never a feature
 
     @property
     def features(self) -> list[str]:
-        return [c for c in self.df.columns if c not in (self.target, self.id_col)]
+        return [c for c in self.df.columns if c not in (self.target, self.id_col, self.group_col)]
 
     @property
     def base_features(self) -> list[str]:
@@ -162,11 +163,11 @@ VOICE_COLUMNS = [
 
 
 def parkinsons(spark: SparkSession, path: str, train: bool = True) -> TableSpec:
-    """Several rows per subject; the subject is kept as a column."""
+    """Several rows per subject; the subject is kept for grouped splits and is no feature."""
     tail = ["UPDRS double"] if train else []
     ddl = ", ".join(["subject int", *[f"`{c}` double" for c in VOICE_COLUMNS], *tail, "targets int"])
     df = with_row_id(read_csv(spark, path, ddl).drop("UPDRS"))
-    return TableSpec(_encode(df, ["targets"]), "parkinsons", "targets")
+    return TableSpec(_encode(df, ["targets"]), "parkinsons", "targets", group_col="subject")
 
 
 # fixed values: columns of the cervical table

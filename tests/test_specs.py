@@ -83,7 +83,8 @@ def test_diabetes(spark, tmp_path):
 def test_parkinsons_and_infarction(spark, tmp_path):
     voice = write(tmp_path / "v.txt", [",".join([str(1 + i // 2), *["0.5"] * 26, "23", str(i % 2)]) for i in range(8)])
     s = specs.parkinsons(spark, voice)
-    assert len(s.features) == 27 and "subject" in s.features and s.df.count() == 8
+    assert "subject" in s.df.columns and "subject" not in s.features and len(s.features) == 26
+    assert s.df.count() == 8
     mi = write(tmp_path / "mi.data", [",".join([str(i), "?", *["1"] * 121, str(0 if i < 7 else i % 7 + 1)]) for i in range(10)])
     m = specs.infarction(spark, mi)
     assert len(m.features) == 111
@@ -135,3 +136,25 @@ def test_row_ids_are_unique(spark):
     df = readers.with_row_id(spark.range(1000).repartition(7))
     assert df.select("row_id").distinct().count() == 1000
     assert df.join(df.withColumnRenamed("id", "id2"), "row_id").filter(F.col("id") != F.col("id2")).count() == 0
+
+
+def test_row_ids_do_not_depend_on_splits(spark, monkeypatch):
+    monkeypatch.setattr(readers, "_PIECE", 7)
+    df = spark.range(300).selectExpr("id % 40 AS a", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'x' END AS `b c`", "CAST(NULL AS double) AS d").union(
+        spark.range(100).selectExpr("7L AS a", "'x' AS `b c`", "2.5 AS d"))
+    one, two = (readers.with_row_id(df.repartition(n)) for n in (1, 9))
+    assert one.exceptAll(two).count() == 0
+    assert sorted(r["row_id"] for r in one.collect()) == list(range(400))
+    assert one.drop("row_id").exceptAll(df).count() == 0
+    assert readers.with_row_id(df.limit(0)).count() == 0
+
+
+def test_draws_follow_the_content(spark, tmp_path):
+    from gapweave.operators.inject import inject
+
+    lines = [f"{i % 5}.5,{i}.25" for i in range(50)]
+    ids = {}
+    for k, order in enumerate((lines, lines[::-1])):
+        df = readers.with_row_id(readers.read_positional(spark, write(tmp_path / f"{k}.csv", order), 2))
+        ids[k] = {tuple(r) for r in inject(df, ["0", "1"], "row_id", 0.3).incomplete.collect()}
+    assert ids[0] == ids[1]
