@@ -2,7 +2,8 @@
 
 A file of ranks lists byte strings; the library wants characters and merges. Every byte is written as one printable
 character, and a token's merge is what its own bytes are merged to before the last step. A word that is itself
-a token is taken whole, as the rank rule does. Offsets are counted in characters of the text: tokens that hold parts of
+a token is taken whole, as the rank rule does. Texts are cut where no word can cross, and equal runs of a worker are
+encoded once. Offsets are counted in characters of the text: tokens that hold parts of
 one character all span it. Decoding turns the characters back into bytes by the reversed table; a character whose
 bytes lie in several tokens appears with the token that completes it.
 """
@@ -22,12 +23,18 @@ from pyspark.sql import functions as F
 from gapweave.llm.common import keep_types, slices
 from gapweave.llm.tokens import byte_alphabet
 
-#: Characters that the library gets at once; a longer text is cut where no word can cross.
+#: Characters that the library gets at once, and of a run that may be cut further.
 PART = 1 << 16
-#: Places that no match of the word pattern crosses: white space after none, ASCII letters or digits before ASCII
-#: characters of another kind, CJK and Hangul before their punctuation.
+#: Recent runs whose tokens are kept, and the longest of them in characters.
+RUNS, KEPT = 500_000, 64
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs that no match of the word pattern crosses: white space with ASCII letters up to ASCII signs or digits, or with
+#: all up to the next white space.
+_RUN = re.compile(f"[{_WHITE}]*[A-Za-z]+(?=[!-@\\[-`{{-~])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: Other places that none crosses: ASCII letters or digits before ASCII characters of another kind, CJK and Hangul
+#: before their punctuation.
 _SAFE = re.compile(
-    r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])"
+    r"(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-/:-~])"
     "|(?<=[ぁ-ゔァ-ヺ一-龥가-힣])(?=[、。！，？])"
 )
 
@@ -52,14 +59,19 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def pieces(text: str, most: int = PART) -> Iterator[str]:
-    """The text in parts: each ends at the first safe place after ``most`` characters."""
-    at = 0
-    while at < len(text):
-        place = _SAFE.search(text, at + most) if len(text) - at > most else None
-        end = place.start() if place else len(text)
-        yield text[at:end]
-        at = end
+def runs(text: str, most: int = PART) -> list[str]:
+    """The text cut before white space, and in longer runs than ``most`` at the first safe place after so many characters."""
+    found = _RUN.findall(text)
+    if max(map(len, found), default=0) <= most:
+        return found
+    out = []
+    for run in found:
+        at = 0
+        while len(run) - at > most and (place := _SAFE.search(run, at + most)):
+            out.append(run[at : place.start()])
+            at = place.start()
+        out.append(run[at:])
+    return out
 
 
 class ByteBpe:
@@ -80,29 +92,32 @@ class ByteBpe:
         self.library.pre_tokenizer = pre_tokenizers.Sequence([words, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         values = {c: b for b, c in enumerate(alphabet)}
         self.bytes = {i: bytes([values[c] for c in shown[t]]) for t, i in ranks.items()}
-
-    def encode(self, texts: list[str], most: int = PART) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, offsets) of each text; offsets are (start, end) rows in characters. The library is given about ``most`` characters a call."""
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
-        waiting: list[tuple[int, int, str]] = []
-        held = 0
-
-        def work() -> None:
-            for (k, base, _), e in zip(waiting, self.library.encode_batch([w[2] for w in waiting], add_special_tokens=False), strict=True):
-                found[k].append((np.array(e.ids, "<u4"), np.array(e.offsets, np.int64).reshape(-1, 2) + base))
-            waiting.clear()
-
-        for k, text in enumerate(texts):
-            base = 0
-            for part in pieces(text, most):
-                waiting.append((k, base, part))
-                base, held = base + len(part), held + len(part)
-                if held >= most:
-                    work()
-                    held = 0
-        work()
-        empty = np.zeros(0, "<u4"), np.zeros((0, 2), np.int64)
-        return [tuple(np.concatenate(x) for x in zip(empty, *f, strict=True)) for f in found]
+        self.recent: dict[bool, dict[str, tuple[bytes, bytes]]] = {False: {}, True: {}}
+
+    def encode(self, texts: list[str], offsets: bool = True, most: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(ids, offsets) of each text; offsets are (start, end) rows in characters. A run goes to the library once as
+        long as it is remembered; a call gets about ``most`` characters."""
+        recent = self.recent[offsets]
+        for text in texts:
+            cut = runs(text, most)
+            if len(recent) > RUNS:
+                recent.clear()
+            new, once = [r for r in dict.fromkeys(cut) if r not in recent], {}
+            ends = np.cumsum([len(r) for r in new], dtype=np.int64) // most
+            edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(new)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                for run, e in zip(new[i:j], self.library.encode_batch(new[i:j], add_special_tokens=False), strict=True):
+                    done = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int32).tobytes() if offsets else b""
+                    (recent if len(run) <= KEPT else once)[run] = done
+            found = [recent.get(r) or once[r] for r in cut]
+            ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
+            yield ids, self._offsets(cut, found) if offsets else None
+
+    @staticmethod
+    def _offsets(cut: list[str], found: list[tuple[bytes, bytes]]) -> np.ndarray:
+        begin = np.cumsum([0, *(len(r) for r in cut)], dtype=np.int64)[:-1]
+        own = np.frombuffer(b"".join([f[1] for f in found]), np.int32).reshape(-1, 2)
+        return own + np.repeat(begin, [len(f[0]) // 4 for f in found])[:, None]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))
@@ -138,7 +153,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks, pattern)
         for batch in slices(batches, 64):
-            done = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
+            done = list(bpe.encode([t or "" for t in batch.column(1).to_pylist()], offsets))
             columns = [batch.column(0), pa.array([ids.tobytes() for ids, _ in done], pa.binary())]
             if offsets:
                 columns += [pa.array([at[:, k] for _, at in done], pa.list_(pa.int64())) for k in (0, 1)]
