@@ -130,10 +130,10 @@ def described(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def segments(docs: DataFrame, n: int, fragments: int, text_col: str) -> DataFrame:
-    """(fragment, ks, sizes, grams): the segments of some sets in one fragment, as packed arrays.
+    """(fragment, ks, wholes, sizes, grams): the segments of some sets in one fragment, as packed arrays.
 
-    An n-gram is 32 bits of its hash there; two that agree count as one, which can only add candidates. Of equal
-    sets in one task, one is sent.
+    A segment carries the size of its whole set. An n-gram is 32 bits of its hash there; two that agree count as one,
+    which can only add candidates. Of equal sets in one task, one is sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,8 @@ def segments(docs: DataFrame, n: int, fragments: int, text_col: str) -> DataFram
             if not sets:
                 continue
             keys, flat = np.array(list(sets), np.int64), np.concatenate(list(sets.values()))
-            owner = np.repeat(np.arange(len(keys)), [len(x) for x in sets.values()])
+            whole = np.array([len(x) for x in sets.values()], np.uint32)
+            owner = np.repeat(np.arange(len(keys)), whole)
             place = ((flat >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
             order = np.argsort(place, kind="stable")
             flat, owner, place = flat[order], owner[order], place[order]
@@ -157,20 +158,20 @@ def segments(docs: DataFrame, n: int, fragments: int, text_col: str) -> DataFram
             out = []
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 at, size = np.unique(owner[i:j], return_counts=True)
-                out.append((int(place[i]), keys[at].tobytes(), size.astype(np.uint32).tobytes(), flat[i:j].astype(np.uint32).tobytes()))
+                out.append((int(place[i]), keys[at].tobytes(), whole[at].tobytes(), size.astype(np.uint32).tobytes(), flat[i:j].astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                ["fragment", "ks", "sizes", "grams"],
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)],
+                ["fragment", "ks", "wholes", "sizes", "grams"],
             )
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fragment int, ks binary, sizes binary, grams binary")
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fragment int, ks binary, wholes binary, sizes binary, grams binary")
 
 
-def shared_grams(keys: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
-    """(k, number, n-grams, in how many sets, at most 255) of what each set of a fragment shares with any other."""
+def shared_grams(keys: np.ndarray, wholes: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, bytes, bytes]]:
+    """(k, size of the set, number, n-grams, in how many sets, at most 255) of what each set of a fragment shares with any other."""
     keys, first = np.unique(keys, return_index=True)  # a set may come from several tasks
     sizes = sizes.astype(np.int64)
-    taken, size = (np.cumsum(sizes) - sizes)[first], sizes[first]
+    taken, size, whole = (np.cumsum(sizes) - sizes)[first], sizes[first], wholes[first]
     owner = np.repeat(np.arange(len(keys), dtype=np.uint64), size)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(taken, size)
     pairs = np.sort(grams[at].astype(np.uint64) << np.uint64(32) | owner)
@@ -183,22 +184,22 @@ def shared_grams(keys: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> list
     order = np.argsort(owner, kind="stable")
     owner, gram, count = owner[order], (pairs[order] >> np.uint64(32)).astype(np.uint32), count[order]
     cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
-    return [(int(keys[owner[i]]), int(j - i), gram[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return [(int(keys[owner[i]]), int(whole[owner[i]]), int(j - i), gram[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _shared(parts: DataFrame) -> DataFrame:
-    """(k, fragment, shared, grams, counts): per set and fragment, the n-grams that another set has too."""
+    """(k, fragment, n, shared, grams, counts): per set (of n) and fragment, the n-grams that another set has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bytes]] = []
+        held: list[tuple[bytes, bytes, bytes, bytes]] = []
         now = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            found = shared_grams(*[np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), (np.int64, np.uint32, np.uint32), strict=True)])
+            found = shared_grams(*[np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), (np.int64, np.uint32, np.uint32, np.uint32), strict=True)])
             for low in range(0, len(found), 10_000):
-                k, number, gram, count = zip(*found[low : low + 10_000], strict=True)
-                columns = [pa.array(k, pa.int64()), pa.array([now] * len(k), pa.int32()), pa.array(number, pa.int64()), pa.array(gram, pa.binary()), pa.array(count, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "fragment", "shared", "grams", "counts"])
+                k, whole, number, gram, count = zip(*found[low : low + 10_000], strict=True)
+                columns = [pa.array(k, pa.int64()), pa.array([now] * len(k), pa.int32()), *(pa.array(c, pa.int64()) for c in (whole, number)), *(pa.array(c, pa.binary()) for c in (gram, count))]
+                yield pa.RecordBatch.from_arrays(columns, ["k", "fragment", "n", "shared", "grams", "counts"])
 
         for batch in slices(batches):
             for r in batch.to_pylist():
@@ -206,12 +207,12 @@ def _shared(parts: DataFrame) -> DataFrame:
                     yield from close()
                     held = []
                 now = r["fragment"]
-                held.append((r["ks"], r["sizes"], r["grams"]))
+                held.append((r["ks"], r["wholes"], r["sizes"], r["grams"]))
         if held:
             yield from close()
 
     dealt = parts.repartition("fragment").sortWithinPartitions("fragment")
-    return dealt.mapInArrow(run, "k long, fragment int, shared long, grams binary, counts binary")
+    return dealt.mapInArrow(run, "k long, fragment int, n long, shared long, grams binary, counts binary")
 
 
 def rarest(size: int, parts: list[tuple[int, bytes, bytes]], least: Fraction) -> np.ndarray:
@@ -228,11 +229,10 @@ def signatures(docs: DataFrame, rows: DataFrame, n: int, least: Fraction, text_c
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fragments = max(1, -(-total // HELD), min(width, total // LEAST_HELD))
-    found = spill(_shared(segments(docs, n, fragments, text_col)))
-    sizes = rows.filter("k is not null").groupBy("k").agg(F.first("n_shingles").alias("n"))
+    found = _shared(segments(docs, n, fragments, text_col))
     enough = F.col("shared") * least.denominator >= F.col("n") * least.numerator
-    rest = found.groupBy("k").agg(F.sum("shared").alias("shared")).join(sizes, "k").filter(enough).select("k", "n")
-    sets = found.join(rest, "k").groupBy("k", "n").agg(F.collect_list(F.struct("fragment", "grams", "counts")).alias("parts"))
+    whole = found.groupBy("k").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list(F.struct("fragment", "grams", "counts")).alias("parts"))
+    sets = whole.filter(enough)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
