@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from gapweave.functions.draw import draw
 from gapweave.functions.scalar import sigmoid, threshold_label
-from gapweave.operators import impute
+from gapweave.operators import gaptrees, impute
 from gapweave.operators.blend import PoolMember
+from gapweave.operators.patterns import known
 from gapweave.operators.threshold import best_threshold, threshold_sweep
 from gapweave.session import cut
 
@@ -152,11 +155,15 @@ def long_predictions(views: list[PoolMember], side: str, id_col: str = "row_id")
 
 @dataclass
 class Stack:
-    """Final model on the outputs of a fitted pool for validation rows."""
+    """Boosted trees on the outputs of a fitted pool for validation rows."""
 
-    make: Factory
     members: list[str]
-    model: object = None
+    settings: gaptrees.Settings
+    model: gaptrees.GapTrees | None = None
+
+    @property
+    def inputs(self) -> list[str]:
+        return [f"p_{i}" for i in range(len(self.members))]
 
     def _wide(self, preds: DataFrame, id_col: str) -> DataFrame:
         w = preds.groupBy(id_col).pivot("idx", list(range(len(self.members)))).agg(F.first("p"))
@@ -164,24 +171,20 @@ class Stack:
 
     def fit(self, val_preds: DataFrame, id_col: str = "row_id") -> Stack:
         y = val_preds.groupBy(id_col).agg(F.first("y").alias("y"))
-        wide = self._wide(val_preds, id_col).join(y, id_col)
-        inputs = [f"p_{i}" for i in range(len(self.members))]
-        est = self.make()
-        est.setFeaturesCol("_vec").setLabelCol("y")
-        self.model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_vec"), est]).fit(wide)
+        wide = cut(self._wide(val_preds, id_col).join(y, id_col))
+        self.model = gaptrees.fit(wide, self.inputs, "y", [self.inputs], self.settings)
         return self
 
     def predict(self, test_preds: DataFrame, id_col: str = "row_id") -> DataFrame:
-        scored = self.model.transform(self._wide(test_preds, id_col))
-        return scored.select(id_col, score_column(scored).alias("blend"))
+        return self._wide(test_preds, id_col).select(id_col, self.model.predict()[0].alias("blend"))
 
 
-def stack_classifier(members: list[str], depth: int = 3, trees: int = 60, seed: int = 0) -> Stack:
-    return Stack(lambda: GBTClassifier(maxDepth=depth, maxIter=trees, seed=seed), members)
+def stack_classifier(members: list[str], depth: int = 3, trees: int = 60) -> Stack:
+    return Stack(members, gaptrees.Settings(rounds=trees, depth=depth))
 
 
-def stack_regressor(members: list[str], depth: int = 3, trees: int = 60, seed: int = 0) -> Stack:
-    return Stack(lambda: GBTRegressor(maxDepth=depth, maxIter=trees, seed=seed), members)
+def stack_regressor(members: list[str], depth: int = 3, trees: int = 60) -> Stack:
+    return Stack(members, gaptrees.Settings(rounds=trees, depth=depth, loss="squared"))
 
 
 # ---- calibration -----------------------------------------------------------
@@ -249,14 +252,32 @@ def platt_cross_fit(df: DataFrame, member: Callable[[], ImputedModel], id_col: s
 # ---- boosting --------------------------------------------------------------
 
 
+@dataclass
+class Stump:
+    """Votes -1 or 1 on both sides of an edge of one column."""
+
+    column: int
+    split: int
+    edge: float
+    left: int
+    right: int
+
+    def votes(self, bins: np.ndarray) -> np.ndarray:
+        return np.where(bins[:, self.column] <= self.split, self.left, self.right)
+
+
 @dataclass
 class StumpBoost:
-    """Boosted stumps with labels -1 / 1.
+    """Boosted stumps with labels -1 / 1; gaps count as 0.
 
     ``shift_bias`` re-balances the classes' weights after each round.
     ``gap_aware`` lowers a stump's vote on rows where features are missing,
     by the share of the other stumps' strengths; stump m is paired with
     feature m, so it needs at least as many features as stumps.
+
+    Rows of equal bins and label always have equal weights, so the table is reduced to distinct bins with the rows
+    of each label. A round needs the weights added up by column and bin: on the driver where the distinct rows fit in
+    ``held`` bytes, else in one job that replays the votes so far. No weights are written.
     """
 
     features: list[str]
@@ -264,66 +285,131 @@ class StumpBoost:
     rounds: int = 50
     shift_bias: bool = True
     gap_aware: bool = True
-    models: list[object] = field(default_factory=list)
+    bins: int = 128
+    by_rank: bool = True
+    held: int = gaptrees.HELD
+    models: list[Stump] = field(default_factory=list)
     betas: list[float] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)
+    factors: list[dict[tuple[int, int], float]] = field(default_factory=list)  # (label, vote): what a round multiplies
 
     def fit(self, df: DataFrame) -> StumpBoost:
         if self.gap_aware and self.rounds > len(self.features):
             raise ValueError("gap-aware voting pairs stumps with features: rounds must not exceed their number")
-        filled = df.na.fill(0.0, self.features)
-        vec = VectorAssembler(inputCols=self.features, outputCol="_vec")
-        rows = vec.transform(filled).select("_vec", F.col(self.target).alias("_y"))
-        rows = rows.withColumn("_cls", ((F.col("_y") + 1) / 2).cast("double"))
-        n = rows.count()
-        work = cut(rows.withColumn("_w", F.lit(1.0 / n)))
-        self.models, self.betas, self.errors = [], [], []
-        for m in range(self.rounds):
-            tree = DecisionTreeClassifier(featuresCol="_vec", labelCol="_cls", weightCol="_w", maxDepth=1, seed=m)
-            model = tree.fit(work)
-            scored = model.transform(work).select("_vec", "_y", "_cls", "_w", (F.col("prediction") * 2 - 1).alias("_h"))
-            s = scored.agg(
-                F.sum(F.when(F.col("_h") != F.col("_y"), F.col("_w")).otherwise(0.0)).alias("bad"), F.sum("_w").alias("all")
-            ).first()
-            error = s["bad"] / s["all"]
-            if error <= 0.0 or error >= 1.0:
+        self.models, self.betas, self.errors, self.factors = [], [], [], []
+        filled = df.select(*[F.coalesce(known(x), F.lit(0.0)).alias(x) for x in self.features], F.col(self.target).cast("double").alias("_y"))
+        edges = gaptrees.fit_edges(filled, self.features, gaptrees.Settings(bins=self.bins, by_rank=self.by_rank))
+        cells = cut(gaptrees.binned(filled, self.features, "_y", edges))
+        count, n = cells.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if not n:
+            return self
+        local = _Cells(cells.toArrow(), len(self.features)) if count * (len(self.features) + 16) <= self.held else None
+        for _ in range(self.rounds):
+            sums = local.sums(self, n) if local else self._sums(cells, n)
+            stump, (lp, ln, rp, rn) = best_stump(sums, edges)
+            whole = lp + ln + rp + rn
+            right = (lp if stump.left == 1 else ln) + (rp if stump.right == 1 else rn)
+            error = (whole - right) / whole
+            if error <= 1e-12 or error >= 1.0 - 1e-12:
                 break  # nothing changes any more: the next stump would be the same
             alpha = 0.5 * math.log((1.0 - error) / error)
-            moved = reweigh(scored, alpha)
-            t = moved.agg(
-                F.sum(F.when((F.col("_y") == 1) & (F.col("_h") == 1), F.col("_w"))).alias("pos"),
-                F.sum(F.when((F.col("_y") == -1) & (F.col("_h") == -1), F.col("_w"))).alias("neg"),
-                F.sum(F.when(F.col("_y") == 1, F.col("_w"))).alias("w1"),
-                F.sum(F.when(F.col("_y") == -1, F.col("_w"))).alias("w0"),
-            ).first()
-            shift = 0.5 * math.log(t["pos"] / t["neg"]) if self.shift_bias and t["pos"] and t["neg"] else 0.0
-            total = (t["w1"] or 0.0) * math.exp(-shift) + (t["w0"] or 0.0) * math.exp(shift)
-            bias = F.when(F.col("_y") == 1, math.exp(-shift)).otherwise(math.exp(shift))
-            work = cut(moved.select("_vec", "_y", "_cls", (F.col("_w") * bias / total).alias("_w")))
-            self.models.append(model)
+            # weights by (label, vote) after the update
+            by = {(1, 1): 0.0, (1, -1): 0.0, (-1, 1): 0.0, (-1, -1): 0.0}
+            for vote, pos, neg in ((stump.left, lp, ln), (stump.right, rp, rn)):
+                by[1, vote] += pos * math.exp(-alpha * vote)
+                by[-1, vote] += neg * math.exp(alpha * vote)
+            shift = 0.5 * math.log(by[1, 1] / by[-1, -1]) if self.shift_bias and by[1, 1] and by[-1, -1] else 0.0
+            bias = {1: math.exp(-shift), -1: math.exp(shift)}
+            total = sum(w * bias[y] for (y, _), w in by.items())
+            self.factors.append({(y, h): math.exp(-alpha * y * h) * bias[y] / total for y, h in by})
+            self.models.append(stump)
             self.betas.append(alpha)
             self.errors.append(error)
         return self
 
+    def weights(self, bins: np.ndarray, n: float) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of one row of label 1, and of one of label -1, replayed from the votes."""
+        pos, neg = np.full(len(bins), 1.0 / n), np.full(len(bins), 1.0 / n)
+        for stump, factor in zip(self.models, self.factors, strict=True):
+            up = stump.votes(bins) == 1
+            pos *= np.where(up, factor[1, 1], factor[1, -1])
+            neg *= np.where(up, factor[-1, 1], factor[-1, -1])
+        return pos, neg
+
+    def _sums(self, cells: DataFrame, n: float) -> np.ndarray:
+        columns, boost = len(self.features), self
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((columns, 256, 2))
+            for batch in batches:
+                total += _Cells(batch, columns).sums(boost, n)
+            at = np.flatnonzero(total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["i", "v"])
+
+        out = np.zeros(columns * 512)
+        for r in cells.mapInArrow(add, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():  # columns x bins numbers
+            out[r["i"]] = r["v"]
+        return out.reshape(columns, 256, 2)
+
     def predict(self, df: DataFrame, id_col: str = "row_id") -> DataFrame:
-        """(id, score, label): sign of the weighted vote."""
-        gaps = [F.col(x).isNull().cast("double").alias(f"_g{i}") for i, x in enumerate(self.features)]
-        work = df.select("*", *gaps).na.fill(0.0, self.features)
-        work = VectorAssembler(inputCols=self.features, outputCol="_vec").transform(work)
+        """(id, score, label): sign of the weighted vote, as one projection."""
+        gap = [known(x).isNull().cast("double") for x in self.features]
         score = F.lit(-float(sum(self.betas))) if self.gap_aware else F.lit(0.0)
-        for m, model in enumerate(self.models):
-            model.setPredictionCol(f"_p{m}").setRawPredictionCol("").setProbabilityCol("")
-            work = model.transform(work)
-            vote = F.col(f"_p{m}") * 2 - 1
+        for m, s in enumerate(self.models):
+            value = F.coalesce(known(self.features[s.column]), F.lit(0.0))
+            vote = F.when(value <= F.lit(s.edge), float(s.left)).otherwise(float(s.right))
+            weight = F.lit(float(self.betas[m]))
             if self.gap_aware:
                 weight = F.lit(1.0)
                 for j, b in enumerate(self.betas):
                     if j != m:
-                        weight = weight - F.lit(b / self.betas[m]) * F.col(f"_g{j}")
-            else:
-                weight = F.lit(self.betas[m])
+                        weight = weight - F.lit(b / self.betas[m]) * gap[j]
             score = score + weight * vote
-        return work.select(id_col, score.alias("score")).withColumn("label", F.signum("score").cast("int"))
+        return df.select(id_col, score.alias("score")).withColumn("label", F.signum("score").cast("int"))
+
+
+class _Cells:
+    """Distinct bins with the rows of both labels."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, columns: int):
+        self.bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, columns)
+        n, total = batch.column("n").to_numpy(), batch.column("total").to_numpy()
+        self.pos, self.neg = (n + total) / 2, (n - total) / 2
+
+    def sums(self, boost: StumpBoost, n: float) -> np.ndarray:
+        """(column, bin, label 1 or -1): weights added up."""
+        pos, neg = boost.weights(self.bins, n)
+        out = np.zeros((self.bins.shape[1], 256, 2))
+        for column in range(self.bins.shape[1]):
+            for k, w in enumerate((self.pos * pos, self.neg * neg)):
+                out[column, :, k] = np.bincount(self.bins[:, column], w, 256)
+        return out
+
+
+def best_stump(sums: np.ndarray, edges: list[np.ndarray]) -> tuple[Stump, tuple[float, float, float, float]]:
+    """The split of least Gini impurity and its weights (left 1, left -1, right 1, right -1).
+
+    Equal ones (to twelve digits): the first column, the first edge. Without a split that parts the rows, one vote for all.
+    """
+    best, found = None, (0, len(edges[0]) if edges else 0, math.inf)
+    left = np.cumsum(sums, axis=1)
+    whole = left[:, -1:, :]
+    for column, edge in enumerate(edges):
+        a = left[column, : len(edge)]
+        b = whole[column] - a
+        wa, wb = a.sum(axis=1), b.sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            impurity = 2 * a[:, 0] * a[:, 1] / wa + 2 * b[:, 0] * b[:, 1] / wb
+        impurity = np.round(np.where((wa > 0) & (wb > 1e-15), impurity, np.inf), 12)
+        if len(impurity) and (best is None or impurity.min() < best):
+            at = int(np.argmin(impurity))
+            if np.isfinite(impurity[at]):
+                best, found = impurity[at], (column, at, float(edge[at]))
+    column, at, edge = found
+    a = left[column, at] if best is not None else whole[0, 0]
+    b = whole[column, 0] - a if best is not None else np.zeros(2)
+    votes = [1 if x[0] > x[1] else -1 for x in (a, b)]
+    return Stump(column, at if best is not None else 255, edge, votes[0], votes[1]), (a[0], a[1], b[0], b[1])
 
 
 def reweigh(scored: DataFrame, alpha: float, w: str = "_w", y: str = "_y", h: str = "_h") -> DataFrame:
