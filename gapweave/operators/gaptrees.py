@@ -236,18 +236,38 @@ def _splits(table: DataFrame, model: GapTrees, tree: Tree, level: int) -> dict[t
     return {(r["view"], r["leaf"]): (r["gain"], r["col"], r["at"], r["gap_left"], np.array(r["a"]), np.array(r["b"])) for r in found.collect()}
 
 
-def fit(df: DataFrame, features: list[str], target: str, views: list[list[str]], settings: Settings | None = None, held: int = HELD) -> GapTrees:
+def fit(
+    df: DataFrame,
+    features: list[str],
+    target: str,
+    views: list[list[str]],
+    settings: Settings | None = None,
+    held: int = HELD,
+    edges: list[np.ndarray] | None = None,
+    most_rows: int | None = None,
+) -> GapTrees:
     """Trees for each view (a list of columns it sees), all on all rows with a target.
 
+    ``edges`` saves the scan that finds them. Where ``df`` is known to have at most ``most_rows`` rows and those fit, the
+    distinct rows come to the driver in one job and nothing is written.
+
     Without rows the base is 0 and there are no trees. A column without values is a gap everywhere. The result does not
     depend on where the work is done, nor on the order of the rows, up to rounding of sums.
     """
     settings = settings or Settings()
     if not 2 <= settings.bins <= 254:
         raise ValueError("2 to 254 bins")
-    edges = fit_edges(df, features, settings)
-    table = cut(binned(df, features, target, edges))
-    cells, n, total = table.agg(F.count(F.lit(1)), F.sum("n"), F.sum("total")).first()
+    edges = fit_edges(df, features, settings) if edges is None else edges
+    table, local = binned(df, features, target, edges), None
+    row_bytes = len(features) + 16 + 8 * len(views)
+    if most_rows is not None and most_rows * row_bytes <= held:
+        local = _Rows(table.toArrow().sort_by("bins"), len(features))
+        n, total = float(local.n.sum()), float(local.total.sum())
+    else:
+        table = cut(table)
+        cells, n, total = table.agg(F.count(F.lit(1)), F.sum("n"), F.sum("total")).first()
+        if n and cells * row_bytes <= held:
+            local = _Rows(table.toArrow().sort_by("bins"), len(features))
     sees = np.array([[x in view for x in features] for view in views], bool).reshape(len(views), len(features))
     model = GapTrees(features, sees, edges, 0.0, settings, [], int(n or 0), [])
     if not n:
@@ -258,7 +278,6 @@ def fit(df: DataFrame, features: list[str], target: str, views: list[list[str]],
         model.base = float(np.log(mean / (1 - mean)))
     else:
         model.base = float(mean)
-    local = _Rows(table.orderBy("bins").toArrow(), len(features)) if cells * (len(features) + 16 + 8 * len(views)) <= held else None
     margin = model.margins(local.bins) if local else None
     m, depth = len(views), settings.depth
     for _ in range(settings.rounds):

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapweave.operators import gaptrees
 from gapweave.operators.knn import knn_join
 from gapweave.operators.patterns import LinearStep, PatternTable, known
 from gapweave.session import cut
@@ -341,6 +342,98 @@ class IterativeModels:
         return work.select(*names)
 
 
+@dataclass
+class TreeChain:
+    """Start values and the ordered tree models that were fitted, replayed on rows as arrays."""
+
+    features: list[str]
+    start: Constants
+    steps: list[tuple[int, gaptrees.GapTrees]]
+    rounds: int
+
+    def fill(self, x: np.ndarray, since: int = 0, until: int | None = None, gaps: np.ndarray | None = None) -> np.ndarray:
+        """Rows (NaN is a gap) after the steps ``since`` to ``until``; ``gaps`` where ``x`` is filled already."""
+        if gaps is None:
+            gaps = np.isnan(x)
+            x = np.where(gaps, np.array([self.start.values[f] for f in self.features]), x)
+        else:
+            x = x.copy()
+        for j, model in self.steps[since:until]:
+            hit = gaps[:, j]
+            if hit.any():
+                others = [i for i in range(len(self.features)) if i != j]
+                x[hit, j] = model.margins(model.bins(x[hit][:, others]))[:, 0]
+        return x
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """One pass over the rows whatever the number of steps."""
+        feats, names = self.features, df.columns
+        if not feats:
+            return df
+
+        @F.pandas_udf("array<double>")
+        def run(x: pd.Series) -> pd.Series:
+            rows = np.array([[np.nan if v is None else v for v in r] for r in x], float).reshape(len(x), len(feats))
+            return pd.Series(list(self.fill(rows)))
+
+        filled = df.withColumn("_x", run(F.array(*[known(x) for x in feats])))
+        return filled.select(*[F.col("_x")[feats.index(x)].alias(x) if x in feats else F.col(f"`{x}`") for x in names])
+
+
+class IterativeTreesImputer:
+    """Round-robin regression by boosted trees (:mod:`gapweave.operators.gaptrees`), columns with few gaps first.
+
+    A column's model is fitted on the rows that have it, the others filled by the models so far. Those are replayed on
+    the rows as they are read, so the table is never written; a fit is one scan that reduces the rows to distinct bins.
+    Rounds end when no filled value moves by ``tolerance`` of the largest absolute value. A column without any
+    value stays as it is and takes no part; NaN is a gap.
+    """
+
+    def __init__(self, features: list[str], depth: int = 4, trees: int = 50, rounds: int = 10, tolerance: float = 1e-3, bins: int = 64):
+        self.features, self.rounds, self.tolerance = features, rounds, tolerance
+        self.settings = gaptrees.Settings(rounds=trees, depth=depth, loss="squared", bins=bins, by_rank=True)
+
+    def fit(self, df: DataFrame) -> TreeChain:
+        row = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.avg(known(x)).alias(f"m_{x}") for x in self.features],
+            *[F.count_if(known(x).isNull()).alias(f"n_{x}") for x in self.features],
+            *[F.max(F.abs(known(x))).alias(f"a_{x}") for x in self.features],
+        ).first()
+        feats = [x for x in self.features if row[f"m_{x}"] is not None]
+        chain = TreeChain(feats, Constants({x: row[f"m_{x}"] for x in feats}), [], 0)
+        order = sorted((i for i, x in enumerate(feats) if row[f"n_{x}"]), key=lambda i: (row[f"n_{feats[i]}"], i))
+        if not order or len(feats) < 2:
+            return chain
+        limit = self.tolerance * max(row[f"a_{x}"] for x in feats)
+        edges = gaptrees.fit_edges(df, feats, self.settings)
+        source = df.select(*[F.col(f"`{x}`") for x in feats])
+        for chain.rounds in range(1, self.rounds + 1):
+            before = len(chain.steps)
+            for j in order:
+                others = [x for x in feats if x != feats[j]]
+                seen = chain.transform(source.filter(known(feats[j]).isNotNull()))
+                known_edges = [edges[feats.index(x)] for x in others]
+                chain.steps.append((j, gaptrees.fit(seen, others, feats[j], [others], self.settings, edges=known_edges, most_rows=row["rows"])))
+            if chain.rounds > 1 and self._largest_move(source, chain, before) < limit:
+                break
+        return chain
+
+    def _largest_move(self, source: DataFrame, chain: TreeChain, before: int) -> float:
+        def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top = 0.0
+            for pdf in batches:
+                x = pdf.to_numpy(dtype=float)
+                gaps = np.isnan(x)
+                old = chain.fill(x, 0, before)
+                new = chain.fill(old, before, None, gaps)
+                top = max(top, float(np.abs(new - old).max(initial=0.0)))
+            yield pd.DataFrame({"v": [top]})
+
+        rows = source.select(*[known(x).alias(f"x{i}") for i, x in enumerate(chain.features)])
+        return rows.mapInPandas(moves, "v double").agg(F.max("v")).first()[0]
+
+
 class IterativeModelImputer:
     """Round-robin regression with any ``pyspark.ml`` regressor (boosted trees, forests)."""
 

@@ -85,7 +85,7 @@ def classifier_pool(
 ) -> dict[str, ImputedModel]:
     """The study's pool: forest x {iterative boosted, k-NN}; ``large`` adds boosted trees and two more imputers."""
     imputers = {
-        "iter_boosted": lambda: impute.IterativeModelImputer(features, impute.boosted_trees(depth, trees, seed), rounds),
+        "iter_boosted": lambda: impute.IterativeTreesImputer(features, depth, trees, rounds),
         "knn": lambda: impute.KnnImputer(features, id_col),
     }
     models: dict[str, Factory] = {"forest": lambda: RandomForestClassifier(maxDepth=depth, numTrees=trees, seed=seed)}
@@ -102,7 +102,7 @@ def regressor_pool(
     """{boosted, forest} x {iterative ridge, iterative boosted, iterative forest, k-NN}."""
     imputers = {
         "iter_ridge": lambda: impute.IterativeRidgeImputer(features, rounds),
-        "iter_boosted": lambda: impute.IterativeModelImputer(features, impute.boosted_trees(depth, trees, seed), rounds),
+        "iter_boosted": lambda: impute.IterativeTreesImputer(features, depth, trees, rounds),
         "iter_forest": lambda: impute.IterativeModelImputer(features, impute.forest(depth, trees, seed), rounds),
         "knn": lambda: impute.KnnImputer(features, id_col),
     }

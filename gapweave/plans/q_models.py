@@ -61,7 +61,7 @@ def _(spark, sf):
 @query("impute_iter_gbt")
 def _(spark, sf):
     p = _parts(spark, sf)
-    model = impute.IterativeModelImputer(FEATURES, impute.boosted_trees(4, 3), rounds=1).fit(p["train"])
+    model = impute.IterativeTreesImputer(FEATURES, depth=4, trees=50, rounds=10).fit(p["train"])
     return rounded(model.transform(p["test"]).select("row_id", *FEATURES), FEATURES)
 
 
