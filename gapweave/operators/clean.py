@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapweave.functions.scalar import c
+from gapweave.operators.hotjoin import lookup
 from gapweave.session import fits
 
 BROADCAST_LABELS = 200_000
@@ -128,17 +129,16 @@ class LabelCodes:
 
     def encode(self, df: DataFrame, name: str, out: str | None = None, keep: bool = False) -> DataFrame:
         key = F.col(f"`{name}`").cast("string")
-        joined = df.join(
-            self.for_column(name).withColumnsRenamed({"label": "_label", "code": "_code"}),
-            key == F.col("_label"),
-            "left",
-        )
+        table = self.for_column(name).withColumnsRenamed({"label": "_label", "code": "_code"})
+        joined = df.join(table, key == F.col("_label"), "left") if self.small else lookup(df, table, key, "_label")
         target = out or name
         rest = [F.col(f"`{x}`") for x in df.columns if x != target and (keep or x != name)]
         return joined.select(*rest, F.col("_code").alias(target))
 
     def decode(self, df: DataFrame, code_col: str, name: str, out: str = "label") -> DataFrame:
         table = self.for_column(name).withColumnsRenamed({"label": out, "code": "_code"})
+        if not self.small:
+            return lookup(df, table, F.col(code_col).cast("int"), "_code")
         return df.join(table, F.col(code_col) == F.col("_code"), "left").drop("_code")
 
 

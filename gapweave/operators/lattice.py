@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gapweave.functions.scalar import c, observed_mask
 from gapweave.operators import gaptrees, patterns
+from gapweave.operators.hotjoin import lookup
 from gapweave.operators.clean import Panel
 
 MAX_PANELS = 20
@@ -87,7 +88,7 @@ def row_level(feature_to_panel: dict[str, str], n_panels: int) -> Column:
 def route(rows: DataFrame, nodes: DataFrame, n_panels: int, mask: str = "mask") -> DataFrame:
     """Own node of each row; a pattern without a node goes to its largest subset node.
 
-    Only distinct patterns are matched with nodes; rows then join by pattern.
+    Only distinct patterns are matched with nodes; rows then look their pattern up, frequent ones without a shuffle.
     """
     known = nodes.select(F.col("node_mask").alias("ancestor"))
     best = (
@@ -97,7 +98,7 @@ def route(rows: DataFrame, nodes: DataFrame, n_panels: int, mask: str = "mask")
         .agg(F.max(F.struct(F.bit_count("ancestor").alias("n"), F.col("ancestor").alias("node"))).alias("b"))
         .select(mask, F.col("b.node").alias("node_mask"))
     )
-    return rows.join(best, mask, "left")
+    return lookup(rows, best, mask, mask)
 
 
 def lattice_average(rows: DataFrame, node_preds: DataFrame, row: str = "row_id", mask: str = "mask") -> DataFrame:
