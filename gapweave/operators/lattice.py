@@ -17,16 +17,23 @@ from pyspark.sql import functions as F
 from gapweave.functions.scalar import c, observed_mask
 from gapweave.operators import gaptrees, patterns
 from gapweave.operators.hotjoin import lookup
+from gapweave.session import cut
 from gapweave.operators.clean import Panel
 
 MAX_PANELS = 20
 
 
-def lattice_build(spark: SparkSession, panels: list[Panel], base: list[str]) -> DataFrame:
-    """(node_mask, level, panels, features): the power set of the panels."""
-    if len(panels) > MAX_PANELS:
-        raise ValueError(f"at most {MAX_PANELS} panels")
-    nodes = spark.range(1 << len(panels)).withColumnRenamed("id", "node_mask")
+def lattice_build(spark: SparkSession, panels: list[Panel], base: list[str], patterns: DataFrame | None = None) -> DataFrame:
+    """(node_mask, level, panels, features): the power set of the panels, or the closed nodes of ``patterns`` (mask).
+
+    More than ``MAX_PANELS`` panels need patterns: the power set would not be of use.
+    """
+    if patterns is not None:
+        nodes = closed_patterns(patterns)
+    elif len(panels) > MAX_PANELS:
+        raise ValueError(f"more than {MAX_PANELS} panels need the patterns that occur")
+    else:
+        nodes = spark.range(1 << len(panels)).withColumnRenamed("id", "node_mask")
     inside = [F.col("node_mask").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(panels))]
     names = F.array_compact(F.array(*[F.when(h, F.lit(p.name)) for h, p in zip(inside, panels)])) if panels else F.array()
     feats = F.array(*[F.lit(b) for b in base]).cast("array<string>")
@@ -36,6 +43,42 @@ def lattice_build(spark: SparkSession, panels: list[Panel], base: list[str]) ->
     return nodes.select("node_mask", F.bit_count("node_mask").alias("level"), names.alias("panels"), feats.alias("features"))
 
 
+def _bits(masks: DataFrame, mask: str, out: str) -> DataFrame:
+    """(out, bit): one row for each panel of a mask; 62 panels at most."""
+    bits = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(62)]), lambda b: F.col(mask).bitwiseAND(b) != 0)
+    return masks.select(mask).withColumn("bit", F.explode(bits)).withColumnRenamed(mask, out)
+
+
+def closed_patterns(patterns: DataFrame, mask: str = "mask") -> DataFrame:
+    """(node_mask): the occurring patterns and all their intersections, the empty one included.
+
+    Any subset of panels has the same rows as the smallest of these that contains it, so no other node can differ from
+    all of them. Built by a fixpoint: what was new is intersected with the patterns, which meet it by a join on
+    a shared panel; without a shared panel the intersection is empty. Their number follows the patterns, not 2 to the
+    power of the panels.
+    """
+    spark = patterns.sparkSession
+    given = cut(patterns.select(F.col(mask).cast("long").alias("p")).distinct())
+    sides = cut(_bits(given, "p", "p"))
+    every = cut(given.select(F.col("p").alias("node_mask")).union(spark.range(1).select(F.lit(0).cast("long"))).distinct())
+    new = every
+    while not new.isEmpty():
+        met = _bits(new, "node_mask", "n").join(sides, "bit").select(F.col("n").bitwiseAND(F.col("p")).alias("node_mask")).distinct()
+        new = cut(met.join(every, "node_mask", "left_anti"))
+        every = cut(every.union(new))
+    return every
+
+
+def closed_counts(nodes: DataFrame, counts: DataFrame, value: str = "n_samples", mask: str = "mask") -> DataFrame:
+    """(node_mask, level, value): sums of ``value`` over the masks that contain a node, met by a join on shared panels."""
+    shared = _bits(nodes, "node_mask", "node_mask").join(_bits(counts, mask, "_m"), "bit").groupBy("node_mask", "_m").agg(F.count(F.lit(1)).alias("_n"))
+    inside = shared.filter(F.col("_n") == F.bit_count("node_mask")).join(counts.select(F.col(mask).alias("_m"), value), "_m")
+    total = counts.agg(F.sum(value)).first()[0] or 0
+    sums = inside.groupBy("node_mask").agg(F.sum(value).alias(value))
+    found = nodes.join(sums, "node_mask", "left")
+    return found.select("node_mask", F.bit_count("node_mask").alias("level"), F.when(F.col("node_mask") == 0, F.lit(total)).otherwise(F.coalesce(value, F.lit(0))).alias(value))
+
+
 def lattice_edges(nodes: DataFrame, n_panels: int) -> DataFrame:
     """(parent, child): the parent lacks exactly one panel of the child."""
     bits = F.array(*[F.lit(1 << i).cast("long") for i in range(n_panels)])

@@ -693,6 +693,21 @@ def _(spark, sf):
     return _fit_nodes(spark, sf).select("node_mask", F.col("level").cast("int").alias("level"), "n_samples")
 
 
+# a customer has a panel for each priority it ordered with; nodes are the patterns that occur and their intersections
+@query(
+    "lattice_closed",
+    """WITH RECURSIVE cm AS (SELECT o_custkey, bit_or(1 << CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) // 2 AS mask FROM orders GROUP BY o_custkey),
+    p AS (SELECT DISTINCT mask FROM cm), c AS (SELECT mask FROM p UNION SELECT 0 UNION SELECT c.mask & p.mask FROM c, p)
+    SELECT CAST(mask AS BIGINT) AS node_mask, CAST(bit_count(mask) AS INTEGER) AS level, (SELECT count(*) FROM cm WHERE cm.mask & c.mask = c.mask) AS n_samples FROM c""",
+)
+def _(spark, sf):
+    bit = F.pow(F.lit(2), F.substring("o_orderpriority", 1, 1).cast("int") - 1).cast("long")
+    masks = table(spark, sf, "orders").groupBy("o_custkey").agg(F.bit_or(bit).alias("mask"))
+    patterns = masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n_samples"))
+    found = lattice.closed_counts(lattice.closed_patterns(patterns), patterns)
+    return found.select("node_mask", F.col("level").cast("int").alias("level"), "n_samples")
+
+
 @query("lattice_edge_join", sql(["cfm"], "SELECT a.k AS parent, b.k AS child FROM nd a JOIN nd b ON a.k & b.k = a.k AND bit_count(b.k) = bit_count(a.k) + 1",
                                  [_FIT, ("nd", "SELECT DISTINCT k FROM lr, range(8) t(k) WHERE lr.mask & k = k")]))
 def _(spark, sf):

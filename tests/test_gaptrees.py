@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gapweave.operators import gaptrees
 from gapweave.operators.clean import Panel
 from gapweave.operators.gaptrees import Settings
-from gapweave.operators.lattice import Lattice, superset_sums
+from gapweave.operators.lattice import Lattice, closed_counts, closed_patterns, lattice_build, superset_sums
 
 NAMES = ["a", "b", "c"]
 
@@ -154,3 +154,25 @@ def test_superset_sums(spark):
     got = {r["node_mask"]: r["n"] for r in superset_sums(spark.createDataFrame(masks, "mask long, n long"), 5, ["n"]).collect()}
     seen = {m & k for m, _ in masks for k in range(32)}
     assert got == {k: sum(n for m, n in masks if m & k == k) for k in seen}
+
+
+def test_closed_nodes_of_many_panels(spark):
+    import random
+
+    random.seed(3)
+    base = [sum(1 << k for k in random.sample(range(40), 30)) for _ in range(5)]
+    masks = [random.choice(base) & ~sum(1 << k for k in random.sample(range(40), 2)) for _ in range(1000)]
+    counts = spark.createDataFrame([(m, 1) for m in masks], "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n_samples"))
+    some = counts.orderBy("mask").limit(12)
+    given = [r["mask"] for r in some.collect()]
+    want = {0, *given}
+    while (more := want | {a & b for a in want for b in given}) != want:
+        want = more
+    got = closed_counts(closed_patterns(some), counts).collect()
+    assert {r["node_mask"] for r in got} == want
+    assert all(r["n_samples"] == sum(m & r["node_mask"] == r["node_mask"] for m in masks) and r["level"] == bin(r["node_mask"]).count("1") for r in got)
+    panels = [Panel(f"p{k}", [f"f{k}"]) for k in range(40)]
+    assert lattice_build(spark, panels, [], some).count() == len(want)
+    with pytest.raises(ValueError):
+        lattice_build(spark, panels, [])
+    assert [r["node_mask"] for r in closed_patterns(some.limit(0)).collect()] == [0]
