@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapweave.operators import blend, metrics, models
-from gapweave.operators.clean import fit_minmax, numeric_columns
+from gapweave.operators.clean import fit_minmax, label_codes, numeric_columns, round_features
 from gapweave.operators.impute import MeanImputer
 from gapweave.operators.inject import inject
 from gapweave.operators.sampling import fold_roles, stratified_folds
@@ -66,8 +66,15 @@ def run_one(
 ) -> Outcome:
     """All folds of one parameter set. ``folds`` (fold, id, role) replaces the default split."""
     st = settings or Settings()
-    feats = [f for f in spec.features if f in numeric_columns(spec.df)]
+    feats = spec.features
     df = spec.df.select(spec.id_col, spec.target, *feats)
+    numbers = numeric_columns(df)
+    classes = [f for f in feats if f not in numbers]  # text becomes codes by sorted label
+    if classes:
+        codes = label_codes(df, classes)
+        for f in classes:
+            df = codes.encode(df, f)
+        df = cut(df.select(spec.id_col, spec.target, *[F.col(f).cast("double").alias(f) if f in classes else F.col(f) for f in feats]))
     if st.fit_scaling_on == "all":
         df = fit_minmax(df, feats).transform(df)
     inj = inject(
@@ -80,12 +87,12 @@ def run_one(
         folds = fold_roles(own, spec.id_col, st.folds, st.train_fraction, st.seed)
     folds = cut(folds)
     wanted = list(only_folds) if only_folds is not None else [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    outs = [_run_fold(spec, table, feats, folds, f, make_pool, st, regression) for f in wanted]
+    outs = [_run_fold(spec, table, feats, classes, folds, f, make_pool, st, regression) for f in wanted]
     merged = {k: reduce(DataFrame.unionByName, [o[k] for o in outs]) for k in outs[0]}
     return Outcome(**merged)
 
 
-def _run_fold(spec, table, feats, folds, fold, make_pool, st, regression) -> dict[str, DataFrame]:
+def _run_fold(spec, table, feats, classes, folds, fold, make_pool, st, regression) -> dict[str, DataFrame]:
     mine = folds.filter(F.col("fold") == fold).select(spec.id_col, "role")
     rows = table.join(mine, spec.id_col)
     incomplete = rows.select(spec.id_col, spec.target, "role", *[F.col(f"x_{x}").alias(x) for x in feats])
@@ -94,6 +101,7 @@ def _run_fold(spec, table, feats, folds, fold, make_pool, st, regression) -> dic
     if st.fit_scaling_on == "train":
         scale = fit_minmax(part["train"], feats)
         part = {r: scale.transform(p) for r, p in part.items()}
+    part["train"] = cut(round_features(part["train"], feats))
     pool = models.fit_pool(make_pool(feats, spec.target, spec.id_col), part["train"], st.parallel)
     views = models.pool_views(pool, part["val"], part["test"])
     names = [v.name for v in views]
@@ -115,7 +123,7 @@ def _run_fold(spec, table, feats, folds, fold, make_pool, st, regression) -> dic
     tag = F.lit(fold).alias("fold")
     return {
         "metrics": _measure(preds, regression).select(tag, "model", "metric", "value"),
-        "imputation": _imputation_errors(spec, rows, part, pool, feats, scale).select(tag, "model", "feature", "n_cells", "mae", "rmse"),
+        "imputation": _imputation_errors(spec, rows, part, pool, feats, classes, scale).select(tag, "model", "feature", "n_cells", "mae", "rmse", "roc_auc"),
         "predictions": preds.select(tag, "row_id", "model", "y", "p"),
         "weights": blend.weight_rows(dew).select(tag, "row_id", "top_n", "model", "w"),
         "neighbours": near.select(tag, "row_id", "model", "rank", "val_id", "dist"),
@@ -134,10 +142,11 @@ def _measure(preds: DataFrame, regression: bool) -> DataFrame:
     return wide.unpivot(["model"], ["roc_auc", "accuracy", "f1_score"], "metric", "value")
 
 
-def _imputation_errors(spec, rows, part, pool, feats, scale) -> DataFrame:
+def _imputation_errors(spec, rows, part, pool, feats, classes, scale) -> DataFrame:
     """Error of each member (and of mean filling, once) on the injected cells of train and test rows.
 
-    Where the rows were scaled by limits of the training rows, the truth is scaled by the same limits.
+    Where the rows were scaled by limits of the training rows, the truth is scaled by the same limits. Text columns of
+    two labels also have the AUC of their imputed codes; null for others.
     """
     seen = part["train"].unionByName(part["test"])
     truth = rows.filter(F.col("role") != "val").select(
@@ -151,6 +160,15 @@ def _imputation_errors(spec, rows, part, pool, feats, scale) -> DataFrame:
         e = metrics.masked_errors_wide(
             both, feats, {x: f"t_{x}" for x in feats}, {x: f"f_{x}" for x in feats}, {x: F.col(f"m_{x}") for x in feats}
         )
+        auc = None
+        for x in classes:
+            cells = both.filter(F.col(f"m_{x}") & F.col(f"t_{x}").isNotNull() & F.col(f"f_{x}").isNotNull())
+            two = cells.agg(F.min(f"t_{x}").alias("lo"), F.max(f"t_{x}").alias("hi"), F.count_distinct(f"t_{x}").alias("n")).first()
+            if two["n"] == 2:
+                scored = cells.select(F.lit(x).alias("feature"), (F.col(f"t_{x}") == two["hi"]).cast("int").alias("y"), F.col(f"f_{x}").alias("p"))
+                one = metrics.roc_auc(scored, ["feature"]).select("feature", "roc_auc")
+                auc = one if auc is None else auc.unionByName(one)
+        e = e.join(auc, "feature", "left") if auc is not None else e.withColumn("roc_auc", F.lit(None).cast("double"))
         parts.append(e.withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -177,5 +195,5 @@ def run_grid(
     every = spark.read.option("basePath", out).parquet(*[f"{out}/run={i}/metrics" for i in range(len(grid))])
     final = every.groupBy("mechanism", "p_miss", "model", "metric").agg(F.avg("value").alias("value"))
     evals = spark.read.option("basePath", out).parquet(*[f"{out}/run={i}/imputation_eval" for i in range(len(grid))])
-    summary = evals.groupBy("mechanism", "p_miss", "model").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
+    summary = evals.groupBy("mechanism", "p_miss", "model").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"), F.avg("roc_auc").alias("roc_auc"))
     return write_run_tables({"final_results": final, "imputation_eval_results": summary}, out, csv=True)

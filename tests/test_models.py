@@ -155,3 +155,13 @@ def test_regression_experiment(full):
     got = {r["model"]: r["value"] for r in out.metrics.collect()}
     assert set(got) == {"forest+mean", "uniform", "stacking", "dew_top_1", "dew_top_all"}
     assert got["uniform"] == pytest.approx(got["forest+mean"]) == pytest.approx(got["dew_top_1"])
+
+
+def test_experiment_with_text_features(full):
+    rows = full.withColumn("word", F.when(F.col("a") > 0.5, "up").otherwise("down")).withColumn("kind", F.concat(F.lit("k"), (F.col("row_id") % 3).cast("string")))
+    out = run_one(TableSpec(rows, "toy", "y"), {"p_miss": 0.2}, _pool, Settings(folds=3, parallel=1, top_n=[1], stack_trees=3, fit_scaling_on="train"), only_folds=[0])
+    got = {(r["model"], r["feature"]): r for r in out.imputation.collect()}
+    assert {f for _, f in got} == {*FEATS, "word", "kind"}
+    assert got["forest+knn", "word"]["roc_auc"] > 0.7 and got["mean", "word"]["roc_auc"] == 0.5
+    assert got["mean", "kind"]["roc_auc"] is None and got["mean", "a"]["roc_auc"] is None
+    assert got["mean", "a"]["rmse"] < 0.5  # truth and fill are scaled alike

@@ -17,7 +17,9 @@ SAMPLE = [
     "kth_quantile", "roc_auc_orders", "class_metrics", "rank_models", "threshold_sweep", "best_threshold",
     "pair_outcomes", "ttest_paired", "inject_mar", "inject_mnar_quantile", "inject_fixed_count", "oversample",
     "train_val_cut", "split_grouped", "impute_mode", "impute_knn", "knn_join_partitioned", "dew_classify",
-    "lattice_average", "pattern_route_join", "stream_score",
+    "lattice_average", "pattern_route_join", "stream_score", "inject_mar_gaps", "sweep_injection_grid", "impute_knn_partitioned",
+    "impute_iter_ridge_rounds", "lattice_masked_nodes", "lattice_fit_complete", "lattice_closed", "adaboost_rounds",
+    "surrogate_id_content", "symmetric_p_matrix",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("GAPWEAVE_ALL") else SAMPLE
 
