@@ -1,10 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of all n-grams (by hash) is cut into fragments, and a document's set into the segments that fall
-there. Each fragment is counted on its own: which of a set's n-grams also occur in another set. The partial counts
-are summed per set, and a set that shares too few n-grams with all others together is out. The rest are candidates
-of each other by their rarest shared n-grams: of two similar sets, the rarest common n-gram is among the first few
-of both, so common n-grams alone never make candidates. Candidates that hang together are compared exactly: n-grams
+there. Each fragment is counted on its own: which of a set's n-grams also occur in another set. Fragments report to
+buckets of sets, in packed arrays; the partial counts are summed per set there, and a set that shares too few n-grams
+with all others together is out. The rest are candidates of each other by their rarest shared n-grams: of two
+similar sets, the rarest common n-gram is among the first few of both, so common n-grams alone never make candidates. Candidates that hang together are compared exactly: n-grams
 are counted fragment by fragment, for all pairs of a block at once, and the partial overlaps are summed per pair.
 """
 
@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import keep_types, slices, spill
 from gapweave.llm.components import components
-from gapweave.llm.hashing import shingles
+from gapweave.llm.hashing import mix, shingles
 
 #: Documents of one side of a compared block, and n-grams counted at once there.
 BLOCK = 256
 FRAGMENT = 4096
-#: N-grams (4 bytes each) of one fragment, and how few are still worth a fragment of their own.
+#: N-grams (4 bytes each) of one fragment, and how many fragments there are at least.
 HELD = 4_000_000
-LEAST_HELD = 100_000
+LEAST_PARTS = 64
 #: Up to so many set keys (8 bytes each) are broadcast to pick the texts to compare; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -167,8 +167,9 @@ def segments(docs: DataFrame, n: int, fragments: int, text_col: str) -> DataFram
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "fragment int, ks binary, wholes binary, sizes binary, grams binary")
 
 
-def shared_grams(keys: np.ndarray, wholes: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, bytes, bytes]]:
-    """(k, size of the set, number, n-grams, in how many sets, at most 255) of what each set of a fragment shares with any other."""
+def shared_grams(keys: np.ndarray, wholes: np.ndarray, sizes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What each set of a fragment shares with any other: keys, sizes of the sets, numbers shared, and the shared n-grams
+    of one set after the other with the number of sets they are in (at most 255)."""
     keys, first = np.unique(keys, return_index=True)  # a set may come from several tasks
     sizes = sizes.astype(np.int64)
     taken, size, whole = (np.cumsum(sizes) - sizes)[first], sizes[first], wholes[first]
@@ -178,69 +179,97 @@ def shared_grams(keys: np.ndarray, wholes: np.ndarray, sizes: np.ndarray, grams:
     gram = pairs >> np.uint64(32)
     start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     other = np.concatenate(([True], pairs[1:] != pairs[:-1]))
-    count = np.repeat(np.add.reduceat(other.astype(np.int64), start), np.diff(np.append(start, len(pairs))))
+    count = np.repeat(np.add.reduceat(other.astype(np.int64), start), np.diff(np.append(start, len(pairs)))) if len(pairs) else np.zeros(0, np.int64)
     pairs, count = pairs[count > 1], np.minimum(count[count > 1], 255).astype(np.uint8)
     owner = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
     order = np.argsort(owner, kind="stable")
     owner, gram, count = owner[order], (pairs[order] >> np.uint64(32)).astype(np.uint32), count[order]
-    cut = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))) if len(owner) else []
-    return [(int(keys[owner[i]]), int(whole[owner[i]]), int(j - i), gram[i:j].tobytes(), count[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    some, number = np.unique(owner, return_counts=True)
+    return keys[some], whole[some], number.astype(np.uint32), gram, count
 
 
-def _shared(parts: DataFrame) -> DataFrame:
-    """(k, fragment, n, shared, grams, counts): per set (of n) and fragment, the n-grams that another set has too."""
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bytes, bytes]] = []
-        now = None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            found = shared_grams(*[np.frombuffer(b"".join(c), t) for c, t in zip(zip(*held, strict=True), (np.int64, np.uint32, np.uint32, np.uint32), strict=True)])
-            for low in range(0, len(found), 10_000):
-                k, whole, number, gram, count = zip(*found[low : low + 10_000], strict=True)
-                columns = [pa.array(k, pa.int64()), pa.array([now] * len(k), pa.int32()), *(pa.array(c, pa.int64()) for c in (whole, number)), *(pa.array(c, pa.binary()) for c in (gram, count))]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "fragment", "n", "shared", "grams", "counts"])
+def _by(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, dict[str, list]]]:
+    """Rows of sorted batches, by value of a column: (value, lists of the other columns)."""
+    now, held = None, {}
+    for batch in slices(batches):
+        for r in batch.to_pylist():
+            if r[column] != now:
+                if held:
+                    yield now, held
+                now, held = r[column], {}
+            for name, value in r.items():
+                held.setdefault(name, []).append(value)
+    if held:
+        yield now, held
 
-        for batch in slices(batches):
-            for r in batch.to_pylist():
-                if r["fragment"] != now and held:
-                    yield from close()
-                    held = []
-                now = r["fragment"]
-                held.append((r["ks"], r["wholes"], r["sizes"], r["grams"]))
-        if held:
-            yield from close()
 
-    dealt = parts.repartition("fragment").sortWithinPartitions("fragment")
-    return dealt.mapInArrow(run, "k long, fragment int, n long, shared long, grams binary, counts binary")
+def _joined(held: dict[str, list], *names: str) -> list[np.ndarray]:
+    kinds = {"ks": np.int64, "counts": np.uint8}
+    return [np.frombuffer(b"".join(held[n]), kinds.get(n, np.uint32)) for n in names]
 
 
-def rarest(size: int, parts: list[tuple[int, bytes, bytes]], least: Fraction) -> np.ndarray:
-    """The first n-grams of a set's shared ones, rare ones first: so many that a similar set has one of them too."""
-    count = np.concatenate([np.frombuffer(p[2], np.uint8) for p in parts])
-    gram = np.concatenate([np.frombuffer(p[1], np.uint32).astype(np.uint64) | np.uint64(p[0] << 32) for p in parts])
-    needed = -(-least.numerator * size // least.denominator)  # a similar set has so many of them
-    order = np.lexsort((gram, count))[: max(0, len(gram) - needed + 1)]
-    return np.unique(gram[order]).view(np.int64)
+def _shared(parts: DataFrame, fragments: int, buckets: int) -> DataFrame:
+    """(bucket, fragment, ks, wholes, sizes, grams, counts): what the sets of a bucket share with others in a fragment."""
+    names = ["bucket", "fragment", "ks", "wholes", "sizes", "grams", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fragment, held in _by(batches, "fragment"):
+            keys, whole, number, gram, count = shared_grams(*_joined(held, "ks", "wholes", "sizes", "grams"))
+            bucket = _bucket(keys, buckets)
+            order = np.argsort(bucket, kind="stable")
+            begin = (np.cumsum(number) - number)[order]
+            size = number[order].astype(np.int64)
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin.astype(np.int64), size)
+            keys, whole, number, gram, count, bucket = keys[order], whole[order], number[order], gram[at], count[at], bucket[order]
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else []
+            place = np.concatenate(([0], np.cumsum(size)))
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                p, q = place[i], place[j]
+                packed = [x.tobytes() for x in (keys[i:j], whole[i:j], number[i:j], gram[p:q], count[p:q])]
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i])], pa.int32()), pa.array([fragment], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names)
+
+    dealt = parts.repartition(fragments, "fragment").sortWithinPartitions("fragment")
+    return dealt.mapInArrow(run, "bucket int, fragment int, ks binary, wholes binary, sizes binary, grams binary, counts binary")
+
+
+def rarest(held: dict[str, list], least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, key) for the sets of a bucket that share enough to be similar to another: the first of each set's
+    shared n-grams, rare ones first, so many that a similar set has one of them too."""
+    ks, wholes, sizes, grams, counts = _joined(held, "ks", "wholes", "sizes", "grams", "counts")
+    high = np.repeat(np.array(held["fragment"], np.uint64), [len(x) // 4 for x in held["grams"]])
+    keys, first, of = np.unique(ks, return_index=True, return_inverse=True)
+    whole, shared = wholes[first].astype(np.int64), np.bincount(of, sizes, len(keys)).astype(np.int64)
+    needed = -(-least.numerator * whole // least.denominator)  # a similar set has so many of them
+    owner = np.repeat(of, sizes)
+    fits = (shared >= needed)[owner]
+    owner, gram, count = owner[fits], (high << np.uint64(32) | grams)[fits], counts[fits]
+    order = np.lexsort((gram, count, owner))
+    owner, gram = owner[order], gram[order]
+    begin = np.searchsorted(owner, np.arange(len(keys)))
+    taken = np.arange(len(owner)) - begin[owner] < (shared - needed + 1)[owner]
+    rows = np.unique(np.stack([gram[taken].view(np.int64), keys[owner[taken]]], axis=1), axis=0)
+    return rows[:, 0], rows[:, 1]
 
 
 def signatures(docs: DataFrame, rows: DataFrame, n: int, least: Fraction, text_col: str) -> DataFrame:
-    """(s, k): the rarest shared n-grams of the sets that share enough to be similar to any other."""
+    """(s, k): the rarest shared n-grams of the sets that share enough to be similar to any other.
+
+    Fragments, and buckets of sets to which they report, are as many as memory needs and 64 at least.
+    """
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fragments = max(1, -(-total // HELD), min(width, total // LEAST_HELD))
-    found = _shared(segments(docs, n, fragments, text_col))
-    enough = F.col("shared") * least.denominator >= F.col("n") * least.numerator
-    whole = found.groupBy("k").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list(F.struct("fragment", "grams", "counts")).alias("parts"))
-    sets = whole.filter(enough)
+    parts = max(LEAST_PARTS, -(-total // HELD))
+    found = _shared(segments(docs, n, parts, text_col), parts, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            for r in batch.to_pylist():
-                s = rarest(r["n"], [(x["fragment"], x["grams"], x["counts"]) for x in r["parts"]], least)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), r["k"], np.int64))], ["s", "k"])
+        for _, held in _by(batches, "bucket"):
+            s, k = rarest(held, least)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(k)], ["s", "k"])
 
-    return sets.mapInArrow(run, "s long, k long")
+    return found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "s long, k long")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFrame:

@@ -316,7 +316,7 @@ def test_class_bigrams_sum_to_one_and_exchange_helps(docs):
 @pytest.mark.parametrize("n,least,block", [(3, Fraction(9, 10), 256), (3, Fraction(1, 2), 3), (5, Fraction(4, 5), 2), (1, Fraction(3, 5), 4)])
 def test_jaccard_join(spark, n, least, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "LEAST_HELD", 500)  # several fragments
+    monkeypatch.setattr(jaccard, "LEAST_PARTS", 5)  # several fragments
     random.seed(int(least * 100))
     rows = [(r[0], r[1]) for r in ROWS if r[0] is not None]
     for i in range(40):
@@ -346,9 +346,21 @@ def test_jaccard_join(spark, n, least, block, monkeypatch):
 def test_shared_grams_of_a_fragment():
     # key 7 comes twice, as from two tasks: its n-grams are no others' for that
     keys, sizes, grams = np.array([7, 3, 7, 9]), np.array([3, 2, 3, 2], np.uint32), np.array([1, 2, 5, 2, 4, 1, 2, 5, 2, 5], np.uint32)
-    got = [(k, m, np.frombuffer(g, np.uint32).tolist(), list(c)) for k, m, g, c in jaccard.shared_grams(keys, sizes, grams)]
-    assert got == [(3, 1, [2], [3]), (7, 2, [2, 5], [3, 2]), (9, 2, [2, 5], [3, 2])]
-    assert jaccard.shared_grams(keys[:1], sizes[:1], grams[:3]) == []
+    wholes = np.array([30, 20, 30, 90], np.uint32)
+    got = [x.tolist() for x in jaccard.shared_grams(keys, wholes, sizes, grams)]
+    assert got == [[3, 7, 9], [20, 30, 90], [1, 2, 2], [2, 2, 5, 2, 5], [3, 3, 2, 3, 2]]
+    assert [len(x) for x in jaccard.shared_grams(keys[:1], wholes[:1], sizes[:1], grams[:3])] == [0] * 5
+
+
+def test_rarest_of_a_bucket():
+    def pack(x, kind):
+        return np.array(x, kind).tobytes()
+
+    # set 5 (of 4) shares 3 n-grams, all needed but one; set 6 (of 9) shares too few
+    held = {"fragment": [0, 1], "ks": [pack([5, 6], np.int64), pack([5], np.int64)], "wholes": [pack([4, 9], np.uint32), pack([4], np.uint32)],
+            "sizes": [pack([2, 1], np.uint32), pack([1], np.uint32)], "grams": [pack([8, 9, 9], np.uint32), pack([8], np.uint32)], "counts": [pack([200, 3, 3], np.uint8), pack([2], np.uint8)]}
+    s, k = jaccard.rarest(held, Fraction(1, 2))
+    assert sorted(zip(s.tolist(), k.tolist())) == [(9, 5), (8 + 2**32, 5)]
 
 
 def test_license_scan(docs, none):
