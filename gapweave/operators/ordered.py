@@ -147,10 +147,8 @@ def kth_values(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, list[flo
     ``_ACCURACY`` per pass. What is left then is counted by value.
     """
     jobs = [_Rank(col, k) for col, ks in ranks.items() for k in ks]
-    for _ in range(12):
-        todo = [j for j in jobs if j.value is None]
-        if not todo:
-            break
+    # each pass settles a rank, shrinks its bracket or leaves it to be counted by value, so this ends
+    while todo := [j for j in jobs if j.value is None]:
         row = df.agg(
             *[F.count_if(j.inside()).alias(f"n{i}") for i, j in enumerate(todo)],
             *[F.count_if(j.below()).alias(f"b{i}") for i, j in enumerate(todo)],
@@ -166,6 +164,8 @@ def kth_values(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, list[flo
                 (few if j.n <= _FINAL_ROWS or j.stuck else many).append(j)
         if few:
             _count_by_value(df, few)
+            if any(j.value is None for j in few):
+                raise ArithmeticError("the table changed while its ranks were counted")
         if many:
             slack = 2.0 / _ACCURACY
             row = df.agg(

@@ -165,3 +165,11 @@ def test_experiment_with_text_features(full):
     assert got["forest+knn", "word"]["roc_auc"] > 0.7 and got["mean", "word"]["roc_auc"] == 0.5
     assert got["mean", "kind"]["roc_auc"] is None and got["mean", "a"]["roc_auc"] is None
     assert got["mean", "a"]["rmse"] < 0.5  # truth and fill are scaled alike
+
+
+def test_boosting_on_the_table_and_on_the_driver(gaps):
+    signed = gaps.withColumn("y", F.when(F.col("y") == 1, 1).otherwise(-1)).withColumn("y", F.when(F.col("row_id") % 9 == 0, -F.col("y")).otherwise(F.col("y")))
+    near, far = (models.StumpBoost(FEATS, "y", 3, bins=16, held=held).fit(signed) for held in (1 << 20, 0))
+    assert [(s.column, s.split, s.left, s.right) for s in near.models] == [(s.column, s.split, s.left, s.right) for s in far.models]
+    assert near.betas == pytest.approx(far.betas) and len(near.betas) == 3
+    assert models.StumpBoost(FEATS, "y", 2).fit(signed.limit(0)).models == []
