@@ -63,6 +63,12 @@ class Settings:
     bins: int = 32
     by_rank: bool = False
     loss: str = "logistic"  # or "squared"
+    bag: int | None = None  # a seed: each view learns from its own bootstrap of the distinct rows
+
+
+def forest(trees: int = 50, depth: int = 4, bins: int = 64, seed: int = 0) -> tuple[Settings, int]:
+    """Settings of a regression forest and its number of views: one bagged tree for each, all grown together."""
+    return Settings(rounds=1, depth=depth, rate=1.0, ridge=0.0, bins=bins, by_rank=True, loss="squared", bag=seed), trees
 
 
 @dataclass
@@ -89,6 +95,11 @@ class GapTrees:
                 out[:, view] += tree.value[view, tree.leaf(bins, view, self.settings.depth)]
         return out
 
+    def value(self, bins: np.ndarray) -> np.ndarray:
+        """One number per row: the mean of a forest's trees, else the first view."""
+        m = self.margins(bins)
+        return m.mean(axis=1) if self.settings.bag is not None else m[:, 0]
+
     def predict(self) -> Column:
         """Array with the prediction of each view, a probability for the logistic loss."""
 
@@ -148,6 +159,13 @@ class _Rows:
         raw = b"".join(batch.column("bins").to_pylist())
         self.bins = np.frombuffer(raw, np.uint8).reshape(batch.num_rows, width)
         self.n, self.total = batch.column("n").to_numpy(), batch.column("total").to_numpy()
+        self._bags: dict[int, np.ndarray] = {}
+
+    def _bag(self, view: int, seed: int) -> np.ndarray:
+        """How often each distinct row is drawn by a view: Poisson with mean n, a hash of (bins, view, seed) decides."""
+        if view not in self._bags:
+            self._bags[view] = poisson(draws(self.bins, view, seed), self.n)
+        return self._bags[view]
 
     def sums(self, model: GapTrees, margin: np.ndarray, tree: Tree, level: int) -> np.ndarray:
         """(view, leaf, column, bin, 3): rows, first and second derivatives; the last bin holds the gaps."""
@@ -157,7 +175,8 @@ class _Rows:
         for view, sees in enumerate(model.views):
             mean = _mean(margin[:, view], model.settings.loss)
             curve = mean * (1 - mean) if model.settings.loss == "logistic" else np.ones(len(mean))
-            weights = (self.n, self.n * mean - self.total, self.n * curve)
+            part = self._bag(view, model.settings.bag) / self.n if model.settings.bag is not None else 1.0
+            weights = (part * self.n, part * (self.n * mean - self.total), part * self.n * curve)
             leaf = tree.leaf(self.bins, view, level)
             for column in range(len(model.features)):
                 # a column that the view does not see is one gap
@@ -167,6 +186,38 @@ class _Rows:
         return out
 
 
+def draws(bins: np.ndarray, view: int, seed: int) -> np.ndarray:
+    """A number in (0, 1) for each row of bins, the same wherever it is made."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(bins), (view * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F + 1) % (1 << 64), np.uint64)
+        for k in range(bins.shape[1]):
+            h = (h ^ (bins[:, k].astype(np.uint64) + np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson counts by inversion of uniform numbers; a rounded normal from a mean of 50 on."""
+    from statistics import NormalDist
+
+    out, small = np.zeros(len(u)), mean < 50
+    m, left = mean[small], u[small].copy()
+    p, count, open_ = np.exp(-m), np.zeros(len(m)), np.ones(len(m), bool)
+    k = 0
+    while open_.any() and k < 400:
+        open_ &= left > p
+        count += open_
+        left -= np.where(open_, p, 0.0)
+        k += 1
+        p = p * m / k
+    out[small] = count
+    normal = NormalDist()
+    out[~small] = np.maximum(0.0, np.round([b + b**0.5 * normal.inv_cdf(a) for a, b in zip(u[~small], mean[~small], strict=True)]))
+    return out
+
+
 def best_split(sums: np.ndarray, settings: Settings) -> tuple[float, int, int, bool, np.ndarray, np.ndarray] | None:
     """(gain, column, last bin on the left, gaps left, sums left, sums right) for one leaf's (column, bin, 3).
 
@@ -182,7 +233,8 @@ def best_split(sums: np.ndarray, settings: Settings) -> tuple[float, int, int, b
     def score(x: np.ndarray) -> np.ndarray:
         return x[..., 1] ** 2 / (x[..., 2] + settings.ridge)
 
-    gain = np.round(score(left) + score(right) - score(whole)[:, :, None], 9)
+    with np.errstate(divide="ignore", invalid="ignore"):  # empty sides, which are left out below
+        gain = np.round(score(left) + score(right) - score(whole)[:, :, None], 9)
     enough = (left[..., 0] >= settings.least_rows) & (right[..., 0] >= settings.least_rows)
     gain = np.where(enough, gain, -np.inf)
     best = int(np.argmax(gain))

@@ -362,7 +362,7 @@ class TreeChain:
             hit = gaps[:, j]
             if hit.any():
                 others = [i for i in range(len(self.features)) if i != j]
-                x[hit, j] = model.margins(model.bins(x[hit][:, others]))[:, 0]
+                x[hit, j] = model.value(model.bins(x[hit][:, others]))
         return x
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ class TreeChain:
 
 
 class IterativeTreesImputer:
-    """Round-robin regression by boosted trees (:mod:`gapweave.operators.gaptrees`), columns with few gaps first.
+    """Round-robin regression by boosted trees, or a ``forest`` (:mod:`gapweave.operators.gaptrees`), columns with few gaps first.
 
     A column's model is fitted on the rows that have it, the others filled by the models so far. Those are replayed on
     the rows as they are read, so the table is never written; a fit is one scan that reduces the rows to distinct bins.
@@ -389,9 +389,11 @@ class IterativeTreesImputer:
     value stays as it is and takes no part; NaN is a gap.
     """
 
-    def __init__(self, features: list[str], depth: int = 4, trees: int = 50, rounds: int = 10, tolerance: float = 1e-3, bins: int = 64):
+    def __init__(self, features: list[str], depth: int = 4, trees: int = 50, rounds: int = 10, tolerance: float = 1e-3, bins: int = 64, forest: bool = False, seed: int = 0):
         self.features, self.rounds, self.tolerance = features, rounds, tolerance
-        self.settings = gaptrees.Settings(rounds=trees, depth=depth, loss="squared", bins=bins, by_rank=True)
+        self.settings, self.views = gaptrees.Settings(rounds=trees, depth=depth, loss="squared", bins=bins, by_rank=True), 1
+        if forest:
+            self.settings, self.views = gaptrees.forest(trees, depth, bins, seed)
 
     def fit(self, df: DataFrame) -> TreeChain:
         row = df.agg(
@@ -414,7 +416,7 @@ class IterativeTreesImputer:
                 others = [x for x in feats if x != feats[j]]
                 seen = chain.transform(source.filter(known(feats[j]).isNotNull()))
                 known_edges = [edges[feats.index(x)] for x in others]
-                chain.steps.append((j, gaptrees.fit(seen, others, feats[j], [others], self.settings, edges=known_edges, most_rows=row["rows"])))
+                chain.steps.append((j, gaptrees.fit(seen, others, feats[j], [others] * self.views, self.settings, edges=known_edges, most_rows=row["rows"])))
             if chain.rounds > 1 and self._largest_move(source, chain, before) < limit:
                 break
         return chain

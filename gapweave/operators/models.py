@@ -91,7 +91,7 @@ def classifier_pool(
     models: dict[str, Factory] = {"forest": lambda: RandomForestClassifier(maxDepth=depth, numTrees=trees, seed=seed)}
     if large:
         imputers["iter_ridge"] = lambda: impute.IterativeRidgeImputer(features, rounds)
-        imputers["iter_forest"] = lambda: impute.IterativeModelImputer(features, impute.forest(depth, trees, seed), rounds)
+        imputers["iter_forest"] = lambda: impute.IterativeTreesImputer(features, depth, trees, rounds, forest=True, seed=seed)
         models["boosted"] = lambda: GBTClassifier(maxDepth=depth, maxIter=trees, seed=seed)
     return cross(models, imputers, features, target, id_col)
 
@@ -103,7 +103,7 @@ def regressor_pool(
     imputers = {
         "iter_ridge": lambda: impute.IterativeRidgeImputer(features, rounds),
         "iter_boosted": lambda: impute.IterativeTreesImputer(features, depth, trees, rounds),
-        "iter_forest": lambda: impute.IterativeModelImputer(features, impute.forest(depth, trees, seed), rounds),
+        "iter_forest": lambda: impute.IterativeTreesImputer(features, depth, trees, rounds, forest=True, seed=seed),
         "knn": lambda: impute.KnnImputer(features, id_col),
     }
     models: dict[str, Factory] = {

@@ -68,7 +68,7 @@ def _(spark, sf):
 @query("impute_iter_rf")
 def _(spark, sf):
     p = _parts(spark, sf)
-    model = impute.IterativeModelImputer(FEATURES, impute.forest(4, TREES), rounds=1).fit(p["train"])
+    model = impute.IterativeTreesImputer(FEATURES, depth=4, trees=TREES, rounds=10, forest=True).fit(p["train"])
     return rounded(model.transform(p["test"]).select("row_id", *FEATURES), FEATURES)
 
 

@@ -29,9 +29,10 @@ def filled(model, df):
     return np.array([list(r)[1:] for r in sorted(model.transform(df).collect())])
 
 
-def test_fills_gaps_only_and_well(df, data):
+@pytest.mark.parametrize("forest", [False, True])
+def test_fills_gaps_only_and_well(df, data, forest):
     x, whole = data
-    model = impute.IterativeTreesImputer(NAMES, depth=3, trees=30, rounds=3).fit(df)
+    model = impute.IterativeTreesImputer(NAMES, depth=3 + forest, trees=30, rounds=3, forest=forest).fit(df)
     out, gaps = filled(model, df), np.isnan(x)
     assert (out[~gaps] == x[~gaps]).all() and not np.isnan(out).any()
     mean = np.where(gaps, np.nanmean(x, axis=0), x)
@@ -59,10 +60,11 @@ def test_nothing_is_written(df, monkeypatch):
     assert writes == []
 
 
-def test_table_and_driver_agree(df, monkeypatch):
-    near = impute.IterativeTreesImputer(["a", "b"], depth=2, trees=3, rounds=1).fit(df)
+@pytest.mark.parametrize("forest", [False, True])
+def test_table_and_driver_agree(df, monkeypatch, forest):
+    near = impute.IterativeTreesImputer(["a", "b"], depth=2, trees=3, rounds=1, forest=forest).fit(df)
     monkeypatch.setattr(gaptrees.fit, "__defaults__", (None, 0, None, None))
-    far = impute.IterativeTreesImputer(["a", "b"], depth=2, trees=3, rounds=1).fit(df)
+    far = impute.IterativeTreesImputer(["a", "b"], depth=2, trees=3, rounds=1, forest=forest).fit(df)
     got = [np.array([[r["a"], r["b"]] for r in m.transform(df).orderBy("row_id").collect()]) for m in (near, far)]
     np.testing.assert_allclose(*got, atol=1e-9)
 
@@ -74,3 +76,19 @@ def test_edges(df):
     assert tuple(row) == (500, 0, 500)
     assert impute.IterativeTreesImputer(NAMES).fit(df.limit(0)).steps == []
     assert impute.IterativeTreesImputer(["a"], rounds=1).fit(df).transform(df).filter("a IS NULL").count() == 0
+
+
+def test_bootstrap_counts():
+    bins = np.random.default_rng(0).integers(0, 200, (40_000, 2)).astype(np.uint8)
+    u = gaptrees.draws(bins, 3, 1)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(u.var() - 1 / 12) < 0.003
+    assert abs(np.corrcoef(u, gaptrees.draws(bins, 4, 1))[0, 1]) < 0.02
+    for mean in (1.0, 7.0, 49.0, 400.0):
+        k = gaptrees.poisson(u, np.full(len(u), mean))
+        assert abs(k.mean() - mean) < 0.03 * mean and abs(k.var() - mean) < 0.08 * mean and (k == np.round(k)).all()
+
+
+def test_trees_of_a_forest_differ(df):
+    settings, views = gaptrees.forest(8, 3)
+    model = gaptrees.fit(df, ["a", "b"], "c", [["a", "b"]] * views, settings)
+    assert len(model.trees) == 1 and len({model.trees[0].value[v].tobytes() for v in range(views)}) == views
