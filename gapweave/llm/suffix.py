@@ -267,6 +267,21 @@ def cut(raw: bytes, windows: list[tuple[int, int]], length: int) -> tuple[list[t
     return spans, b"".join([*kept, raw[at:]])
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, r, parts): ranges that meet or overlap become one."""
+    for batch in slices(batches, 4096):
+        out = []
+        for parts in batch.column("parts").to_pylist():
+            runs: list[dict] = []
+            for x in sorted(parts, key=lambda p: p["a"]):
+                if runs and x["a"] <= runs[-1]["b"]:
+                    runs[-1]["b"] = max(runs[-1]["b"], x["b"])
+                else:
+                    runs.append(x)
+            out.append(runs)
+        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("r"), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["h", "r", "parts"])
+
+
 def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY, hot: int = HOT) -> DataFrame:
     """``docs`` with raw (the text as UTF-8), spans (start, end of each removed run, in bytes) and kept (the rest).
 
@@ -334,12 +349,17 @@ def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
         single = raws.filter("hot").dropDuplicates(["h", "r"]).mapInArrow(windows, "one long, two long, h long, r long, a int")
         twice = single.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two")
         partly = partly.union(single.join(twice, ["one", "two"]).select("h", "r", "a", (F.col("a") + 1).cast("int").alias("b")))
-    partly = spill(partly)
 
-    whole = around.filter("n > 1").select("h", "r", F.lit(0).alias("a"), F.col("windows").cast("int").alias("b"))
-    some = mixed.join(partly.union(whole), ["h", "r"]).select("text_key", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
-    every = repeated.filter("not mixed").select("text_key", F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))
-    found = every.union(some).groupBy("text_key").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
+    # One row for each distinct surrounding: all its windows where it occurs more than once, else the runs found.
+    listed = partly.groupBy("h", "r").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+    listed = listed.mapInArrow(_merge, "h long, r long, parts array<struct<a:int,b:int>>")
+    all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
+    runs = around.select("h", "r", "n", "windows").join(listed, ["h", "r"], "left")
+    runs = spill(runs.select("h", "r", F.when(F.col("n") > 1, all_of).otherwise(F.col("parts")).alias("parts")).filter("parts is not null"))
+    shifted = F.transform("parts", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"]).alias("b")))
+    some = mixed.join(runs, ["h", "r"]).select("text_key", shifted.alias("parts"))
+    every = repeated.filter("not mixed").select("text_key", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))).alias("parts"))
+    found = every.union(some).groupBy("text_key").agg(F.flatten(F.collect_set("parts")).alias("windows"))
     full = keyed.join(found, "text_key", "left").drop("text_key")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
