@@ -7,12 +7,13 @@ rows not met, the threshold. The search ends when the threshold is strictly belo
 score of its k-th row, or its lower edge while it has fewer. An equal score is never cut off, as ties are settled by id.
 
 A first round finds each anchor's positives in the shards that hold its label. Their scores give the windows. A second
-round visits a few shards; the k-th scores it finds raise the lower edges for the last round, in which blocks of
+round visits about the root of the number of shards; the k-th scores it finds raise the lower edges for the last round, in which blocks of
 anchors meet all other shards. A shard is shuffled once a round, and blocks of anchors, a small part of the rows, come to it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,6 @@ from gapweave.llm.topk import usable
 SHARD = 4096
 BLOCK = 256
 FIRST_STEP = 32
-#: Shards that a block visits to raise the edges of its windows.
-SCOUTS = 2
 #: Whole numbers below this are exact as doubles; beyond, Python's integers are used.
 EXACT = 2.0**53
 
@@ -228,6 +227,10 @@ def mine(
     shards = _bundles(plain, shard, many, scale)
     blocks = _bundles(plain.filter("asks"), block, max(1, -(-asking // (4 * block))), scale).withColumnRenamed("no", "block")
 
+    number = shards.count()
+    # of S shards, R first ones leave about k / R of a window's k best to beat in each of the rest: least for R near the root
+    scouts = max(2, math.isqrt(number))
+
     by_label = shards.select(F.col("no").alias("shard"), "dim", F.explode("held").alias("label"))
     same = spill(by_label.join(blocks.select("block", "dim", F.explode("held").alias("label")), ["dim", "label"]).select("shard", "block").distinct())
     nothing = blocks.withColumn("wants", F.lit(None))
@@ -239,7 +242,7 @@ def mine(
         return blocks.join(each.groupBy("block").agg(F.collect_list(F.struct("at", "w", "p", "edge")).alias("wants")), "block")
 
     pairs = shards.select(F.col("no").alias("shard"), "dim").join(blocks.select("block", "dim"), "dim")
-    scout = F.pmod(F.xxhash64("shard", "block"), F.lit(many)) < SCOUTS
+    scout = F.pmod(F.xxhash64("shard", "block"), F.lit(max(1, number))) < scouts
     early = spill(_visit(shards, with_windows(None), pairs.filter(scout).select("shard", "block"), False, k, low, high, parts))
     edges = _ranked(early, k).filter(F.col("rank") == k).select("block", "at", "w", F.col("score").alias("edge"))
     late = _visit(shards, with_windows(edges), pairs.filter(~scout).select("shard", "block"), False, k, low, high, parts)
