@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from gapweave.llm.common import ASCII_LOWER, slices, spill
 from gapweave.llm.hashing import BYTE, mix, powers
+from gapweave.session import shuffle_width
 
 #: Symbols of the reduced alphabet.
 SYMBOLS = 8
@@ -96,16 +97,32 @@ def key(reduced: np.ndarray) -> int:
     return int(_hash((BYTE[reduced] * powers(len(reduced))).sum(keepdims=True), len(reduced)).view(np.int64)[0])
 
 
-def below(reduced: np.ndarray) -> np.ndarray:
-    """Keys of a reduced word, of its deletions, and of what one smaller symbol makes of it; each once."""
-    n, p = len(reduced), powers(len(reduced) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[reduced] * p[:n])))
-    shorter = sums[:n] + (sums[n] - sums[1:]) * _BACK
-    out = [_hash(sums[n:], n), _hash(shorter, n - 1)]
-    for s in range(int(reduced.max(initial=0))):
-        at = np.flatnonzero(reduced > s)
-        out.append(_hash(sums[n] + (BYTE[s] - BYTE[reduced[at]]) * p[at], n))
-    return np.unique(np.concatenate(out)).view(np.int64)
+def below(words: list[np.ndarray], symbols: int = SYMBOLS, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key): keys of each reduced word, of its deletions, and of what one smaller symbol makes of it; each once.
+
+    Words of one length are worked on together, about ``cells`` letters at a time.
+    """
+    lengths = np.array([len(w) for w in words])
+    owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in np.unique(lengths).tolist():
+        alike, step = np.flatnonzero(lengths == n), max(1, cells // max(n, 1))
+        p = powers(n + 1)
+        for at in range(0, len(alike), step):
+            mine = alike[at : at + step]
+            x = np.stack([words[k] for k in mine])
+            sums = np.zeros((len(mine), n + 1), np.uint64)
+            np.cumsum(BYTE[x] * p[:n], axis=1, out=sums[:, 1:])
+            owners.append(mine)
+            keys.append(_hash(sums[:, n], n))
+            shorter = sums[:, :n] + (sums[:, n:] - sums[:, 1:]) * _BACK
+            row, place = np.nonzero(np.concatenate((np.ones((len(mine), 1), bool), x[:, 1:] != x[:, :-1]), axis=1)[:, :n])
+            owners.append(mine[row])  # of equal letters in a row, the first is deleted
+            keys.append(_hash(shorter[row, place], n - 1))
+            for s in range(symbols - 1):
+                row, place = np.nonzero(x > s)
+                owners.append(mine[row])
+                keys.append(_hash(sums[row, n] + (BYTE[s] - BYTE[x[row, place]]) * p[place], n))
+    return np.concatenate(owners), np.concatenate(keys).view(np.int64)
 
 
 def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
@@ -122,12 +139,12 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            for own, reduced in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = below(np.frombuffer(reduced, np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), own)), pa.array(held)], ["x", "y"])
+            place, held = below([np.frombuffer(r, np.uint8) for r in batch.column(1).to_pylist()], symbols)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(held)], ["x", "y"])
 
     table = spill(words.select("word", "n").mapInArrow(keyed, "word string, n long, k long, reduced binary"))
-    reduced = table.groupBy("reduced").agg(F.min("k").alias("k")).select("k", "reduced")
+    # words are few bytes and their neighbourhoods much work: spread by number, not by size
+    reduced = table.groupBy("reduced").agg(F.min("k").alias("k")).select("k", "reduced").repartition(shuffle_width(words.sparkSession))
     known = table.select(F.col("k").alias("y")).distinct()
     pairs = spill(reduced.mapInArrow(neighbours, "x long, y long").join(known, "y").select("x", "y").distinct())
     a = table.select(F.col("k").alias("x"), F.col("word").alias("a"), F.col("n").alias("a_n"))

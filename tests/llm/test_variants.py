@@ -67,14 +67,16 @@ def test_edges(spark):
     assert got == {30_000: (2, 40), 30_001: (1, 9)}
 
 
-def test_below_holds_each_neighbour_once():
-    for w in ("aaaaa", "hello", "zéro"):
-        r = variants.reduce(w, 4)
+@pytest.mark.parametrize("cells", [1 << 18, 6])
+def test_below_holds_each_neighbour_once(cells):
+    words = [variants.reduce(w, 4) for w in ("aaaaa", "hello", "zéro", "z", "noon", "héllo", "")]
+    place, keys = variants.below(words, 4, cells)
+    for at, r in enumerate(words):
         want = {tuple(r)} | {tuple(np.delete(r, k)) for k in range(len(r))}
         want |= {(*r[:k], s, *r[k + 1 :]) for k in range(len(r)) for s in range(r[k])}
-        keys = variants.below(r)
-        assert len(set(keys.tolist())) == len(keys)
-        assert set(keys.tolist()) == {variants.key(np.array(x, np.uint8)) for x in want}
+        mine = keys[place == at].tolist()
+        assert len(set(mine)) == len(mine)
+        assert set(mine) == {variants.key(np.array(x, np.uint8)) for x in want}
 
 
 TEXTS = [None, "", "Größe größe GRÖßE", "Colour colour color COLOR color. colours", "x" * 40 + " ÉTÉÉÉ étééé étÉÉÉ", "a×b÷cdefg hijkl_mnopq rst1uvwxy"] + [
