@@ -164,3 +164,58 @@ def test_gap_cells_rule_out_most_copies(spark):
     home, visits = knn._assign_gap_cells(q, v, shape, 150)
     cells = home.select("_cell").distinct().count()
     assert visits.count() < 0.35 * 100 * cells
+
+
+def _planes(rng, n):
+    """Rows on planes, as constants in place of gaps make them, with copies and steps in one column."""
+    x = rng.random((n, 3))
+    x[:, 1] = np.round(x[:, 1], 1)
+    x = np.where(rng.random(x.shape) < 0.3, 0.5, x)
+    return np.concatenate((x, x[: n // 4]))
+
+
+def _held(x, k, nan_aware=False):
+    import pandas as pd
+
+    shape = knn._Shape(x.shape[1], 0, [], k, nan_aware)
+    return knn._Reference(pd.DataFrame(x, columns=shape.xs).assign(_v=np.arange(len(x))), shape)
+
+
+def test_boxes_look_at_few_points():
+    rng = np.random.default_rng(5)
+    for n, most in ((4_000, 0.06), (16_000, 0.02)):
+        x, q = _planes(rng, n), _planes(rng, 160)
+        ref = _held(x, 7)
+        got, want = ref.nearest(q), knn._best(knn._squares(q, x, False), 7)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+        boxes = ref.made["all"][1]
+        limit = boxes._bound(q, 1.0)
+        assert np.isfinite(limit).all()
+        assert sum(len(pairs[0]) for _, pairs in boxes._within(q, limit)) < most * len(q) * len(x)
+
+
+@pytest.mark.parametrize("width,k", [(2, 1), (3, 40), (12, 5), (30, 700)])
+def test_search_in_a_task(width, k):
+    rng = np.random.default_rng(width)
+    x, q = (np.round(rng.normal(size=(n, width)), 1) for n in (600, 90))
+    x[300:] = x[:300]
+    got, want = _held(x, k).nearest(np.concatenate((q, x[:20]))), knn._best(knn._squares(np.concatenate((q, x[:20])), x, False), k)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    if width <= 3:
+        x, q = (np.where(rng.random(a.shape) < 0.3, np.nan, a) for a in (x, q))
+        got, want = _held(x, k, True).nearest_shared(q), knn._best(knn._squares(q, x, True), k)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_rows_without_a_number_are_no_neighbours():
+    x = np.array([[0.0, np.nan], [1.0, 1.0], [np.inf, 1.0], [2.0, 2.0]])
+    rows, pos, _ = _held(x, 2).nearest(np.array([[0.0, 0.0], [np.nan, 0.0]]))
+    assert rows.tolist() == [0, 0] and pos.tolist() == [1, 3]
+
+
+def test_many_patterns_use_the_gap_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MAX_PATTERNS", 2)
+    rng = random.Random(9)
+    q, v = ([(i, *[None if rng.random() < 0.35 else rng.random() for _ in range(3)]) for i in range(n)] for n in (40, 150))
+    got = knn.knn_join(table(spark, q), table(spark, v), ["a", "b", "c"], 4, nan_aware=True, max_cells=0, pivots=5)
+    close(collect(got), brute(q, v, 4, True))
