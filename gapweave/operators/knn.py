@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -61,6 +61,10 @@ QUERIES_AT_ONCE = 512
 BOX_PAIRS = 500_000  # queries x boxes or points looked at together
 MAX_PATTERNS = 16  # patterns of gaps of either side that are searched view by view
 MAX_VIEWS = 64
+WIDE_PARTS = 8  # cells of rows of many coordinates, at least
+TILE = (512, 4096)  # queries x rows of one matrix product
+MANY = 32  # pairs for each wanted one that a tile may leave to be compared
+LARGE = 1e15  # from here on squares may leave single precision
 
 
 def knn_join(
@@ -110,6 +114,7 @@ class _Shape:
     carry: list[str]
     k: int
     nan_aware: bool
+    chunk: int = 0  # 0: CHUNK_ROWS
 
     @property
     def xs(self) -> list[str]:
@@ -343,29 +348,72 @@ class _Boxes:
         yield from self._within(x[half:], limit[half:], at + half)
 
 
-def _by_products(x: np.ndarray, v: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best by matrix products, whose rounding the limit allows for; the pairs left are compared exactly."""
-    own, twice = (v * v).sum(axis=1), -2.0 * v.T
+def _by_products(x: np.ndarray, v: np.ndarray, k: int, factor: float, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best by matrix products, whose rounding the limit allows for; the pairs left are compared exactly.
+
+    Tile after tile, what may be nearer than the k-th so far is kept; ``far`` are distances beyond which nothing is wanted.
+    Products are of single precision; where that leaves too many pairs of a tile, it is done again in double.
+    """
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if not len(v) or not len(x):
+        return none
+    if max(np.abs(x).max(), np.abs(v).max()) >= LARGE:
+        return _plainly(x, v, k, factor)
+    limits = np.full(len(x), np.inf) if far is None else _loose(far) ** 2 / factor * (1 + 1e-12)
+    centre = v.mean(axis=0)
+    sides = {}
+
+    def side(kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        if kind not in sides:
+            a, b = x - centre, v - centre
+            mine, own = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            slack = 4 * (x.shape[1] + 8) * float(np.finfo(kind).eps) * (mine + own.max())
+            # squares less those of the query in one product
+            sides[kind] = (np.column_stack((a, np.ones(len(a)))).astype(kind), np.vstack((-2.0 * b.T, own)).astype(kind), mine, slack)
+        return sides[kind]
+
+    found = [none]
+    for s in range(0, len(x), TILE[0]):
+        part = x[s : s + TILE[0]]
+        most, best = limits[s : s + TILE[0]], none
+        for t in range(0, len(v), TILE[1]):
+            for kind in (np.float32, np.float64):
+                a, b, mine, slack = side(kind)
+                mine, slack = mine[s : s + TILE[0]], slack[s : s + TILE[0]]
+                near = a[s : s + TILE[0]] @ b[:, t : t + TILE[1]]
+                open_ = np.flatnonzero(np.isinf(most))
+                if near.shape[1] > k and (len(open_) or kind is np.float64):
+                    open_ = open_ if kind is np.float32 else np.arange(len(part))
+                    kth = np.partition(near[open_], k - 1, axis=1)[:, k - 1] + mine[open_]
+                    most = most.copy()
+                    most[open_] = np.minimum(most[open_], _limit(np.maximum(kth, 0.0) + slack[open_], factor))
+                up_to = np.nextafter((most + slack - mine).astype(kind), kind(np.inf))
+                rows, pos = np.nonzero(near <= up_to[:, None])
+                if len(rows) <= MANY * k * len(part):
+                    break
+            if not len(rows):
+                continue
+            square = np.zeros(len(rows))
+            for j in range(x.shape[1]):
+                d = part[rows, j] - v[pos + t, j]
+                square += d * d
+            dist = np.round(np.sqrt(square * factor), DIGITS)
+            best = _first(*(np.concatenate(c) for c in zip(best, (rows, pos + t, dist), strict=True)), k)
+            first = np.searchsorted(best[0], np.arange(len(part) + 1))
+            full = np.flatnonzero(np.diff(first) >= k)
+            most = most.copy()
+            most[full] = np.minimum(most[full], _loose(best[2][first[full] + k - 1]) ** 2 / factor * (1 + 1e-12))
+        found.append((best[0] + s, best[1], best[2]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _plainly(x: np.ndarray, v: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best from plain differences, for numbers whose products may overflow."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    step = max(1, PAIR_BLOCK // max(len(v), 1))
-    for s in range(0, len(x) if len(v) else 0, step):
-        part = x[s : s + step]
-        mine = (part * part).sum(axis=1)
-        near = part @ twice
-        near += own[None, :]  # squares less those of the query
-        slack = 1e-14 * (len(v[0]) + 4) * (mine + own.max())
-        if len(v) > k:
-            kth = np.partition(near, k - 1, axis=1)[:, k - 1] + mine
-            limit = _limit(np.maximum(kth, 0.0) + slack, factor)
-            rows, pos = np.nonzero(near <= (limit + slack - mine)[:, None])
-        else:
-            rows, pos = (a.ravel() for a in np.indices(near.shape))
-        square = np.zeros(len(rows))
-        for j in range(x.shape[1]):
-            d = part[rows, j] - v[pos, j]
-            square += d * d
-        fine = np.isfinite(square)
-        rows, pos, dist = _nearest_of(rows[fine], pos[fine], square[fine], k, factor)
+    step = max(1, PAIR_BLOCK // len(v))
+    for s in range(0, len(x), step):
+        with np.errstate(over="ignore"):
+            rows, pos, dist = _best(_squares(x[s : s + step], v, False) * factor, k)
         found.append((rows + s, pos, dist))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
@@ -387,16 +435,17 @@ class _Reference:
             self.made[key] = (at, _Boxes(x, self.k) if len(coordinates) <= WIDE else x)
         return self.made[key]
 
-    def _look(self, x: np.ndarray, key, chosen, coordinates: list[int], factor: float):
+    def _look(self, x: np.ndarray, key, chosen, coordinates: list[int], factor: float, far: np.ndarray | None = None):
         at, searcher = self._only(key, chosen, coordinates)
         x = x[:, coordinates]
-        rows, pos, dist = searcher.search(x, factor) if isinstance(searcher, _Boxes) else _by_products(x, searcher, self.k, factor)
+        rows, pos, dist = searcher.search(x, factor) if isinstance(searcher, _Boxes) else _by_products(x, searcher, self.k, factor, far)
         return rows, at[pos], dist
 
-    def nearest(self, x: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, position, rounded distance) of the k best; rows with a number that is not finite have and are no neighbours."""
+    def nearest(self, x: np.ndarray, factor: float = 1.0, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, position, rounded distance) of the k best; rows with a number that is not finite have and are no neighbours.
+        What is beyond ``far`` may be left out."""
         fine = np.flatnonzero(np.isfinite(x).all(axis=1))
-        rows, pos, dist = self._look(x[fine], "all", lambda: np.isfinite(self.x).all(axis=1), list(range(x.shape[1])), factor)
+        rows, pos, dist = self._look(x[fine], "all", lambda: np.isfinite(self.x).all(axis=1), list(range(x.shape[1])), factor, None if far is None else far[fine])
         return fine[rows], pos, dist
 
     def nearest_shared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,7 +480,7 @@ class _Reference:
 def _search(pdf: pd.DataFrame, ref: _Reference, shape: _Shape, factor: float | None = None, along: tuple[str, ...] = ()) -> pd.DataFrame:
     """The k best of ``ref`` for every row of ``pdf``; ``factor``: both are in one view of rows with gaps."""
     x = pdf[shape.xs].to_numpy(dtype=float)
-    rows, pos, dist = ref.nearest_shared(x) if shape.nan_aware and factor is None else ref.nearest(x, factor or 1.0)
+    rows, pos, dist = ref.nearest_shared(x) if shape.nan_aware and factor is None else ref.nearest(x, factor or 1.0, pdf["_limit"].to_numpy(dtype=float) if "_limit" in along else None)
     base = pdf.iloc[rows]
     out = {"_q": base["_q"].to_numpy()}
     out |= {name: base[name].to_numpy() for name in (*shape.carry, *along)}
@@ -469,6 +518,9 @@ def _drop_surplus_copies(v: DataFrame, shape: _Shape) -> DataFrame:
 
 def _chunked_form(q: DataFrame, v: DataFrame, shape: _Shape, pivots: int | None, n: int) -> DataFrame:
     views = None
+    if shape.width > WIDE:
+        # cells of many coordinates rule out little, so they are as large as a task may hold: each query is sent to fewer
+        shape = replace(shape, chunk=max(1_000, min(BROADCAST_CELLS // shape.width, n // WIDE_PARTS)))
     if shape.nan_aware:
         q, v = cut(q), cut(v)
         views = _gap_views(q, v, shape)
@@ -543,12 +595,13 @@ def _meet(home: DataFrame, visits: DataFrame, shape: _Shape, out: str, factors:
     """The k best of each visit. With ``factors`` a visit of the ``_own`` cell takes the query's own chunk of it;
     with ``_limit`` all other chunks, and what is beyond the limit stays out."""
     again = "_limit" in visits.columns
+    chunk_rows = shape.chunk or CHUNK_ROWS
     sizes = home.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nv"))
     loads = visits.groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
     plan = sizes.join(loads, "_cell").select(
         "_cell",
-        F.ceil(F.col("_nv") / CHUNK_ROWS).cast("int").alias("_cv"),
-        F.ceil(F.col("_nq") / CHUNK_ROWS).cast("int").alias("_cq"),
+        F.ceil(F.col("_nv") / chunk_rows).cast("int").alias("_cv"),
+        F.ceil(F.col("_nq") / chunk_rows).cast("int").alias("_cq"),
     )
     plan = F.broadcast(plan)  # at most one row per pivot
     own = F.pmod(F.xxhash64("_q"), F.col("_cv").cast("long"))
@@ -673,7 +726,7 @@ def _pivots(v: DataFrame, shape: _Shape, pivots: int | None, views: int) -> list
 
     def wanted(n: int) -> int:
         if shape.width > WIDE:
-            return min(MAX_PIVOTS, pivots or max(16, math.isqrt(n)))
+            return min(MAX_PIVOTS, pivots or -(-n // shape.chunk))
         return min(MAX_PIVOTS, max(-(-(pivots or 16) // views), -(-n // CELL_ROWS)))
 
     share = [(wanted(n) + 4 * math.sqrt(wanted(n)) + 8) / n if (n := counts.get(g, 0)) else 0.0 for g in range(views)]
@@ -758,4 +811,4 @@ def _further(first: DataFrame, best: DataFrame, shape: _Shape, index: _Cells, fa
     same = F.col("_q").eqNullSafe(F.col("_bq")) & (F.col("_g") == F.col("_bg"))
     bounded = first.drop("_cell").join(best.select(F.col("_q").alias("_bq"), F.col("_g").alias("_bg"), "_limit"), same, "left").drop("_bq", "_bg")
     visits = bounded.withColumn("_cells", visit("_g", "_limit", *shape.xs)).withColumn("_limit", F.coalesce("_limit", F.lit(float("inf"))))
-    return cut(visits.withColumn("_cell", F.explode("_cells")).drop("_cells"))
+    return cut(visits).withColumn("_cell", F.explode("_cells")).drop("_cells")

@@ -219,3 +219,30 @@ def test_many_patterns_use_the_gap_cells(spark, monkeypatch):
     q, v = ([(i, *[None if rng.random() < 0.35 else rng.random() for _ in range(3)]) for i in range(n)] for n in (40, 150))
     got = knn.knn_join(table(spark, q), table(spark, v), ["a", "b", "c"], 4, nan_aware=True, max_cells=0, pivots=5)
     close(collect(got), brute(q, v, 4, True))
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7, 1e200])
+def test_products_tile_by_tile(monkeypatch, offset):
+    monkeypatch.setattr(knn, "TILE", (7, 16))
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 3, (90, 10)) + offset  # many equal distances
+    x = np.concatenate((rng.integers(0, 3, (20, 10)) + offset, v[:5]))
+    rows, pos, dist = knn._best(knn._squares(x, v, False), 4)
+    found = knn._by_products(x, v, 4, 1.0)
+    assert all((a == b).all() for a, b in zip(found, (rows, pos, dist), strict=True))
+    far = dist.reshape(25, 4)[:, 2]
+    got = set(zip(*(a.tolist() for a in knn._by_products(x, v, 4, 1.0, far)), strict=True))
+    near = dist <= far[rows]
+    assert got >= set(zip(rows[near].tolist(), pos[near].tolist(), dist[near].tolist(), strict=True))
+
+
+def test_wide_queries_are_sent_to_few_cells(spark, monkeypatch):
+    sent, further = [], knn._further
+    monkeypatch.setattr(knn, "_further", lambda *a: sent.append(further(*a)) or sent[-1])
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 10))
+    names = [f"x{i}" for i in range(10)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, " + ", ".join(f"{n} double" for n in names))
+    got = collect(knn.knn_join(df.limit(40), df, names, 3, max_cells=0))
+    close(got, brute([(i, *x[i]) for i in got], [(i, *r) for i, r in enumerate(x)], 3))
+    assert len(got) == 40 and sent[0].count() <= 40 * 8  # 54 cells before
