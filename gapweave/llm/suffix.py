@@ -78,6 +78,15 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, places, how many of them each row has): anchors of one text that differ only in their first window are one row."""
+    order = np.lexsort(rows.T[[2, 4, 3, 1, 0]])
+    rows = rows[order]
+    rest = rows[:, [0, 1, 3, 4]]
+    new = np.flatnonzero(np.concatenate((np.ones(min(len(rows), 1), bool), (rest[1:] != rest[:-1]).any(axis=1))))
+    return rows[new], rows[:, 2].astype(np.int64), np.diff(np.append(new, len(rows)))
+
+
 class BucketQueue:
     """Monotone priority queue on disk: tuples pushed in rank order leave ordered by byte, then by rank.
 
@@ -297,19 +306,22 @@ def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [anchors(np.frombuffer(_raw(t), np.uint8), length) for t in batch.column(1).to_pylist()]
-            rows = np.concatenate(found)
-            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            plain = [pa.array(rows[:, 0].view(np.int64)), pa.array(rows[:, 1].view(np.int64)), keys, *(pa.array(rows[:, k].astype(np.int64)) for k in (2, 3, 4))]
-            yield pa.RecordBatch.from_arrays(plain, ["h", "r", "text_key", "first", "windows", "off"])
-
-    sampled = texts.mapInArrow(sample, "h long, r long, text_key binary, first long, windows long, off long")
-    seen = sampled.groupBy("h").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"))
+            found = [alike(anchors(np.frombuffer(_raw(t), np.uint8), length)) for t in batch.column(1).to_pylist()]
+            rows = np.concatenate([x for x, _, _ in found])
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found])))
+            ends = np.cumsum(np.concatenate([[0], *(n for _, _, n in found)])).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x, _ in found])))
+            plain = [*(pa.array(rows[:, k].view(np.int64)) for k in (0, 1)), keys, places, *(pa.array(rows[:, k].astype(np.int64)) for k in (3, 4))]
+            yield pa.RecordBatch.from_arrays(plain, ["h", "r", "text_key", "places", "windows", "off"])
+
+    sampled = texts.mapInArrow(sample, "h long, r long, text_key binary, places array<long>, windows long, off long")
+    times = F.sum(F.size("places")).alias("n")
+    seen = sampled.groupBy("h").agg(times, F.min("r").alias("low"), F.max("r").alias("high"))
     seen = seen.filter("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"))
     repeated = spill(sampled.join(seen, "h"))
 
     mixed = repeated.filter("mixed")
-    around = mixed.groupBy("h", "r").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "first", "windows", "off")).alias("at"))
+    around = mixed.groupBy("h", "r").agg(times, F.min(F.struct("text_key", F.element_at("places", 1).alias("first"), "windows", "off")).alias("at"))
     around = spill(around.select("h", "r", "n", "at.*"))
     crowded = around.groupBy("h").agg((F.count("*") > hot).alias("hot"))
     asked = around.join(crowded, "h").groupBy("text_key").agg(F.collect_list(F.struct("h", "r", "first", "windows", "off", "hot")).alias("asked"))
@@ -356,9 +368,10 @@ def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
     all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
     runs = around.select("h", "r", "n", "windows").join(listed, ["h", "r"], "left")
     runs = spill(runs.select("h", "r", F.when(F.col("n") > 1, all_of).otherwise(F.col("parts")).alias("parts")).filter("parts is not null"))
-    shifted = F.transform("parts", lambda x: F.struct((F.col("first") + x["a"]).alias("a"), (F.col("first") + x["b"]).alias("b")))
-    some = mixed.join(runs, ["h", "r"]).select("text_key", shifted.alias("parts"))
-    every = repeated.filter("not mixed").select("text_key", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows")).alias("b"))).alias("parts"))
+    shifted = F.transform("places", lambda p: F.transform("parts", lambda x: F.struct((p + x["a"]).alias("a"), (p + x["b"]).alias("b"))))
+    some = mixed.join(runs, ["h", "r"]).select("text_key", F.flatten(shifted).alias("parts"))
+    whole = F.transform("places", lambda p: F.struct(p.alias("a"), (p + F.col("windows")).alias("b")))
+    every = repeated.filter("not mixed").select("text_key", whole.alias("parts"))
     found = every.union(some).groupBy("text_key").agg(F.flatten(F.collect_set("parts")).alias("windows"))
     full = keyed.join(found, "text_key", "left").drop("text_key")
 

@@ -111,6 +111,17 @@ def test_suffix_dedup_edges(none, docs):
         suffix.dedup(docs.withColumn("spans", F.lit(1)))
 
 
+def test_a_line_repeated_in_a_text_is_one_row_of_it():
+    line = bytes(np.random.default_rng(3).integers(97, 123, 60).astype(np.uint8))
+    rows = suffix.anchors(np.frombuffer(line * 50 + b"end of it" * 10, np.uint8), 40)
+    some, places, times = suffix.alike(rows)
+    assert len(some) < len(rows) / 5 and times.sum() == len(places) == len(rows)
+    back = np.repeat(some, times, axis=0)
+    back[:, 2] = places
+    assert sorted(map(tuple, back.tolist())) == sorted(map(tuple, rows.tolist()))
+    assert [len(a) for a in suffix.alike(rows[:0])] == [0, 0, 0]
+
+
 def test_queue_on_disk_sorts_and_carries_prefixes():
     rng = np.random.default_rng(1)
     words = [bytes(rng.integers(97, 99, 12).astype(np.uint8)) for _ in range(300)]
