@@ -13,7 +13,7 @@ only splits come back. Nothing is written between levels.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -139,12 +139,18 @@ def fit_edges(df: DataFrame, features: list[str], settings: Settings) -> list[np
     return out
 
 
-def binned(df: DataFrame, features: list[str], target: str, edges: list[np.ndarray]) -> DataFrame:
-    """(bins, n, total): distinct bins of the rows with a target, how many they are, and the sum of the target."""
+def binned(df: DataFrame, features: list[str], target: str, edges: list[np.ndarray], fill: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(bins, n, total): distinct bins of the rows with a target, how many they are, and the sum of the target.
+
+    ``fill`` is applied to the features and the target of a block of rows, the target last, before they are put into
+    bins, in the same worker; it leaves known targets as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k in range(len(features))], axis=1)
+            if fill is not None:
+                x = fill(np.column_stack((x, batch.column(0).to_numpy(zero_copy_only=False))))[:, :-1]
             yield pa.RecordBatch.from_arrays([pa.array([bytes(r) for r in to_bins(x, edges)], pa.binary()), batch.column(0)], ["bins", "y"])
 
     rows = df.select(F.col(target).cast("double").alias("y"), *[known(x).alias(f"x{i}") for i, x in enumerate(features)]).filter("y IS NOT NULL")
@@ -297,11 +303,13 @@ def fit(
     held: int = HELD,
     edges: list[np.ndarray] | None = None,
     most_rows: int | None = None,
+    *,
+    fill: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> GapTrees:
     """Trees for each view (a list of columns it sees), all on all rows with a target.
 
     ``edges`` saves the scan that finds them. Where ``df`` is known to have at most ``most_rows`` rows and those fit, the
-    distinct rows come to the driver in one job and nothing is written.
+    distinct rows come to the driver in one job and nothing is written. ``fill`` is as in :func:`binned`.
 
     Without rows the base is 0 and there are no trees. A column without values is a gap everywhere. The result does not
     depend on where the work is done, nor on the order of the rows, up to rounding of sums.
@@ -310,7 +318,7 @@ def fit(
     if not 2 <= settings.bins <= 254:
         raise ValueError("2 to 254 bins")
     edges = fit_edges(df, features, settings) if edges is None else edges
-    table, local = binned(df, features, target, edges), None
+    table, local = binned(df, features, target, edges, fill), None
     row_bytes = len(features) + 16 + 8 * len(views)
     if most_rows is not None and most_rows * row_bytes <= held:
         local = _Rows(table.toArrow().sort_by("bins"), len(features))

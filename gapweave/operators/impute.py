@@ -365,6 +365,13 @@ class TreeChain:
                 x[hit, j] = model.value(model.bins(x[hit][:, others]))
         return x
 
+    def filler(self, last: int) -> Callable[[np.ndarray], np.ndarray]:
+        """:meth:`fill` with the steps so far for rows whose column ``last`` stands at the end."""
+        now = TreeChain(self.features, self.start, list(self.steps), self.rounds)
+        back = [*range(last), len(self.features) - 1, *range(last, len(self.features) - 1)]
+        there = [*(i for i in range(len(self.features)) if i != last), last]
+        return lambda x: now.fill(x[:, back])[:, there]
+
     def transform(self, df: DataFrame) -> DataFrame:
         """One pass over the rows whatever the number of steps."""
         feats, names = self.features, df.columns
@@ -384,7 +391,7 @@ class IterativeTreesImputer:
     """Round-robin regression by boosted trees, or a ``forest`` (:mod:`gapweave.operators.gaptrees`), columns with few gaps first.
 
     A column's model is fitted on the rows that have it, the others filled by the models so far. Those are replayed on
-    the rows as they are read, so the table is never written; a fit is one scan that reduces the rows to distinct bins.
+    the rows as they are read, by the worker that puts them into bins, so the table is never written; a fit is one scan that reduces the rows to distinct bins.
     Rounds end when no filled value moves by ``tolerance`` of the largest absolute value. A column without any
     value stays as it is and takes no part; NaN is a gap.
     """
@@ -414,9 +421,9 @@ class IterativeTreesImputer:
             before = len(chain.steps)
             for j in order:
                 others = [x for x in feats if x != feats[j]]
-                seen = chain.transform(source.filter(known(feats[j]).isNotNull()))
+                seen = source.filter(known(feats[j]).isNotNull())
                 known_edges = [edges[feats.index(x)] for x in others]
-                chain.steps.append((j, gaptrees.fit(seen, others, feats[j], [others] * self.views, self.settings, edges=known_edges, most_rows=row["rows"])))
+                chain.steps.append((j, gaptrees.fit(seen, others, feats[j], [others] * self.views, self.settings, edges=known_edges, most_rows=row["rows"], fill=chain.filler(j))))
             if chain.rounds > 1 and self._largest_move(source, chain, before) < limit:
                 break
         return chain

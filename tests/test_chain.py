@@ -92,3 +92,12 @@ def test_trees_of_a_forest_differ(df):
     settings, views = gaptrees.forest(8, 3)
     model = gaptrees.fit(df, ["a", "b"], "c", [["a", "b"]] * views, settings)
     assert len(model.trees) == 1 and len({model.trees[0].value[v].tobytes() for v in range(views)}) == views
+
+
+def test_rows_are_filled_by_the_worker_that_bins_them(df, monkeypatch):
+    plans, binned = [], gaptrees.binned
+    monkeypatch.setattr(gaptrees, "binned", lambda d, *a: plans.append(binned(d, *a)) or plans[-1])
+    impute.IterativeTreesImputer(NAMES, depth=2, trees=3, rounds=2).fit(df)
+    for plan in plans:
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("MapInArrow") == 1 and "ArrowEvalPython" not in text
