@@ -167,6 +167,26 @@ def test_experiment_with_text_features(full):
     assert got["mean", "a"]["rmse"] < 0.5  # truth and fill are scaled alike
 
 
+def test_experiment_query_takes_the_whole_study(spark, tmp_path, monkeypatch):
+    """All folds, stacking trees and weighted pools of the runner, none left out by the query."""
+    from gapweave.plans import load_all, q_models
+
+    spark.range(1, 21).selectExpr("id AS c_custkey", "id * 1.5 AS c_acctbal", "if(id % 2 = 0, 'BUILDING', 'MACHINERY') AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(40).selectExpr("id % 20 + 1 AS o_custkey", "id * 10.0 AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    asked = []
+
+    def run(spec, params, make_pool, settings=None, regression=False, folds=None, only_folds=None):
+        asked.append((spec.df.count(), settings or Settings(), folds, only_folds))
+        return type("Out", (), {"metrics": spec.df.selectExpr("0 AS fold", "a AS value")})
+
+    monkeypatch.setattr(q_models, "run_one", run)
+    load_all()[0]["experiment_run"](spark, str(tmp_path)).collect()
+    rows, settings, folds, only = asked[0]
+    assert rows == 20 and folds is None and only is None
+    assert (settings.folds, settings.stack_trees, settings.top_n, settings.k) == (5, 60, [1, 3, 0], 7)
+    assert settings == Settings()
+
+
 def test_boosting_on_the_table_and_on_the_driver(gaps):
     signed = gaps.withColumn("y", F.when(F.col("y") == 1, 1).otherwise(-1)).withColumn("y", F.when(F.col("row_id") % 9 == 0, -F.col("y")).otherwise(F.col("y")))
     near, far = (models.StumpBoost(FEATS, "y", 3, bins=16, held=held).fit(signed) for held in (1 << 20, 0))
