@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import keep_types, slices, spill
+from gapweave.llm.common import keep_types, likely, slices, spill
 from gapweave.llm.components import components
 from gapweave.llm.hashing import mix, shingles
 
@@ -29,8 +29,6 @@ FRAGMENT = 4096
 #: N-grams (4 bytes each) of one fragment, and how many fragments there are at least.
 HELD = 4_000_000
 LEAST_PARTS = 64
-#: Up to so many set keys (8 bytes each) are broadcast to pick the texts to compare; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 
 
 def _raw(text: str | None) -> bytes:
@@ -281,8 +279,8 @@ def _texts(docs: DataFrame, wanted: DataFrame, n: int, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(x, n)) for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["k", "raw"])
 
     keyed = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k long, raw binary")
-    small = wanted.count() <= BROADCAST_KEYS
-    return keyed.join(F.broadcast(wanted) if small else wanted, "k").groupBy("k").agg(F.first("raw").alias("raw"))
+    one = likely(keyed, "k", wanted).groupBy("k").agg(F.first("raw").alias("raw"))
+    return one.join(wanted.hint("merge"), "k", "left_semi")  # keys grow with the rows: they never go to the driver
 
 
 def join(docs: DataFrame, n: int = 3, least: Fraction = Fraction(9, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

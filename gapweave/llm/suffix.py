@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapweave.llm.common import slices, spill
+from gapweave.llm.common import likely, slices, spill
 from gapweave.llm.hashing import BYTE, mix, powers
 
 GRAM = 32
@@ -29,8 +29,6 @@ BLOCK = 1 << 20
 MEMORY = 64 << 20
 #: Distinct surroundings of one k-gram that one shard may sort; more are matched window by window.
 HOT = 2_000
-#: Up to so many text keys (16 bytes each) are broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _inverse = np.ones(1, np.uint64)
 
@@ -326,9 +324,8 @@ def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
     crowded = around.groupBy("h").agg((F.count("*") > hot).alias("hot"))
     asked = around.join(crowded, "h").groupBy("text_key").agg(F.collect_list(F.struct("h", "r", "first", "windows", "off", "hot")).alias("asked"))
     asked = spill(asked)
-    wanted = asked.select("text_key")
-    small = wanted.count() <= BROADCAST_KEYS
-    source = texts.join(F.broadcast(wanted) if small else wanted, "text_key", "left_semi").join(asked, "text_key").select("text", "asked")
+    # keys grow with the rows: they never go to the driver
+    source = likely(texts, "text_key", asked.select("text_key")).join(asked.hint("merge"), "text_key").select("text", "asked")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):

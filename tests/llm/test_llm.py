@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gapweave.llm import brown, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
+from gapweave.llm import brown, common, egojoin, jaccard, licenses, packing, pu, quality, suffix, topk, toxicity, transducer
 from gapweave.llm.components import components
 
 random.seed(5)
@@ -354,6 +354,19 @@ def test_jaccard_join(spark, n, least, block, monkeypatch):
     assert jaccard.join(df.limit(0), n, least).collect() == []
 
 
+def test_wanted_keys_are_marked_in_a_table_of_fixed_size(spark, docs, monkeypatch):
+    rows = spark.range(40_000).select(F.when(F.col("id") >= 0, F.unhex(F.md5(F.col("id").cast("string")))).alias("key"), "id")
+    rows = rows.union(spark.createDataFrame([(None, -1)], "key binary, id long"))
+    got = {r["id"] for r in common.likely(rows, "key", rows.filter("id % 20 = 0 or id < 0")).collect()}
+    assert set(range(0, 40_000, 20)) <= got and len(got) < 2_100 and -1 not in got
+    assert common.likely(rows, "key", rows.limit(0)).collect() == []
+    sent = []
+    own = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append((df.columns, df.count())) or own(df))
+    assert jaccard.join(docs, 3, Fraction(1, 2)).count() == suffix.dedup(docs, 40).count() == docs.count()
+    assert [c for c, _ in sent] == [["_row", "_marks"]] * 2 and all(n <= common.MARKS // common.MARKS_ROW for _, n in sent)
+
+
 def test_shared_grams_of_a_fragment():
     # key 7 comes twice, as from two tasks: its n-grams are no others' for that
     keys, sizes, grams = np.array([7, 3, 7, 9]), np.array([3, 2, 3, 2], np.uint32), np.array([1, 2, 5, 2, 4, 1, 2, 5, 2, 5], np.uint32)
