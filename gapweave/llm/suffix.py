@@ -325,7 +325,7 @@ def dedup(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col:
     asked = around.join(crowded, "h").groupBy("text_key").agg(F.collect_list(F.struct("h", "r", "first", "windows", "off", "hot")).alias("asked"))
     asked = spill(asked)
     # keys grow with the rows: they never go to the driver
-    source = likely(texts, "text_key", asked.select("text_key")).join(asked.hint("merge"), "text_key").select("text", "asked")
+    source = likely(texts, "text_key", asked.select("text_key")).join(asked, "text_key").select("text", "asked")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
